@@ -1,9 +1,493 @@
-"""Queries of the retail operators."""
+"""Queries of the retail operators on the adapted tables, each with its SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import columns as C
+from .operators import identity, ingest, metrics, sales, visits, zones
+from .plans import dashboard
+from .sources import adapter, readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+START, MIDDLE, END = "2024-01-05 00:00:00", "2024-01-15 00:00:00", "2024-01-24 23:59:59"
+EDGES = [("CAM1", "CAM2", 1), ("CAM2", "CAM3", 1), ("CAM3", "CAM4", 2), ("CAM4", "CAM5", 2), ("CAM1", "CAM5", 3)]
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        _FOUND[name or f.__name__] = (f, sql if sql is None or sql.lstrip().lower().startswith("with") else f"with recursive {adapter.SQL} {sql}")
+        return f
+
+    return add
+
+
+ev, tx, pos = adapter.events, adapter.transactions, adapter.pos_lines
+CUST = "lower(coalesce(class_label, '')) <> 'staff' and lower(coalesce(zone_type, '')) not in ('staff_only', 'ignore')"
+QUEUE = "(zone_type in ('checkout','billing_queue','queue','billing') or zone_id like '%queue%')"
+HOUR = "cast(date_trunc('hour', occurred_at) as timestamp) as bucket_start"
+VIS, PERIOD = "event_type like 'vision.%'", f"occurred_at between timestamp '{START}' and timestamp '{END}'"
+
+
+def _series(where: str, value: str = "cast(count(*) as double)", source: str = "ev") -> str:
+    return f"select store_id, {HOUR}, {value} as value, count(*) as sample_count from {source} where {where} group by all"
+
+
+# ------------------------------------------------------------ scans, filters, paging
+@query(f"select event_id, store_id, event_type, occurred_at from ev where {PERIOD} and event_type in ('vision.zone.entered', 'vision.zone.exited') order by occurred_at desc, event_id limit 500 offset 20")
+def scan_events_paged(s, d):
+    e = ev(s, d).where(C.in_period("occurred_at", START, END) & F.col("event_type").isin(C.ENTERED, C.EXITED))
+    return readers.page(e, [F.desc("occurred_at"), "event_id"], 20).select("event_id", "store_id", "event_type", "occurred_at")
+
+
+@query(f"select transaction_id, store_id, cast(amount as double) as amount, occurred_at from tx where status = 'completed'")
+def scan_purchases(s, d):
+    return tx(s, d).where("status = 'completed'").select("transaction_id", "store_id", F.col("amount").cast("double").alias("amount"), "occurred_at")
+
+
+@query(f"select external_track_id, store_id, started_at from se where started_at between timestamp '{START}' and timestamp '{END}'")
+def scan_sessions(s, d):
+    return visits.materialize_sessions(ev(s, d)).where(C.in_period("started_at", START, END)).select("external_track_id", "store_id", "started_at")
+
+
+@query("select external_track_id, max(transaction_id) as transaction_id from (select *, row_number() over (partition by external_track_id order by occurred_at desc, transaction_id desc) as rn from tx where external_track_id is not null) where rn = 1 group by 1")
+def latest_transaction_by_track(s, d):
+    return tx(s, d).where("external_track_id is not null").groupBy("external_track_id").agg(F.max(F.struct("occurred_at", "transaction_id")).alias("x")).select("external_track_id", "x.transaction_id")
+
+
+@query(f"select event_id, {CUST} as customer, coalesce({QUEUE}, false) as queue, case when event_type = 'analytics.purchase.completed' then 'PURCHASE' when zone_type = 'entry_threshold' then 'ENTRY' when zone_type = 'billing_queue' then 'BILLING_QUEUE' when zone_type like 'browse%' then 'ZONE_VISIT' end as stage, 'id:' || zone_id as zone_key, regexp_replace(source_video, '.*/', '') as video from ev")
+def event_predicates(s, d):
+    return ev(s, d).select("event_id", C.is_customer_event().alias("customer"), C.is_queue().alias("queue"), C.stage().alias("stage"), C.zone_key().alias("zone_key"), C.video_name("source_video").alias("video"))
+
+
+@query("select min(least_) as period_start from (select least((select min(occurred_at) from ev), (select min(occurred_at) from tx)) as least_)")
+def analysis_period(s, d):
+    a, b = ev(s, d).agg(F.min("occurred_at").alias("a")), tx(s, d).agg(F.min("occurred_at").alias("b"))
+    return a.crossJoin(F.broadcast(b)).select(F.least("a", "b").alias("period_start"))
+
+
+# ------------------------------------------------------------ series and KPIs
+@query(_series(f"event_type = 'vision.zone.entered' and {CUST}"))
+def footfall_hourly(s, d):
+    return metrics.footfall(ev(s, d))
+
+
+@query(_series(f"{VIS} and {CUST} and external_track_id is not null", "cast(count(distinct external_track_id) as double)"))
+def visitors_hourly(s, d):
+    return metrics.visitors(ev(s, d))
+
+
+@query(_series(f"event_type = 'vision.zone.entered' and {CUST} and {QUEUE}"))
+def queue_hourly(s, d):
+    return metrics.queue_enters(ev(s, d))
+
+
+@query(_series("status = 'completed'", "cast(sum(amount) as double)", "tx"))
+def revenue_hourly(s, d):
+    return metrics.revenue(tx(s, d))
+
+
+@query(_series("status = 'completed'", source="tx"))
+def purchases_hourly(s, d):
+    return metrics.purchases(tx(s, d))
+
+
+EVENT_KPIS = f"""
+select store_id, count(distinct case when event_type in ('vision.zone.entered','vision.zone.exited') and {CUST} then external_track_id end) as visitors,
+  case when count(*) filter (event_type = 'vision.zone.entered' and {CUST} and is_store_entry) > 0 then count(*) filter (event_type = 'vision.zone.entered' and {CUST} and is_store_entry)
+       else count(distinct case when {VIS} and {CUST} then external_track_id end) end as store_entries,
+  count(*) filter (event_type = 'vision.zone.exited' and {CUST} and is_store_exit) as store_exits,
+  count(*) filter ({CUST} and is_reentry) as reentries, count(*) filter (not ({CUST})) as staff_events, count(*) as events,
+  max(case when {VIS} then occurred_at end) as last_event, count(*) filter (event_type = 'vision.zone.entered' and {CUST} and {QUEUE}) as queue_enters
+from ev group by 1"""
+
+
+@query(EVENT_KPIS)
+def event_kpis(s, d):
+    return metrics.event_kpis(ev(s, d))
+
+
+@query("select store_id, count(*) as sessions, count(*) filter (not staff) as customer_sessions, count(*) filter (not staff) as session_exits, count(distinct case when not staff then external_track_id end) as session_visitors from se group by 1")
+def session_kpis(s, d):
+    return metrics.session_kpis(visits.materialize_sessions(ev(s, d)))
+
+
+@query("select store_id, cast(sum(case when status = 'completed' then amount else 0 end) as double) as revenue, count(*) filter (status = 'completed') as purchases, count(*) filter (status = 'completed' and external_track_id is not null) as linked_purchases from tx group by 1")
+def sales_kpis(s, d):
+    return metrics.sales_kpis(tx(s, d))
+
+
+@query(f"select camera_id, count(*) as events, count(distinct source_video) as videos, cast(max(frame_index) + 1 as bigint) as frame_ceiling, count(*) filter (event_type = 'vision.zone.entered') as enters, count(*) filter (event_type = 'vision.zone.exited') as exits, count(*) filter (is_reentry) as reentries, count(*) filter ({QUEUE}) as queue_events, case when count(distinct detector_mode) > 1 then 'mixed' else min(detector_mode) end as detector_mode from ev group by 1")
+def coverage_by_camera(s, d):
+    return metrics.coverage_by_camera(ev(s, d))
+
+
+@query("select zone_type, count(*) as events, count(distinct external_track_id) as tracks from ev where zone_type is not null group by 1")
+def zone_breakdown(s, d):
+    return metrics.zone_breakdown(ev(s, d))
+
+
+@query("select event_type, count(*) as events, count(distinct external_track_id) as tracks, count(distinct case when class_label <> 'staff' then external_track_id end) as customer_tracks from ev group by 1")
+def type_counts(s, d):
+    return metrics.type_counts(ev(s, d))
+
+
+@query("select external_track_id, count(*) as entries from ev where event_type = 'vision.zone.entered' and zone_type = 'entry_threshold' group by 1 having count(*) > 1 order by 2 desc, 1 limit 10")
+def repeated_entries(s, d):
+    return metrics.repeated_entries(ev(s, d))
+
+
+@query(f"select store_id, count(*) as total, count(*) filter (occurred_at >= timestamp '{MIDDLE}') as in_window, count(*) filter (occurred_at < timestamp '{MIDDLE}') as outside from ev group by 1")
+def window_coverage(s, d):
+    return metrics.window_split(ev(s, d), MIDDLE)
+
+
+@query(f"select store_id, round((epoch_us(timestamp '2024-02-01 00:00:00') - epoch_us(max(occurred_at))) / 6e7, 3) as age_minutes, case when (epoch_us(timestamp '2024-02-01 00:00:00') - epoch_us(max(occurred_at))) / 6e7 >= 15 then 'stale' else 'fresh' end as feed from ev where event_type = 'vision.zone.entered' group by 1")
+def feed_health(s, d):
+    return metrics.health(ev(s, d), "2024-02-01 00:00:00")
+
+
+@query("select camera_id, avg(value) as avg_value, max(value) as max_value, quantile_cont(value, 0.95) as p95 from ev group by 1")
+def value_stats(s, d):
+    return metrics.value_stats(ev(s, d), "camera_id", "value")
+
+
+@query("select camera_id, event_type, count(*) as events from ev group by 1, 2")
+def camera_type_matrix(s, d):
+    return ev(s, d).groupBy("camera_id", "event_type").agg(F.count("*").alias("events"))
+
+
+ROLLUP = f"""select store_id, 'footfall' as metric_name, {HOUR}, cast(date_trunc('hour', occurred_at) as timestamp) + interval 1 hour as bucket_end, 'hour' as granularity, cast(count(*) as double) as value, count(*) as sample_count
+from ev where event_type = 'vision.zone.entered' and {CUST} group by all"""
+
+
+@query(ROLLUP)
+def footfall_rollup(s, d):
+    return metrics.rollup(metrics.footfall(ev(s, d)), "footfall")
+
+
+@query(ROLLUP)
+def metric_upsert(s, d):
+    m = metrics.rollup(metrics.footfall(ev(s, d)), "footfall")
+    old = m.where(F.col("bucket_start") < F.lit(MIDDLE).cast("timestamp_ntz")).withColumn("value", F.lit(-1.0))
+    return readers.upsert(old, m.withColumn("load_no", F.lit(1).cast("long")), ["store_id", "metric_name", "bucket_start", "granularity"])
+
+
+@query(ROLLUP)
+def metric_resolver(s, d):
+    m = metrics.rollup(metrics.footfall(ev(s, d)), "footfall")
+    return metrics.resolve(m.where("store_id = 'store-0'"), m)
+
+
+@query(f"select cast(sum(least(w, g)) as bigint) as tp, cast(sum(greatest(g - w, 0)) as bigint) as fp, cast(sum(greatest(w - g, 0)) as bigint) as fn, sum(least(w, g)) / (sum(least(w, g)) + sum(greatest(g - w, 0))) as precision, sum(least(w, g)) / (sum(least(w, g)) + sum(greatest(w - g, 0))) as recall, 2 * sum(least(w, g)) / (2 * sum(least(w, g)) + sum(greatest(g - w, 0)) + sum(greatest(w - g, 0))) as f1 from (select camera_id, zone_type, count(*) filter (event_id % 2 = 0) as w, count(*) filter (event_id % 2 = 1) as g from ev where zone_type is not null group by 1, 2)")
+def zone_accuracy(s, d):
+    e = ev(s, d).where("zone_type is not null")
+    return metrics.zone_accuracy(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["camera_id", "zone_type"])
+
+
+# ------------------------------------------------------------ visits
+@query("select external_track_id, store_id, cast(sess as bigint) as sess, started_at, ended_at, n_events, staff, store_entry from se")
+def sessions(s, d):
+    return visits.materialize_sessions(ev(s, d))
+
+
+SIG = f"""
+sig as (
+  select store_id, 'track:' || external_track_id as visitor_key, case when zone_type = 'entry_threshold' then 'ENTRY' when zone_type = 'billing_queue' then 'BILLING_QUEUE' else 'ZONE_VISIT' end as stage, occurred_at as at_
+  from ev where event_type = 'vision.zone.entered' and {CUST} and event_id % 40 = 0
+  union all select store_id, 'track:' || external_track_id, 'PURCHASE', occurred_at from ev where event_type = 'analytics.purchase.completed' and {CUST} and event_id % 40 = 0
+  union all select store_id, 'track:' || external_track_id, 'PURCHASE', occurred_at from tx where status = 'completed' and external_track_id is not null and transaction_id % 97 = 0
+),
+st as (
+  select store_id, visitor_key, count(*) filter (stage = 'ENTRY') as n1, count(*) filter (stage = 'ZONE_VISIT') as n2, count(*) filter (stage = 'BILLING_QUEUE') as n3, count(*) filter (stage = 'PURCHASE') as n4,
+    min(at_) filter (stage = 'ENTRY') as t1, min(at_) filter (stage = 'ZONE_VISIT') as t2, min(at_) filter (stage = 'BILLING_QUEUE') as t3, min(at_) filter (stage = 'PURCHASE') as t4, count(*) filter (stage is null) as n0, min(at_) as t0
+  from (select * from sig union all select store_id, 'track:' || external_track_id, null, started_at from se where not staff and cast(external_track_id as bigint) % 4 = 0)
+  group by 1, 2
+)"""
+
+
+def _sparse(s, d):
+    # Stages differ only on a sparse selection: every user of the tables reaches every stage.
+    e, t = ev(s, d), tx(s, d)
+    ses = visits.materialize_sessions(e).where("cast(external_track_id as bigint) % 4 = 0")
+    sig = visits.signals(e.where("event_id % 40 = 0"), t.where("transaction_id % 97 = 0"))
+    return sig, visits.visitor_stages(sig, ses), t.where("transaction_id % 97 = 0")
+
+
+@query(f"with recursive {adapter.SQL}, {SIG}" + """
+select store_id, stage, visitors, conv as conversion, round(1 - conv, 4) as drop_off, reentries from (
+  select store_id, 'ENTRY' as stage, count(*) as visitors, round(count(*) filter (n2 > 0) / cast(count(*) as double), 4) as conv, cast(sum(greatest(n1 - case when n0 > 0 then 0 else 1 end, 0)) as bigint) as reentries from st group by 1
+  union all select store_id, 'ZONE_VISIT', count(*) filter (n2 > 0), round(count(*) filter (n2 > 0 and n3 > 0) / cast(nullif(count(*) filter (n2 > 0), 0) as double), 4), cast(sum(greatest(n2 - 1, 0)) as bigint) from st group by 1
+  union all select store_id, 'BILLING_QUEUE', count(*) filter (n3 > 0), round(count(*) filter (n3 > 0 and n4 > 0) / cast(nullif(count(*) filter (n3 > 0), 0) as double), 4), cast(sum(greatest(n3 - 1, 0)) as bigint) from st group by 1
+  union all select store_id, 'PURCHASE', count(*) filter (n4 > 0), null, cast(sum(greatest(n4 - 1, 0)) as bigint) from st group by 1)""")
+def funnel(s, d):
+    return visits.funnel(_sparse(s, d)[1])
+
+
+JOURNEY = f"""with recursive {adapter.SQL}, {SIG},
+lt as (select *, 'track:' || external_track_id as visitor_key from (select *, row_number() over (partition by store_id, external_track_id order by occurred_at desc, transaction_id desc) as rn from tx where status = 'completed' and external_track_id is not null and transaction_id % 97 = 0) where rn = 1),
+jo as (
+  select st.store_id, st.visitor_key, case when lt.transaction_id is not null then coalesce(t1, t0) else t1 end as entry_at,
+    case when lt.transaction_id is not null then coalesce(t2, t3, t0) else t2 end as zone_at, t3 as billing_at, coalesce(t4, lt.occurred_at) as purchase_at, lt.transaction_id, cast(lt.amount as double) as amount,
+    t3 is not null and lt.transaction_id is not null as complete
+  from st left join lt on lt.store_id = st.store_id and lt.visitor_key = st.visitor_key
+)"""
+
+
+@query(JOURNEY + " select * from jo")
+def journeys(s, d):
+    _, st, t = _sparse(s, d)
+    return visits.journeys(st, t)
+
+
+@query(JOURNEY + " select store_id, count(*) as journeys, count(*) filter (complete) as complete, count(billing_at) as with_billing, count(purchase_at) as with_purchase, round(count(*) filter (billing_at is not null and purchase_at is not null) / cast(nullif(count(billing_at), 0) as double), 4) as billing_to_purchase from jo group by 1")
+def journey_summary(s, d):
+    _, st, t = _sparse(s, d)
+    return visits.journey_summary(visits.journeys(st, t))
+
+
+@query(f"with recursive {adapter.SQL}, {SIG} select store_id, count(*) filter (n1 > 0 and n2 > 0) as entry_zone, count(*) filter (n2 > 0 and n3 > 0) as zone_billing, count(*) filter (n1 > 0 and n3 > 0) as entry_billing from st where n1 + n2 + n3 + n4 > 0 group by 1")
+def stage_overlap(s, d):
+    return visits.stage_overlap(_sparse(s, d)[0])
+
+
+# ------------------------------------------------------------ zones and anomalies
+HEAT = f"""
+zz as (
+  select store_id, 'id:' || zone_id as zone_key, count(*) filter (event_type = 'vision.zone.entered') as visits,
+    avg(case when event_type = 'vision.zone.exited' and dwell_ms >= 0 then dwell_ms / 1000 end) as avg_dwell, count(case when event_type = 'vision.zone.exited' and dwell_ms >= 0 then 1 end) as samples
+  from ev where event_type in ('vision.zone.entered', 'vision.zone.exited') and {CUST} group by 1, 2
+),
+he as (
+  select store_id, zone_key, visits, samples, round(avg_dwell, 6) as avg_dwell,
+    round(case when max(visits) over w <= min(visits) over w then case when visits > 0 then 1.0 else 0.0 end else (visits - min(visits) over w) / cast(max(visits) over w - min(visits) over w as double) end, 6) as visit_norm,
+    round(case when samples = 0 then 0.0 when max(avg_dwell) over w <= min(avg_dwell) over w then case when avg_dwell > 0 then 1.0 else 0.0 end else (avg_dwell - min(avg_dwell) over w) / (max(avg_dwell) over w - min(avg_dwell) over w) end, 6) as dwell_norm,
+    case when visits < 3 then 'LOW' when visits >= 5 and samples / cast(visits as double) >= 0.5 then 'HIGH' when samples = 0 then 'LOW' else 'MEDIUM' end as confidence
+  from zz window w as (partition by store_id)
+)"""
+
+
+@query(f"with recursive {adapter.SQL}, {HEAT} select * from he")
+def heatmap(s, d):
+    return zones.heatmap(ev(s, d))
+
+
+HEAT_CONF = "select store_id, case when bool_or(confidence = 'LOW') then 'LOW' when bool_or(confidence = 'MEDIUM') then 'MEDIUM' else 'HIGH' end as confidence, round(sum(avg_dwell * samples) / sum(samples), 6) as weighted_dwell from he group by 1"
+
+
+@query(f"with recursive {adapter.SQL}, {HEAT} {HEAT_CONF}")
+def heatmap_confidence(s, d):
+    return zones.heatmap_confidence(zones.heatmap(ev(s, d)))
+
+
+COUNTS = f"cnt as (select store_id, 'type:' || lower(zone_type) as zone_key, count(*) filter (occurred_at >= timestamp '{MIDDLE}') as current, count(*) filter (occurred_at < timestamp '{MIDDLE}') as baseline from ev where event_type = 'vision.zone.entered' and {CUST} and {PERIOD} group by 1, 2)"
+
+
+def _counts(s, d):
+    return zones.zone_counts(ev(s, d), START, MIDDLE, END)
+
+
+@query(f"with recursive {adapter.SQL}, {COUNTS} select * from cnt")
+def zone_counts(s, d):
+    return _counts(s, d)
+
+
+@query(f"with recursive {adapter.SQL}, {COUNTS} select store_id, zone_key, 'QUEUE_SPIKE' as anomaly_type, case when c / cast(b as double) >= 2.5 then 'CRITICAL' else 'WARN' end as severity, round(c / cast(b as double), 6) as measure from (select store_id, zone_key, current * 2 as c, baseline as b from cnt) where zone_key = 'type:billing_queue' and b >= 5 and c > b and c / cast(b as double) >= 1.5")
+def queue_spikes(s, d):
+    return zones.queue_spikes(_counts(s, d).withColumn("current", F.col("current") * 2))
+
+
+@query(f"with recursive {adapter.SQL}, {COUNTS}, w as (select *, max(c) over (partition by store_id) as peak, sum(c) over (partition by store_id) as total, count(*) over (partition by store_id) as n from (select store_id, zone_key, case when zone_key = 'type:browse_skincare' then current // 50 else current end as c from cnt)) select store_id, zone_key, 'DEAD_ZONE' as anomaly_type, case when c / cast(total as double) < 0.025 then 'WARN' else 'INFO' end as severity, round(c / cast(total as double), 6) as measure from w where n >= 2 and total >= 20 and c <= 0.05 * peak")
+def dead_zones(s, d):
+    return zones.dead_zones(_counts(s, d).withColumn("current", F.expr("if(zone_key = 'type:browse_skincare', current div 50, current)")))
+
+
+@query("select store_id, 'feed' as zone_key, 'STALE_FEED' as anomaly_type, case when m >= 60 then 'CRITICAL' else 'WARN' end as severity, m as measure from (select store_id, round((epoch_us(timestamp '2024-02-01 00:00:00') - epoch_us(max(occurred_at))) / 6e7, 3) as m from ev where event_type = 'vision.zone.entered' group by 1) where m >= 15")
+def stale_feeds(s, d):
+    return zones.stale_feeds(metrics.health(ev(s, d), "2024-02-01 00:00:00"))
+
+
+@query("select a.store_id, 'store' as zone_key, 'CONVERSION_DROP' as anomaly_type, case when b.r - a.r >= 0.3 then 'CRITICAL' else 'WARN' end as severity, round(b.r - a.r, 6) as measure from (select store_id, count(*) as n, count(*) filter (event_type = 'analytics.purchase.completed') / cast(count(*) as double) as r from ev where event_id % 2 = 0 group by 1) a join (select store_id, 0.5 as r from ev group by 1) b using (store_id) where a.n >= 10 and b.r - a.r >= 0.15")
+def conversion_drops(s, d):
+    e = ev(s, d)
+    now = e.where("event_id % 2 = 0").groupBy("store_id").agg(F.count("*").alias("entries"), (F.count_if(F.col("event_type") == C.PURCHASE) / F.count("*")).alias("rate"))
+    return zones.conversion_drops(now, e.groupBy("store_id").agg(F.lit(0.5).alias("rate")))
+
+
+@query()
+def anomalies(s, d):
+    computed = zones.queue_spikes(_counts(s, d).withColumn("current", F.col("current") * 2)).unionByName(zones.stale_feeds(metrics.health(ev(s, d), "2024-02-01 00:00:00")))
+    kept = computed.withColumn("anomaly_type", F.lit("DEAD_ZONE"))
+    return zones.anomaly_ids(zones.merge_anomalies(computed, kept), NAMESPACE, "2024-02-01T00")
+
+
+# ------------------------------------------------------------ sales
+@query("select order_id, cast(sum(nmv) as double) as nmv, cast(sum(gmv) as double) as gmv, count(*) as line_count, cast(sum(qty) as bigint) as qty, arg_min(brand_name, line_no) as first_brand from pos group by 1")
+def pos_orders(s, d):
+    return sales.orders(pos(s, d))
+
+
+@query("select order_id, category, cast(sum(nmv) as double) as nmv, count(*) as line_count from pos group by 1, 2")
+def pos_order_categories(s, d):
+    return sales.order_parts(pos(s, d), "category")
+
+
+@query("select brand_name, cast(sum(nmv) as double) as nmv, count(*) as line_count from pos group by 1 order by 2 desc, 1 limit 5")
+def top_brands(s, d):
+    return sales.top_by_revenue(pos(s, d), "brand_name")
+
+
+@query("select category, cast(sum(nmv) as double) as nmv, count(*) as line_count from pos group by 1 order by 2 desc, 1 limit 5")
+def top_categories(s, d):
+    return sales.top_by_revenue(pos(s, d), "category")
+
+
+@query("select order_id, brand_name, nmv, line_count, cast(rn as integer) as rn from (select *, row_number() over (partition by order_id order by nmv desc, brand_name) as rn from (select order_id, brand_name, cast(sum(nmv) as double) as nmv, count(*) as line_count from pos group by 1, 2)) where rn <= 3")
+def top_brands_per_order(s, d):
+    return sales.top_per_order(pos(s, d), 3)
+
+
+@query("select cast(sum(nmv) as double) as revenue, count(distinct order_id) as orders, count(*) as line_count, round(cast(sum(nmv) as double) / count(distinct order_id), 4) as aov from pos")
+def pos_totals(s, d):
+    return sales.totals(pos(s, d))
+
+
+BILL = f"bi as (select store_id, external_track_id, min(occurred_at) as billing_at, count(*) as billing_events from ev where event_type = 'vision.zone.entered' and {CUST} and zone_type = 'billing_queue' group by 1, 2)"
+
+
+@query(f"with recursive {adapter.SQL}, {BILL} select * from bi")
+def billing_candidates(s, d):
+    return sales.billing_candidates(ev(s, d))
+
+
+@query(f"with recursive {adapter.SQL}, {BILL} select b.store_id, b.external_track_id, t.transaction_id, 'SEQUENTIAL' as method, cast(0.75 as double) as confidence from (select *, row_number() over (partition by store_id order by billing_at, external_track_id) as rn from bi) b join (select *, row_number() over (partition by store_id order by occurred_at, transaction_id) as rn from tx where status = 'completed') t using (store_id, rn)")
+def link_sequential(s, d):
+    return sales.link_sequential(sales.billing_candidates(ev(s, d)), tx(s, d))
+
+
+@query(f"with recursive {adapter.SQL}, {BILL}, nr as (select b.store_id, b.external_track_id, t.transaction_id, abs(epoch_us(b.billing_at) - epoch_us(t.occurred_at)) as d from bi b join tx t on t.store_id = b.store_id and t.status = 'completed' and abs(epoch_us(b.billing_at) - epoch_us(t.occurred_at)) <= 86400000000) select store_id, external_track_id, transaction_id, d / 1e6 as delta_s, round(greatest(0.0, 1 - d / 86400000000.0), 3) as confidence from (select *, row_number() over (partition by store_id, external_track_id order by d, transaction_id) as rn from nr) where rn = 1")
+def nearest_order(s, d):
+    return sales.nearest_order(sales.billing_candidates(ev(s, d)), tx(s, d), 86400)
+
+
+@query()
+def link_orders(s, d):
+    return sales.link_orders(sales.billing_candidates(ev(s, d)), tx(s, d), 1800)
+
+
+# ------------------------------------------------------------ identity
+PRES = f"pr as (select store_id, external_track_id, camera_id, count(*) as events, min(occurred_at) as first_at, max(occurred_at) as last_at, count(distinct zone_type) as zone_types from ev where event_type in ('vision.zone.entered','vision.zone.exited') and {CUST} group by 1, 2, 3)"
+
+
+@query(f"with recursive {adapter.SQL}, {PRES} select * from pr")
+def presence(s, d):
+    return identity.presence(ev(s, d))
+
+
+@query(f"with recursive {adapter.SQL}, {PRES} select store_id, external_track_id, count(*) as cameras, cast(sum(events) as bigint) as events, string_agg(camera_id, ' → ' order by first_at, camera_id) as path from pr group by 1, 2 having count(*) >= 2")
+def cross_camera(s, d):
+    return identity.cross_camera(identity.presence(ev(s, d)))
+
+
+@query(f"with recursive {adapter.SQL}, {PRES}, ed(src, dst, priority) as (values ('CAM1','CAM2',1),('CAM2','CAM3',1),('CAM3','CAM4',2),('CAM4','CAM5',2),('CAM1','CAM5',3)) select a.store_id, e.src, e.dst, a.external_track_id as from_track, b.external_track_id as to_track, (epoch_us(b.first_at) - epoch_us(a.last_at)) / 1e6 as gap_s from pr a join ed e on e.src = a.camera_id join pr b on b.store_id = a.store_id and b.camera_id = e.dst and a.external_track_id <> b.external_track_id where epoch_us(b.first_at) - epoch_us(a.last_at) between 0 and 86400000000")
+def handoffs(s, d):
+    edges = s.createDataFrame(EDGES, "src string, dst string, priority int").select("src", "dst")
+    return identity.handoffs(identity.presence(ev(s, d)), edges, 86400)
+
+
+@query("select store_id, camera_id, count(*) filter (was <> external_track_id) as switches, count(distinct external_track_id) as tracks from (select *, lag(external_track_id) over (partition by store_id, camera_id order by occurred_at, event_id) as was from ev) group by 1, 2")
+def id_switches(s, d):
+    return identity.id_switches(ev(s, d))
+
+
+@query("select store_id, external_track_id, cast(sum(m) as bigint) as transitions, cast(max(r) as bigint) as most_recent from (select *, sum(m) over (partition by store_id, external_track_id order by occurred_at, event_id rows between 23 preceding and current row) as r from (select *, case when lag(zone_type) over (partition by store_id, external_track_id order by occurred_at, event_id) <> zone_type then 1 else 0 end as m from ev where zone_type is not null)) group by 1, 2")
+def zone_shuttles(s, d):
+    return identity.shuttles(ev(s, d))
+
+
+@query("select distinct a.event_id from ev a join ev b on a.store_id = b.store_id and a.external_track_id = b.external_track_id and a.camera_id <> b.camera_id and a.event_type = 'vision.zone.entered' and b.event_type = 'vision.zone.entered' and epoch_us(a.occurred_at) - epoch_us(b.occurred_at) between 1 and 600000000")
+def overlap_suppressed(s, d):
+    return identity.overlap_suppressed(ev(s, d), 600)
+
+
+@query("select a.vec_id, b.vec_id as other, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 9) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def appearance_similarity(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet")
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("e2"))
+    return e.join(o, "vec_id").select("vec_id", "other", F.round(C.cosine("embedding", "e2"), 9).alias("similarity"))
+
+
+# ------------------------------------------------------------ ingest
+BATCH = "bt as (select event_id as idx, cast(event_id % 9000 as varchar) as event_id, case when event_id % 11 = 0 then 'bad.type' else event_type end as event_type, '1.0.0' as schema_version, case when event_id % 13 = 0 then 'tenant-9' end as tenant_id, case when event_id % 17 = 0 then 'store-9' else store_id end as store_id, 'key-' || (event_id % 9500) as idempotency_key from ev)"
+
+
+def _batch(s, d):
+    return ev(s, d).select(
+        F.col("event_id").alias("idx"), (F.col("event_id") % 9000).cast("string").alias("event_id"), F.when(F.col("event_id") % 11 == 0, "bad.type").otherwise(F.col("event_type")).alias("event_type"), F.lit("1.0.0").alias("schema_version"),
+        F.when(F.col("event_id") % 13 == 0, "tenant-9").alias("tenant_id"), F.when(F.col("event_id") % 17 == 0, "store-9").otherwise(F.col("store_id")).alias("store_id"), F.concat(F.lit("key-"), F.col("event_id") % 9500).alias("idempotency_key"), F.lit("{}").alias("payload"),
+    )
+
+
+def _validated(s, d):
+    stores = s.createDataFrame([(f"store-{k}", "tenant-1") for k in range(3)], "known_store string, known_tenant string")
+    return ingest.validate(_batch(s, d), F.broadcast(stores))
+
+
+VALID = f"""with recursive {adapter.SQL}, {BATCH}, va as (
+  select idx, tenant_id as t, store_id, list_filter([case when event_type = 'bad.type' then 'invalid_event_type' end, case when row_number() over (partition by event_id order by idx) > 1 then 'duplicate_event_id_in_batch' end,
+    case when row_number() over (partition by idempotency_key order by idx) > 1 then 'duplicate_idempotency_key_in_batch' end, case when store_id = 'store-9' then 'store_not_found' end, case when tenant_id is not null and store_id <> 'store-9' then 'tenant_store_mismatch' end], lambda x: x is not null) as errors from bt)"""
+
+
+@query(VALID + " select idx, array_to_string(errors, ',') as errors, case when len(errors) = 0 then 'accepted' else 'rejected' end as status, coalesce(t, case when store_id <> 'store-9' then 'tenant-1' end) as tenant_id from va")
+def validate_events(s, d):
+    return _validated(s, d).select("idx", F.array_join("errors", ",").alias("errors"), "status", "tenant_id")
+
+
+@query(VALID + " select count(*) filter (len(errors) = 0) as accepted, count(*) filter (len(errors) > 0) as rejected, 207 as code from va")
+def ingest_summary(s, d):
+    return ingest.summary(_validated(s, d))
+
+
+@query(f"with recursive {adapter.SQL}, {BATCH} select idx, case when cast(event_id as bigint) % 3 = 0 or row_number() over (partition by event_id order by idx) > 1 then 'duplicate_id' when cast(substr(idempotency_key, 5) as bigint) % 5 = 0 or row_number() over (partition by idempotency_key order by idx) > 1 then 'duplicate_key' else 'created' end as outcome from bt")
+def idempotent_insert(s, d):
+    b = _batch(s, d)
+    stored = b.where("cast(event_id as bigint) % 3 = 0").select("event_id", F.lit(None).cast("string").alias("idempotency_key")).union(
+        b.where("cast(substr(idempotency_key, 5) as bigint) % 5 = 0").select(F.lit(None).cast("string"), "idempotency_key")
+    )
+    return readers.split_new_events(b, stored).select("idx", "outcome")
+
+
+# ------------------------------------------------------------ dashboard
+@query(f"""with recursive {adapter.SQL}, {HEAT}, hc as ({HEAT_CONF}), ek as ({EVENT_KPIS}),
+sk as (select store_id, count(*) as sessions, count(distinct case when not staff then external_track_id end) as session_visitors from se group by 1),
+tk as (select store_id, cast(sum(case when status = 'completed' then amount else 0 end) as double) as revenue, count(*) filter (status = 'completed') as purchases, count(*) filter (status = 'completed' and external_track_id is not null) as linked from tx group by 1)
+select store_id, greatest(visitors, session_visitors) as visitors, store_entries, store_exits, reentries, queue_enters, sessions, purchases, revenue,
+  round(least(1.0, purchases / cast(greatest(visitors, session_visitors) as double)), 4) as conversion, round(revenue / purchases, 2) as aov, round(linked / cast(purchases as double), 4) as linkage_rate, confidence as heatmap_confidence, weighted_dwell
+from ek join sk using (store_id) join tk using (store_id) join hc using (store_id)""", name="dashboard")
+def dashboard_query(s, d):
+    return dashboard.dashboard(ev(s, d), tx(s, d))
+
+
+@query()
+def reviewer_proof(s, d):
+    return dashboard.reviewer_proof(ev(s, d), tx(s, d))
+
+
+@query("with t as (select * from (values ('a', 0.5, 0.5), ('b', 0.95, 0.5), ('c', 0.2, 0.2)) v(name, x, y)) select name, x between 0.1 and 0.9 and y between 0.1 and 0.9 as inside from t")
+def point_in_zone(s, d):
+    z = readers.zones_frame(s, {"CAM1": [{"zone_id": "z", "points": [[0.1, 0.1], [0.9, 0.1], [0.9, 0.9], [0.1, 0.9]]}]})
+    p = s.createDataFrame([("a", 0.5, 0.5), ("b", 0.95, 0.5), ("c", 0.2, 0.2)], "name string, x double, y double")
+    return p.crossJoin(F.broadcast(z.select("points"))).select("name", C.in_polygon("x", "y", "points").alias("inside"))
+
+
+def queries() -> dict[str, Query]:
+    return {n: f for n, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: sql for n, (_, sql) in _FOUND.items() if sql is not None}
