@@ -19,7 +19,7 @@ def parse_pos(lines: DataFrame, store_code: str) -> DataFrame:
 
 def orders(lines: DataFrame) -> DataFrame:
     """(A-27, T-08)"""
-    return lines.groupBy("order_id").agg(F.sum("nmv").cast("double").alias("nmv"), F.sum("gmv").cast("double").alias("gmv"), F.count("*").alias("line_count"), F.sum("qty").cast("long").alias("qty"), F.min_by("brand_name", "line_no").alias("first_brand"))
+    return lines.groupBy("order_id").agg(F.sum("nmv").cast("double").alias("nmv"), F.sum("gmv").cast("double").alias("gmv"), F.count("*").alias("line_count"), F.sum("qty").cast("long").alias("qty"), F.min_by("brand_name", F.struct("line_no", "brand_name")).alias("first_brand"))
 
 
 def order_parts(lines: DataFrame, by: str) -> DataFrame:

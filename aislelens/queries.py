@@ -327,7 +327,7 @@ def anomalies(s, d):
 
 
 # ------------------------------------------------------------ sales
-@query("select order_id, cast(sum(nmv) as double) as nmv, cast(sum(gmv) as double) as gmv, count(*) as line_count, cast(sum(qty) as bigint) as qty, arg_min(brand_name, line_no) as first_brand from pos group by 1")
+@query("select order_id, cast(sum(nmv) as double) as nmv, cast(sum(gmv) as double) as gmv, count(*) as line_count, cast(sum(qty) as bigint) as qty, arg_min(brand_name, struct_pack(a := line_no, b := brand_name)) as first_brand from pos group by 1")
 def pos_orders(s, d):
     return sales.orders(pos(s, d))
 
