@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, drop_frozen, frozen, numbered, passes, utf8
+from .common import SpanHash, drop_frozen, frozen, numbered, passes, release, utf8
 
 MIN_BYTES = 100
 #: Length of the grams that anchor a window; the smaller, the more anchors agree by chance.
@@ -219,6 +219,29 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _hits(docs: DataFrame, least: int) -> DataFrame:
+    """(row_no, spots): for each row its anchors that occur again."""
+    spots = frozen(docs.select("row_no", "text").mapInArrow(_anchor_rows(least), "h long, row_no long, spot long"))
+    again = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    hits = frozen(spots.join(again, "h", "left_semi").groupBy("row_no").agg(F.collect_list(F.struct("h", "spot")).alias("spots")))
+    drop_frozen(spots)
+    return hits
+
+
+def _places(docs: DataFrame, hits: DataFrame, least: int) -> DataFrame:
+    """Every place of an anchor that occurs again, with the bytes of its windows."""
+    found = docs.select("doc_id", "row_no", "text").join(hits, "row_no").mapInArrow(
+        _contexts(least), "h long, ctx long, bytes binary, doc_id long, row_no long, spot long"
+    )
+    return frozen(found)
+
+
+def _leaves(places: DataFrame) -> DataFrame:
+    """Each different context of an anchor with its earliest place and the number of places."""
+    leaves = places.groupBy("h", "ctx", "bytes").agg(F.min(F.struct("doc_id", "row_no", "spot")).alias("at"), F.count("*").alias("places"))
+    return frozen(leaves.select("h", "ctx", "bytes", "at.*", "places"))
+
+
 def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """(row_no, spans): for rows of docs (row_no, doc_id, text), the byte ranges that `least`-byte strings cover which also start earlier.
 
@@ -229,18 +252,13 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     that a third of all rows share is one leaf too. An anchor with very many different contexts
     is split by the distance between window and anchor, which windows that repeat have in common.
     """
-    scan = _anchor_rows(least)
-    spots = frozen(docs.select("row_no", "text").mapInArrow(scan, "h long, row_no long, spot long"))
-    again = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    mine = spots.join(again, "h", "left_semi").groupBy("row_no").agg(F.collect_list(F.struct("h", "spot")).alias("spots"))
-    places = frozen(
-        docs.select("doc_id", "row_no", "text").join(mine, "row_no").mapInArrow(
-            _contexts(least), "h long, ctx long, bytes binary, doc_id long, row_no long, spot long"
-        )
-    )
-    drop_frozen(spots)
-    leaves = places.groupBy("h", "ctx", "bytes").agg(F.min(F.struct("doc_id", "row_no", "spot")).alias("at"), F.count("*").alias("places"))
-    leaves = frozen(leaves.select("h", "ctx", "bytes", "at.*", "places"))
+    hits = _hits(docs, least)
+    release(docs.sparkSession)
+    places = _places(docs, hits, least)
+    drop_frozen(hits)
+    release(docs.sparkSession)
+    leaves = _leaves(places)
+    release(docs.sparkSession)
     kin = leaves.groupBy("h").agg(F.count("*").alias("leaves")).where("leaves > 1")
     kin = kin.select("h", F.explode(F.expr(f"transform(sequence(0, least({least - GRAM}, (leaves - 1) div {FAMILY})), x -> named_struct('slice', int(x), 'slices', int(least({least - GRAM}, (leaves - 1) div {FAMILY}) + 1)))")).alias("s")).select("h", "s.*")
     family = leaves.select("h", "bytes", "doc_id", "row_no", "spot").join(kin, "h")
@@ -248,7 +266,12 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     copies = places.alias("p").join(
         leaves.where("places > 1").select("h", "ctx", F.col("row_no").alias("r0"), F.col("spot").alias("s0")), ["h", "ctx"]
     ).where("row_no <> r0 or spot <> s0").selectExpr("row_no", "shiftright(spot, 16) as a", f"shiftright(spot, 16) + (shiftright(spot, 8) & 255) + {least} as b")
-    return late.union(copies).groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    found = frozen(late.union(copies))
+    drop_frozen(places)
+    drop_frozen(leaves)
+    del leaves, places, kin, family, late, copies
+    release(docs.sparkSession)
+    return found.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
