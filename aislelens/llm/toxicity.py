@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, frozen, mix, passes, utf8
+from .common import SpanHash, mix, passes, utf8
 
 #: Hashed features. What is broadcast has at most that many weights, and L1 leaves few of them.
 BITS = 20
@@ -89,11 +88,33 @@ def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -
     return kept, weight(z[kept], n[kept]).astype(np.float32), bias
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all examples, which are bounded in number: the intercept, then each weight."""
+    ids, toxic, examples = [], [], []
+    for b in batches:
+        lists = b.column("features")
+        edge, values = np.asarray(lists.offsets), np.asarray(lists.values)
+        examples += [values[i:j] for i, j in zip(edge, edge[1:], strict=False)]
+        ids.append(b.column("doc_id").to_numpy())
+        toxic.append(b.column("toxic").to_numpy() > 0)
+    labels = np.concatenate([*toxic, np.zeros(0, bool)]).astype(float)
+    kept, values, bias = np.zeros(0, np.int64), np.zeros(0, np.float32), -5.0
+    if len(set(labels.tolist())) == 2:
+        # An order that depends on the rows alone.
+        ids = np.concatenate(ids)
+        order = np.lexsort((labels, ids, mix(ids.view(np.uint64))))
+        kept, values, bias = fit_ftrl([examples[i] for i in order], labels[order])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([-1, *kept.tolist()], pa.int32()), pa.array([0.0, *values.tolist()], pa.float32()), pa.array([bias] * (len(kept) + 1))], ["feature", "weight", "intercept"]
+    )
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """A model from labels (doc_id, toxic) and docs (doc_id, text), on rows whose crc32(doc_id) mod 5 is not 0.
 
     At most about `sample` labelled rows are used, chosen by a hash of doc_id; a doc_id
     labelled twice counts as toxic if one row says so; null labels and doc_ids are left out.
+    The sample is trained on in one task, and only weights come to the driver.
     Without examples of both kinds the model has no weights.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
@@ -104,11 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     # A bounded set of ids, so that texts needn't be shuffled to find them.
     chosen = F.broadcast(known.where(f"pmod(xxhash64(doc_id), {1 << 20}) < {share}"))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    rows = found.mapInArrow(_examples, "doc_id long, toxic int, features array<int>").toPandas()
-    rows = rows.assign(order=pd.util.hash_array(rows["doc_id"].to_numpy(np.int64))).sort_values(["order", "doc_id"], kind="stable")
-    if rows["toxic"].nunique() < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32), -5.0
-    return fit_ftrl([np.asarray(x, np.int64) for x in rows["features"]], (rows["toxic"].to_numpy() > 0).astype(float))
+    rows = found.mapInArrow(_examples, "doc_id long, toxic int, features array<int>").repartition(1).mapInArrow(_train, "feature int, weight float, intercept double").collect()
+    return np.array([r["feature"] for r in rows[1:]], np.int64), np.array([r["weight"] for r in rows[1:]], np.float32), rows[0]["intercept"]
 
 
 def _scorer(model: tuple[np.ndarray, np.ndarray, float]):
