@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that one Python worker remembers before it starts afresh.
-KNOWN = 1_500_000
+KNOWN = 500_000
 #: White space and controls on which libraries may differ; a text with one is encoded as a whole.
 _ODD = "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
