@@ -14,6 +14,9 @@ import pyarrow.compute as pc
 KNOWN = 500_000
 #: White space and controls on which libraries may differ; a text with one is encoded as a whole.
 _ODD = "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
+#: Latin letters and closing marks: a pre-token, and one more for the marks (any marks but an apostrophe would do).
+_SIMPLE = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,;:!?&#*$%)\\]}]*"
+_MARKS = ".,;:!?&#*$%)]}"
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Byte-level vocabularies name a byte by itself if it prints, else by the next character from 0x100 on.
 _NAMES = {b: 0x100 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
@@ -44,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        self.simple = f"^{_SIMPLE}$"
         self.odd = _ODD + ("|\\s |^ | \\s| $" if spaced else "")
         self.forget()
 
@@ -85,23 +89,49 @@ class Encoder:
             for x in lines:
                 ks += [self.known[x] if x in self.known else self._learn(x), ks[0]]
             return self._keep(word, [i for k in ks[1:-1] for i in self.ids[self.start[k] : self.start[k + 1]]])
-        stem = word.rstrip(".,;:!?")
+        stem = word.rstrip(_MARKS)
         if len(stem) == len(word) or not stem[-1:].isalpha():
             return self._part(word)
         both = [self._part(stem), self._part(word[len(stem) :])]
         return self._keep(word, [i for k in both for i in self.ids[self.start[k] : self.start[k + 1]]])
 
+    def _learn_simple(self, words: list[str]) -> None:
+        """Encodes different words of the form _SIMPLE that are not known: _learn() of each, in one loop."""
+        known, ids, start, tokenize, spaced = self.known, self.ids, self.start, self.tokenizer.model.tokenize, self.spaced
+        space = chr(_NAMES[0x20])
+        for word in words:
+            stem = word.rstrip(_MARKS)
+            k = known.get(stem)
+            if k is None:
+                k, x = len(start) - 1, stem if spaced else stem.lower()
+                if not x.isascii():
+                    x = x.encode().decode("latin-1").translate(_NAMES)
+                elif x[0] == " ":
+                    x = space + x[1:]
+                ids.extend([t.id for t in tokenize(x)])
+                start.append(len(ids))
+                known[stem] = k
+            if len(stem) != len(word):
+                tail = word[len(stem) :]
+                t = known[tail] if tail in known else self._part(tail)
+                ids.extend(ids[start[k] : start[k + 1]] + ids[start[t] : start[t + 1]])
+                start.append(len(ids))
+                known[word] = len(start) - 2
+
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row); null is the empty text."""
         texts = pc.fill_null(texts, "")
         odd = np.asarray(pc.match_substring_regex(texts, self.odd))
         if odd.any():
-            rows = [self.whole(t.as_py()) if o else self.column(pa.array([t.as_py()], pa.string()))[0] for t, o in zip(texts, odd, strict=True)]
+            ids, n = self.column(texts.filter(pa.array(~odd)))
+            even = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
+            rows = [self.whole(t.as_py()) if o else next(even) for t, o in zip(texts, odd, strict=True)]
             return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
         lists = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
         per_row = np.asarray(pc.list_value_length(lists)).astype(np.int64)
         coded = pc.dictionary_encode(pc.list_flatten(lists))
         names, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        simple = np.asarray(pc.match_substring_regex(coded.dictionary, self.simple)).tolist()
         if self.spaced:
             # All but a row's first word have a space before them.
             first = np.zeros(len(code), bool)
@@ -114,16 +144,20 @@ class Encoder:
         known, learn = self.known, self._learn
         if "" not in known:
             self._keep("", [])
-        index = [known[w] if w in known else learn(w) for w in names]
+        index = list(map(known.get, names))
+        new = [i for i, k in enumerate(index) if k is None]
+        # `simple` is as long as the different words; after these come a row's first words, without a space.
+        self._learn_simple([names[i] for i in new if i < len(simple) and simple[i]])
+        for i in new:
+            w = names[i]
+            index[i] = known[w] if w in known else learn(w)
         start, store = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.uint32)
         which = np.array(index, np.int64)[code] if len(code) else code
-        begin = start[which]
-        n = start[which + 1] - begin
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - n), n)
+        ends = np.cumsum(start[which + 1] - start[which])
+        parts = pa.LargeListArray.from_arrays(pa.array(start), pa.array(store)).take(pa.array(which)).flatten()
         total = np.concatenate([[0], ends])
         cut = np.cumsum(per_row)
-        return store[at], total[cut] - total[cut - per_row]
+        return np.asarray(parts), total[cut] - total[cut - per_row]
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
