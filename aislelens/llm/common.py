@@ -38,9 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """Written to the shared folder as Parquet and read back: lineage is cut, lost executors are harmless."""
+    """Written to the shared folder as Parquet (zstd) and read back: lineage is cut, lost executors are harmless."""
     spark, folder = df.sparkSession, new_folder(df.sparkSession, "part")
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._folder = folder
     return out

@@ -91,8 +91,8 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str) -> None:
     # A chunk's bytes come from its first place; equal places are one row before the exchange.
     made.groupBy("key").agg(F.first("data").alias("data"), F.first("n").alias("n")).selectExpr(
         "key", "int(length(data) div n) as width", "data"
-    ).sortWithinPartitions("key").write.parquet(f"{folder}/chunks")
-    made.drop("data").repartitionByRange("doc_id", "row_no").sortWithinPartitions("doc_id", "row_no", "at").write.parquet(f"{folder}/recipes")
+    ).sortWithinPartitions("key").write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    made.drop("data").repartitionByRange("doc_id", "row_no").sortWithinPartitions("doc_id", "row_no", "at").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     drop_frozen(made)
     _leaves(spark.read.parquet(f"{folder}/chunks")).write.parquet(f"{folder}/manifest")
 
