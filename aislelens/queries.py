@@ -211,12 +211,10 @@ st as (
 )"""
 
 
-def _sparse(s, d):
-    # Stages differ only on a sparse selection: every user of the tables reaches every stage.
+def _visits(s, d):
     e, t = ev(s, d), tx(s, d)
-    ses = visits.materialize_sessions(e).where("cast(external_track_id as bigint) % 4 = 0")
-    sig = visits.signals(e.where("event_id % 40 = 0"), t.where("transaction_id % 97 = 0"))
-    return sig, visits.visitor_stages(sig, ses), t.where("transaction_id % 97 = 0")
+    sig = visits.signals(e, t)
+    return sig, visits.visitor_stages(sig, visits.materialize_sessions(e)), t
 
 
 @query(f"with recursive {adapter.SQL}, {SIG}" + """
@@ -226,7 +224,7 @@ select store_id, stage, visitors, conv as conversion, round(1 - conv, 4) as drop
   union all select store_id, 'BILLING_QUEUE', count(*) filter (n3 > 0), round(count(*) filter (n3 > 0 and n4 > 0) / cast(nullif(count(*) filter (n3 > 0), 0) as double), 4), cast(sum(greatest(n3 - 1, 0)) as bigint) from st group by 1
   union all select store_id, 'PURCHASE', count(*) filter (n4 > 0), null, cast(sum(greatest(n4 - 1, 0)) as bigint) from st group by 1)""")
 def funnel(s, d):
-    return visits.funnel(_sparse(s, d)[1])
+    return visits.funnel(_visits(s, d)[1])
 
 
 JOURNEY = f"""with recursive {adapter.SQL}, {SIG},
@@ -241,19 +239,19 @@ jo as (
 
 @query(JOURNEY + " select * from jo")
 def journeys(s, d):
-    _, st, t = _sparse(s, d)
+    _, st, t = _visits(s, d)
     return visits.journeys(st, t)
 
 
 @query(JOURNEY + " select store_id, count(*) as journeys, count(*) filter (complete) as complete, count(billing_at) as with_billing, count(purchase_at) as with_purchase, round(count(*) filter (billing_at is not null and purchase_at is not null) / cast(nullif(count(billing_at), 0) as double), 4) as billing_to_purchase from jo group by 1")
 def journey_summary(s, d):
-    _, st, t = _sparse(s, d)
+    _, st, t = _visits(s, d)
     return visits.journey_summary(visits.journeys(st, t))
 
 
 @query(f"with recursive {adapter.SQL}, {SIG} select store_id, count(*) filter (n1 > 0 and n2 > 0) as entry_zone, count(*) filter (n2 > 0 and n3 > 0) as zone_billing, count(*) filter (n1 > 0 and n3 > 0) as entry_billing from st where n1 + n2 + n3 + n4 > 0 group by 1")
 def stage_overlap(s, d):
-    return visits.stage_overlap(_sparse(s, d)[0])
+    return visits.stage_overlap(_visits(s, d)[0])
 
 
 # ------------------------------------------------------------ zones and anomalies
