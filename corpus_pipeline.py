@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id; rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each group of near duplicates (similarity 0.8 or more), the one of the smallest doc_id; rows without a doc_id stay."""
+    kept = near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
 

@@ -230,3 +230,18 @@ def test_licenses(spark, docs, none):
     got = {r["doc_id"]: (r["licenses"], r["category"]) for r in licenses.scan_licenses(df).collect()}
     assert got == {1: ("MIT", "permissive"), 2: ("BSD-3-Clause", "permissive"), 3: ("", "none"), 4: ("CC-BY-NC-4.0", "noncommercial")}
     assert licenses.scan_licenses(docs).count() == len(ROWS) and licenses.scan_licenses(none).count() == 0
+
+
+def test_pipeline_near_dedup_at_80(spark):
+    import corpus_pipeline
+
+    near = BASE.split()
+    near[30] = "other"
+    words = [f"w{k}" for k in range(100)]
+    far = [*words[:12], "x1", *words[13:60], "x2", *words[61:]]
+    df = spark.createDataFrame([(1, BASE, 0), (2, " ".join(near), 0), (3, " ".join(words), 0), (4, " ".join(far), 0), (5, " ".join(words[:60] + ["y"] * 40), 0)], "doc_id long, text string, n_chars int")
+    share = lambda a, b: len(a & b) / len(a | b)
+    sets = {r["doc_id"]: {tuple(r["text"].split()[i : i + 5]) for i in range(len(r["text"].split()) - 4)} for r in df.collect()}
+    assert 0.8 < share(sets[1], sets[2]) < 0.85 and 0.8 < share(sets[3], sets[4]) < 0.85 and share(sets[3], sets[5]) < 0.8
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {1, 3, 5}
+    assert all(r["kept"] for r in near_dedup.near_duplicates(df).collect())
