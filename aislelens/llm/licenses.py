@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ RULES = [
     ("Unlicense", ["Unlicense"]),
     ("Proprietary", ["AllRights"]),
 ]
-#: A sentence ends at a mark before white space, or at a line end after an empty line or a mark.
-BREAK = "[.!?;]+[ \\t\\r\\n]+|[.!?;]*[\\r\\n]+|[.!?;]+$"
+#: A sentence ends at a mark before white space (B). A line end (N) may be inside it, an empty line may not.
+MARKS, LINES = "[.!?;]+[ \\t\\r\\n]+", "\\r\\n?|\\n"
 
 
 def plain(sentence: str) -> str:
@@ -64,24 +66,34 @@ def known_sentences() -> dict[str, str]:
     return {plain(s): name for name, sentences in SENTENCES.items() for s in sentences}
 
 
+def sentence_pattern() -> str:
+    """What finds a known sentence in a text of ASCII letters, digits, B and N: from a line or sentence start to an end.
+
+    Between two words may be a single line end, and a mark where the sentence has one itself
+    (v. 2.0). The longest sentence of a place comes first.
+    """
+    forms = []
+    for s in sorted((s for sentences in SENTENCES.values() for s in sentences), key=lambda s: -len(plain(s))):
+        pieces = [plain(x).replace(" ", "[ N]") for x in re.split(MARKS, s)]
+        forms.append("[ NB]".join(x for x in pieces if x))
+    return f"(?<=^|[BN])(?:{'|'.join(forms)})(?=$|[BN])"
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses, category) for each row of docs (doc_id, text).
 
-    Each sentence of the whole text is normalised and looked up; the names of known ones, in
-    order, are matched against RULES one after the other, and a rule that matches takes its
-    names out of the sequence. sentence_ids and licenses are joined by ',', licenses in the
-    order of RULES; category: permissive, copyleft, noncommercial, other or none. All of it is
+    Each line and each sentence of the whole text, wrapped over lines or not, is normalised and
+    looked up; the names of known ones, in order, are matched against RULES one after the
+    other, and a rule that matches takes its names out of the sequence. sentence_ids and
+    licenses are joined by ',', licenses in the order of RULES; category: permissive, copyleft, noncommercial, other or none. All of it is
     one projection: no exchange, no Python. Null or empty text: 0, '', '', none. A null
     doc_id is passed on; repeated rows each count; no rows give no rows.
     """
     table = F.create_map(*(F.lit(x) for pair in known_sentences().items() for x in pair))
-    longest = max(map(len, known_sentences())) * 2
-    # Only pieces that may be a known sentence are normalised.
-    pieces = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), BREAK)
-    likely = F.filter(pieces, lambda s: (F.length(s) <= longest) & s.rlike("(?i)licen[sc]|spdx|copy|permi|redistribut|software|rights|neither the name"))
-    found = F.filter(
-        F.transform(likely, lambda s: table[F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))]), lambda x: x.isNotNull()
-    )
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    for old, new in ((MARKS, "B"), (LINES, "N"), ("[^a-z0-9BN]+", " "), (" ?([BN]) ?", "$1"), ("^ | $", "")):
+        text = F.regexp_replace(text, old, new)
+    found = F.transform(F.regexp_extract_all(text, F.lit(sentence_pattern()), F.lit(0)), lambda s: table[F.translate(s, "BN", "  ")])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found")).withColumn(
         "left_over", F.concat(F.lit(","), F.array_join(F.transform("found", lambda x: F.concat(x, F.lit(","))), ""))
     )

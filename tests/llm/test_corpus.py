@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -245,3 +246,28 @@ def test_pipeline_near_dedup_at_80(spark):
     assert 0.8 < share(sets[1], sets[2]) < 0.85 and 0.8 < share(sets[3], sets[4]) < 0.85 and share(sets[3], sets[5]) < 0.8
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {1, 3, 5}
     assert all(r["kept"] for r in near_dedup.near_duplicates(df).collect())
+
+
+def test_licenses_over_lines(spark):
+    full = {
+        "MIT": ["MitGrant", "MitInclude", "AsIs"], "ISC": ["IscGrant"], "GPL-3.0-or-later": ["GplFree"], "BSD-3-Clause": ["BsdGrant", "BsdSource", "BsdBinary", "BsdName"],
+        "BSD-2-Clause": ["BsdGrant", "BsdSource", "BsdBinary"], "Apache-2.0": ["ApacheNotice", "ApacheComply", "ApacheCopy"], "MPL-2.0": ["MplNotice"],
+    }
+    wrap = lambda s, n, lead="", end="\n": end.join(lead + x for x in textwrap.wrap(s, n))
+    rows, want = [], []
+    for name, sentences in licenses.SENTENCES.items():
+        for s in sentences:
+            for text in (s, f"Title\n{s}.\nMore", wrap(s, 80), f"Head\n\n{wrap(s, 40)}\n\nTail", wrap(s, 40, " * ", "\r\n")):
+                rows.append((len(rows), text))
+                want.append((name, None))
+    for licence, names in full.items():
+        for n in (80, 30):
+            rows.append((len(rows), "Some License\n\nCopyright (c) 2020 A. Person\n\n" + "\n\n".join(wrap(licenses.SENTENCES[k][0] + ".", n) for k in names)))
+            want.append((",".join(names), licence))
+    bsd = "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + "\n".join(wrap(licenses.SENTENCES[k][0] + ("" if k == "BsdGrant" else "."), 80) for k in full["BSD-3-Clause"])
+    rows += [(len(rows), bsd), (len(rows) + 1, "Permission to\n\nuse. All rights\n\nreserved. All. Rights reserved. Not all rights reserved")]
+    want += [("AllRights,BsdGrant,BsdSource,BsdBinary,BsdName", "BSD-3-Clause,Proprietary"), ("", "")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (k, text), (ids, licence) in zip(rows, want, strict=True):
+        assert got[k]["sentence_ids"] == ids and (licence is None or got[k]["licenses"] == licence), text
+        assert got[k]["n_sentences"] == len([x for x in ids.split(",") if x])
