@@ -116,8 +116,10 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     batches meet blocks in shards, so a task holds BATCH queries and SHARD blocks at most.
 
     Null vectors and ones with null or non-finite components take no part; nor do rows with a
-    null vec_id. Vectors of different lengths are not compared. If a vec_id repeats, a query
-    with that id is asked once for each row, and rows of its id are its own. Scores beyond the
+    null vec_id. Vectors of different lengths are not compared. Rows of equal vec_id and equal floored
+    vector are one row. If a vec_id repeats with different vectors, each is a row: a query
+    with that id is asked once for each, with the k best of all its answers, and rows of its
+    id are its own. Scores beyond the
     range of a long stay at its end. Fewer than k others give fewer rows; none give none.
     """
     spark = vectors.sparkSession
@@ -137,7 +139,7 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     pdf.loc[part.index, "point"] = (m @ p.T - (p * p).sum(axis=1) / 2).argmax(axis=1)
             yield pdf
 
-    placed = frozen(usable.mapInPandas(near, "vec_id long, dim int, v array<double>, point long"))
+    placed = frozen(usable.dropDuplicates(["vec_id", "v"]).mapInPandas(near, "vec_id long, dim int, v array<double>, point long"))
     sizes = placed.groupBy("dim", "point").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
     cut = placed.join(F.broadcast(sizes), ["dim", "point"]).withColumn("part", F.expr("pmod(xxhash64(vec_id), parts)"))
     blocks = frozen(
@@ -152,5 +154,5 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     right = side.where("asked > 0").select(F.col("dim").alias("q_dim"), "q_ids", "q_rows", "q_floor", F.expr("explode(sequence(0L, shards - 1))").alias("q_shard"), F.expr("pmod(xxhash64(tie, 1), batches)").alias("q_batch"))
     found = left.groupBy("dim", "shard", "batch").cogroup(right.groupBy("q_dim", "q_shard", "q_batch")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
     # Each shard has k rows a query at most; a sorted list is merged before and after the exchange.
-    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.bitwise_not("score").alias("s"), "vec_id", "score"))), 1, k).alias("top"))
+    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), "vec_id", "score"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

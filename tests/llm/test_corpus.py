@@ -248,6 +248,13 @@ def test_pipeline_near_dedup_at_80(spark):
     assert all(r["kept"] for r in near_dedup.near_duplicates(df).collect())
 
 
+def test_topk_of_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [9.0, 0.0])] * 5 + [(k, [float(k) / 10, 0.0]) for k in range(10, 20)] + [(8, [3.0, 1.0]), (8, [3.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in topk.exact_topk(df).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(1, 7), (2, 8), (3, 8), (4, 19), (5, 18)]
+
+
 def test_licenses_over_lines(spark):
     full = {
         "MIT": ["MitGrant", "MitInclude", "AsIs"], "ISC": ["IscGrant"], "GPL-3.0-or-later": ["GplFree"], "BSD-3-Clause": ["BsdGrant", "BsdSource", "BsdBinary", "BsdName"],
