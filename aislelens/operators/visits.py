@@ -65,6 +65,11 @@ def funnel(stages: DataFrame) -> DataFrame:
     return rows.select("store_id", "stage", "visitors", conv.alias("conversion"), F.round(1 - conv, 4).alias("drop_off"), "reentries")
 
 
+def conversion(stages: DataFrame) -> DataFrame:
+    """(store_id, entries, rate): visitors, and the share of them that purchased. (R-02)"""
+    return stages.groupBy("store_id").agg(F.count("*").alias("entries"), (F.count_if(F.col("n_PURCHASE") > 0) / F.count("*")).alias("rate"))
+
+
 def journeys(stages: DataFrame, tx: DataFrame) -> DataFrame:
     """Stage times of each visitor with the last completed purchase of the track. (A-32, J-03, W-10)"""
     last = tx.where("status = 'completed' and external_track_id is not null").groupBy("store_id", F.concat(F.lit("track:"), "external_track_id").alias("visitor_key")).agg(

@@ -312,9 +312,15 @@ def stale_feeds(s, d):
 
 @query("select a.store_id, 'store' as zone_key, 'CONVERSION_DROP' as anomaly_type, case when b.r - a.r >= 0.3 then 'CRITICAL' else 'WARN' end as severity, round(b.r - a.r, 6) as measure from (select store_id, count(*) as n, count(*) filter (event_type = 'analytics.purchase.completed') / cast(count(*) as double) as r from ev where event_id % 2 = 0 group by 1) a join (select store_id, 0.5 as r from ev group by 1) b using (store_id) where a.n >= 10 and b.r - a.r >= 0.15")
 def conversion_drops(s, d):
-    e = ev(s, d)
-    now = e.where("event_id % 2 = 0").groupBy("store_id").agg(F.count("*").alias("entries"), (F.count_if(F.col("event_type") == C.PURCHASE) / F.count("*")).alias("rate"))
-    return zones.conversion_drops(now, e.groupBy("store_id").agg(F.lit(0.5).alias("rate")))
+    # Whole windows, as in zone_counts: [MIDDLE, END] against [START, MIDDLE).
+    e, t = ev(s, d), tx(s, d)
+    ses, middle = visits.materialize_sessions(e), F.lit(MIDDLE).cast("timestamp_ntz")
+
+    def rate(a, b, inside):
+        part = lambda df, at="occurred_at": df.where(C.in_period(at, a, b) & inside(F.col(at)))
+        return visits.conversion(visits.visitor_stages(visits.signals(part(e), part(t)), part(ses, "started_at")))
+
+    return zones.conversion_drops(rate(MIDDLE, END, lambda at: at >= middle), rate(START, MIDDLE, lambda at: at < middle))
 
 
 @query()

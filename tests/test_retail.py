@@ -146,3 +146,22 @@ def test_visits_of_whole_tables(spark, name):
     key = lambda row: tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in row)
     want = sorted(key([row[names.index(c)] for c in cols]) for row in r.fetchall())
     assert sorted(key(r) for r in df.select(*cols).collect()) == want
+
+
+def test_conversion_drops_of_windows(spark, monkeypatch):
+    kind = "event_id long, store_id string, event_type string, occurred_at timestamp_ntz, external_track_id string, class_label string, zone_type string, is_store_entry boolean"
+    rows, sold = [], []
+    for store, share in (("s1", 2), ("s2", 1), ("s3", 5)):
+        for day, buyers in ((8, 10 * 4 // 5), (18, 10 // share)):
+            for k in range(10):
+                when = datetime(2024, 1, day, 10, k)
+                rows.append((2 * len(rows) + 1, store, C.ENTERED, when, f"{store}-{day}-{k}", "visitor", "entry_threshold", True))
+                if k < buyers:
+                    sold.append((len(sold), store, "completed", when + timedelta(minutes=5), f"{store}-{day}-{k}"))
+    rows.append((1, "s1", C.ENTERED, datetime(2024, 1, 2), "early", "visitor", "entry_threshold", True))
+    sold.append((len(sold), "s1", "completed", datetime(2024, 2, 1), "s1-18-9"))
+    e, t = spark.createDataFrame(rows, kind), spark.createDataFrame(sold, "transaction_id long, store_id string, status string, occurred_at timestamp_ntz, external_track_id string")
+    monkeypatch.setattr(retail, "ev", lambda s, d: e)
+    monkeypatch.setattr(retail, "tx", lambda s, d: t)
+    got = {(r["store_id"], r["severity"], r["measure"]) for r in retail.queries()["conversion_drops"](spark, "").collect()}
+    assert got == {("s1", "CRITICAL", 0.3), ("s3", "CRITICAL", 0.6)}
