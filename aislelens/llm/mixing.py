@@ -66,7 +66,7 @@ def source_targets(docs: DataFrame) -> DataFrame:
     )
 
 
-def schedule(rows: DataFrame) -> DataFrame:
+def schedule(rows: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(row_no, copy, taken, position, source_size, target) from rows (row_no, source, size, order_key): each copy that the mix takes.
 
     A source's documents follow each other in the order of order_key, again and again, until
@@ -75,7 +75,7 @@ def schedule(rows: DataFrame) -> DataFrame:
     at which demand reaches the place where the copy starts, the integral inverted. Offsets
     are sums over (source, part) and then within a part, so that no source meets in one task.
     """
-    targets = frozen(source_targets(rows))
+    targets = frozen(source_targets(rows)) if targets is None else targets
     rows = rows.withColumn("part", F.substring("order_key", 1, 3))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = parts.selectExpr(
@@ -97,6 +97,16 @@ def schedule(rows: DataFrame) -> DataFrame:
     return copies.select("row_no", "copy", "taken", F.when(F.col("target") > 0, time).otherwise(1.0).alias("position"), "source_size", "target")
 
 
+def in_order(copies: DataFrame) -> DataFrame:
+    """Copies range-sorted by training position."""
+    return copies.repartitionByRange("position", "row_no", "copy").sortWithinPartitions("position", "row_no", "copy")
+
+
+def training_plan(rows: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(row_no, copy, taken, position) of the copies that the mix takes, written in the order of training."""
+    return frozen(in_order(schedule(rows, targets).where("taken > 0").select("row_no", "copy", "taken", "position")))
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     """docs with row_no, size, and order_key: a digest of doc_id that every engine gives alike (null: of the empty string)."""
     return numbered(docs).withColumn("size", word_count(F.col("text"))).withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -106,17 +116,17 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source).
 
     size: words; target: its source's; taken: words of it that the mix takes, all copies
-    counted, at most REPEATS * size. A source's taken words add up to its target, rounded.
+    counted, at most REPEATS * size; summed over the written plan of copies and positions. A source's taken words add up to its target, rounded.
     Null text: size 0; a null source is a source, the last one; repeated rows each count; an
     empty table gives no rows. Other columns are not looked at. Ties of order_key (equal
     doc_ids) go by row number.
     """
     rows = prepared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")))
-    rows = rows.select("row_no", "doc_id", "source", "size", "order_key")
-    per_row = schedule(rows).groupBy("row_no").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken")
-    )
-    return rows.select("row_no", "doc_id", "size").join(per_row, "row_no").select("doc_id", "size", "source_size", "target", "taken")
+    rows = frozen(rows.select("row_no", "doc_id", "source", "size", "order_key"))
+    targets = frozen(source_targets(rows))
+    taken = training_plan(rows, targets).groupBy("row_no").agg(F.sum("taken").alias("taken"))
+    named = rows.join(targets.withColumnRenamed("source", "s"), rows.source.eqNullSafe(F.col("s"))).join(taken, "row_no", "left")
+    return named.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
@@ -133,4 +143,4 @@ def curriculum(docs: DataFrame) -> DataFrame:
     got = got.withColumn("text", F.when(F.col("taken") < F.col("size"), short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return got.repartitionByRange("position", "row_no", "copy").sortWithinPartitions("position", "row_no", "copy").select(*docs.columns)
+    return in_order(got).select(*docs.columns)

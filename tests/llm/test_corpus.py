@@ -278,3 +278,25 @@ def test_licenses_over_lines(spark):
     for (k, text), (ids, licence) in zip(rows, want, strict=True):
         assert got[k]["sentence_ids"] == ids and (licence is None or got[k]["licenses"] == licence), text
         assert got[k]["n_sentences"] == len([x for x in ids.split(",") if x])
+
+
+def test_mixing_writes_the_plan(docs, monkeypatch):
+    plans = []
+    kept = mixing.frozen
+
+    def seen(df):
+        out = kept(df)
+        if "position" in df.columns:
+            plans.append(out)
+        return out
+
+    monkeypatch.setattr(mixing, "frozen", seen)
+    taken = sum(r["taken"] for r in mixing.mix_documents(docs).collect())
+    (plan,) = plans
+    rows = plan.withColumn("part", F.input_file_name()).collect()
+    assert sum(r["taken"] for r in rows) == taken and all(0 <= r["position"] <= 1 for r in rows)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["part"]].append(r["position"])
+    ranges = sorted((p[0], p[-1]) for p in by.values())
+    assert all(p == sorted(p) for p in by.values()) and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
