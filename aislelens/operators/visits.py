@@ -29,17 +29,48 @@ def materialize_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     )
 
 
-def signals(events: DataFrame, tx: DataFrame) -> DataFrame:
-    """(store_id, visitor_key, stage, at): stage signals of customer events and of completed, tracked purchases. (P-07, P-09, U-02)"""
-    vis = events.where((F.col("event_type") == C.ENTERED) & C.is_customer_track()).select("store_id", F.concat(F.lit("track:"), "external_track_id").alias("visitor_key"), C.stage().alias("stage"), F.col("occurred_at").alias("at"))
-    buy = events.where((F.col("event_type") == C.PURCHASE) & C.is_customer_track()).select("store_id", F.concat(F.lit("track:"), "external_track_id").alias("visitor_key"), F.lit("PURCHASE").alias("stage"), F.col("occurred_at").alias("at"))
-    sold = tx.where("status = 'completed' and external_track_id is not null").select("store_id", F.concat(F.lit("track:"), "external_track_id").alias("visitor_key"), F.lit("PURCHASE").alias("stage"), F.col("occurred_at").alias("at"))
-    return vis.where("stage is not null").unionByName(buy).unionByName(sold)
+def _track(col: str = "external_track_id"):
+    """A track id, null if it names none."""
+    t = F.col(col).cast("string")
+    return F.when((t != "") & (F.lower(t) != "null"), t)
+
+
+def _keyed(rows: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """rows with visitor_key and linked_track: of the linked session where there is a session_id, else of the track. (J-01, J-02)
+
+    Rows of a staff session, of an unknown session, or without session and track go. sessions
+    are all sessions (store_id, session_id, external_track_id, staff), whatever the period.
+    """
+    track = _track()
+    if "session_id" not in rows.columns:
+        return rows.withColumn("linked_track", track).withColumn("visitor_key", F.concat(F.lit("track:"), track)).where("visitor_key is not null")
+    if sessions is None:
+        raise ValueError("rows with a session_id need sessions")
+    linked = sessions.select("store_id", "session_id", _track().alias("session_track"), F.coalesce("staff", F.lit(False)).alias("session_staff"))
+    joined = rows.join(linked, ["store_id", "session_id"], "left")
+    by_session = F.when(~F.col("session_staff"), F.coalesce(F.concat(F.lit("track:"), "session_track"), F.concat(F.lit("session:"), F.col("session_id").cast("string"))))
+    key = F.when(F.col("session_id").isNotNull(), by_session).otherwise(F.concat(F.lit("track:"), track))
+    return joined.withColumn("visitor_key", key).withColumn("linked_track", F.coalesce(track, "session_track")).where("visitor_key is not null")
+
+
+def signals(events: DataFrame, tx: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """(store_id, visitor_key, stage, at): stage signals of customer events and of completed purchases, linked by session or track. (P-07, P-09, J-01, J-02, U-02)
+
+    sessions is needed if events or tx have a session_id. A purchase event needs a track, its own or its session's.
+    """
+    out = lambda df, stage: df.select("store_id", "visitor_key", stage.alias("stage"), F.col("occurred_at").alias("at"))
+    seen = _keyed(events.where(F.col("event_type").isin(C.ENTERED, C.PURCHASE) & C.is_customer_event()), sessions)
+    vis = out(seen.where(F.col("event_type") == C.ENTERED), C.stage()).where("stage is not null")
+    buy = out(seen.where((F.col("event_type") == C.PURCHASE) & F.col("linked_track").isNotNull()), F.lit("PURCHASE"))
+    return vis.unionByName(buy).unionByName(out(_keyed(tx.where("status = 'completed'"), sessions), F.lit("PURCHASE")))
 
 
 def visitor_stages(sig: DataFrame, sessions: DataFrame) -> DataFrame:
     """Signals of each stage by visitor; a session marks ENTRY without being a re-entry. (A-23, W-01, W-02)"""
-    ses = sessions.where("not staff").select("store_id", F.concat(F.lit("track:"), "external_track_id").alias("visitor_key"), F.lit(None).cast("string").alias("stage"), F.col("started_at").alias("at"))
+    key = F.concat(F.lit("track:"), _track())
+    if "session_id" in sessions.columns:
+        key = F.coalesce(key, F.concat(F.lit("session:"), F.col("session_id").cast("string")))
+    ses = sessions.where("not staff").select("store_id", key.alias("visitor_key"), F.lit(None).cast("string").alias("stage"), F.col("started_at").alias("at"))
     n = [F.count_if(F.col("stage") == s).alias(f"n_{s}") for s in C.STAGES]
     first = [F.min(F.when(F.col("stage") == s, F.col("at"))).alias(f"at_{s}") for s in C.STAGES]
     return sig.unionByName(ses).groupBy("store_id", "visitor_key").agg(*n, *first, F.count_if(F.col("stage").isNull()).alias("n_sessions"), F.min("at").alias("first_at"))
@@ -70,9 +101,9 @@ def conversion(stages: DataFrame) -> DataFrame:
     return stages.groupBy("store_id").agg(F.count("*").alias("entries"), (F.count_if(F.col("n_PURCHASE") > 0) / F.count("*")).alias("rate"))
 
 
-def journeys(stages: DataFrame, tx: DataFrame) -> DataFrame:
-    """Stage times of each visitor with the last completed purchase of the track. (A-32, J-03, W-10)"""
-    last = tx.where("status = 'completed' and external_track_id is not null").groupBy("store_id", F.concat(F.lit("track:"), "external_track_id").alias("visitor_key")).agg(
+def journeys(stages: DataFrame, tx: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Stage times of each visitor with the last completed purchase, linked by session or track. (A-32, J-02, J-03, W-10)"""
+    last = _keyed(tx.where("status = 'completed'"), sessions).groupBy("store_id", "visitor_key").agg(
         F.max(F.struct("occurred_at", "transaction_id", "amount")).alias("t")
     )
     j = stages.join(last, ["store_id", "visitor_key"], "left")

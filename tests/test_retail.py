@@ -1,3 +1,4 @@
+import collections
 import uuid
 from datetime import datetime, timedelta
 
@@ -165,3 +166,18 @@ def test_conversion_drops_of_windows(spark, monkeypatch):
     monkeypatch.setattr(retail, "tx", lambda s, d: t)
     got = {(r["store_id"], r["severity"], r["measure"]) for r in retail.queries()["conversion_drops"](spark, "").collect()}
     assert got == {("s1", "CRITICAL", 0.3), ("s3", "CRITICAL", 0.6)}
+
+
+def test_purchases_linked_by_session(spark):
+    ses = spark.createDataFrame([("s", "a", "1", False, at(0)), ("s", "b", None, False, at(0)), ("s", "c", "3", True, at(0))], "store_id string, session_id string, external_track_id string, staff boolean, started_at timestamp_ntz")
+    e = spark.createDataFrame(
+        [("s", C.ENTERED, at(1), k, t, "visitor", "billing_queue") for k, t in (("a", None), ("b", None), ("c", "3"), (None, "9"), ("gone", "7"), (None, None))]
+        + [("s", C.PURCHASE, at(2), k, None, None, None) for k in ("a", "b", "c")],
+        "store_id string, event_type string, occurred_at timestamp_ntz, session_id string, external_track_id string, class_label string, zone_type string",
+    )
+    t = spark.createDataFrame([(k, "s", "completed", at(10 + k), x, y, 5.0) for k, (x, y) in enumerate([("a", None), ("b", None), ("c", "3"), (None, "9"), ("gone", None), (None, None)])], "transaction_id long, store_id string, status string, occurred_at timestamp_ntz, session_id string, external_track_id string, amount double")
+    sig = visits.signals(e, t, ses)
+    got = collections.Counter((r["visitor_key"], r["stage"]) for r in sig.collect())
+    assert got == {("track:1", "BILLING_QUEUE"): 1, ("session:b", "BILLING_QUEUE"): 1, ("track:9", "BILLING_QUEUE"): 1, ("track:1", "PURCHASE"): 2, ("session:b", "PURCHASE"): 1, ("track:9", "PURCHASE"): 1}
+    j = {r["visitor_key"]: r["transaction_id"] for r in visits.journeys(visits.visitor_stages(sig, ses), t, ses).collect()}
+    assert j == {"track:1": 0, "session:b": 1, "track:9": 3}
