@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Zone types and event vocabulary.
+# Zone types, funnel stages and event vocabulary.
 QUEUE_ZONES = ("checkout", "billing_queue", "queue", "billing")
-ENTRY_ZONES = ("entry_threshold", "entrance")
+ENTRY_ZONES = ("entry_threshold", "entrance", "entry")
+BROWSE_ZONES = ("browse", "browse_skincare", "browse_cosmetics", "aisle", "display", "zone", "promo_island", "consultation")
 HIDDEN_ZONES = ("staff_only", "ignore")
 ENTERED, EXITED, PURCHASE, FRAME, ENDED = "vision.zone.entered", "vision.zone.exited", "analytics.purchase.completed", "vision.frame.processed", "vision.track.ended"
 STAGES = ("ENTRY", "ZONE_VISIT", "BILLING_QUEUE", "PURCHASE")
+STAGE_LABELS = {"ENTRY": "Visitor", "ZONE_VISIT": "Zone Visit", "BILLING_QUEUE": "Billing Queue", "PURCHASE": "Purchase"}
+#: Stage of each zone type.
+ZONE_STAGES = dict.fromkeys(ENTRY_ZONES, "ENTRY") | dict.fromkeys(BROWSE_ZONES, "ZONE_VISIT") | dict.fromkeys(QUEUE_ZONES, "BILLING_QUEUE")
 
 
 def c(x: Column | str) -> Column:
@@ -44,15 +50,44 @@ def is_queue() -> Column:
     return F.coalesce(F.col("zone_type").isin(*QUEUE_ZONES), F.lit(False)) | z.contains("queue") | z.contains("billing") | z.contains("checkout")
 
 
-def stage() -> Column:
-    """Funnel stage of an event. (P-07)"""
-    z = F.lower("zone_type")
-    return (
-        F.when(F.col("event_type") == PURCHASE, "PURCHASE")
-        .when(z.isin(*ENTRY_ZONES), "ENTRY")
-        .when(z.isin(*QUEUE_ZONES), "BILLING_QUEUE")
-        .when(z.startswith("browse"), "ZONE_VISIT")
-    )
+def lookup(values: dict[str, str], key: Column) -> Column:
+    """The value of a small fixed map, null where there is none."""
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[key]
+
+
+def zone_stages(custom: dict[str, str] | None = None) -> dict[str, str]:
+    """ZONE_STAGES with a store's own entries over it; values that name no stage are left out. (P-08)"""
+    return ZONE_STAGES | {k.lower(): v.upper() for k, v in (custom or {}).items() if v.upper() in STAGES}
+
+
+def stage(explicit: Column | None = None, custom: dict[str, str] | None = None) -> Column:
+    """Funnel stage of an event: the one it names (a wrong name gives none), else its zone type's; PURCHASE for purchases without either. (P-07, P-08)"""
+    by_zone = lookup(zone_stages(custom), F.lower("zone_type"))
+    if explicit is not None:
+        named = F.upper(F.nullif(explicit, F.lit("")))
+        by_zone = F.when(named.isNotNull(), F.when(named.isin(*STAGES), named)).otherwise(by_zone)
+    return F.coalesce(by_zone, F.when(F.col("event_type") == PURCHASE, F.lit("PURCHASE")))
+
+
+def stage_label(x: Column | str) -> Column:
+    """(P-23)"""
+    return F.coalesce(lookup(STAGE_LABELS, c(x)), c(x))
+
+
+def emitted(zone_type: Column | str, is_staff: Column | str) -> Column:
+    """Whether a zone event leaves the pipeline: none from ignored zones, of staff only from staff zones. (P-21)"""
+    z = F.lower(F.coalesce(c(zone_type), F.lit("")))
+    return (z != "ignore") & (~F.coalesce(c(is_staff), F.lit(False)) | (z == "staff_only"))
+
+
+def store_entry(direction: Column | str, zone_type: Column | str) -> Column:
+    """(P-22)"""
+    return F.coalesce((c(direction) == "in") & c(zone_type).isin("entry_threshold", "entrance"), F.lit(False))
+
+
+def dwell_seconds() -> Column:
+    """dwell_ms in seconds where there is one, else dwell_seconds. (P-11)"""
+    return F.coalesce(F.col("dwell_ms") / 1000.0, F.col("dwell_seconds"))
 
 
 def zone_key() -> Column:
@@ -72,9 +107,9 @@ def video_name(x: Column | str) -> Column:
 
 
 def severity(x: Column | str) -> Column:
-    """(P-18)"""
-    u = F.upper(F.coalesce(c(x), F.lit("")))
-    return F.when(u.isin("CRITICAL", "HIGH", "ERROR"), "CRITICAL").when(u.isin("WARN", "WARNING", "MEDIUM"), "WARN").otherwise("INFO")
+    """critical, warning or warn, info in any case; anything else in upper case. (P-18)"""
+    u = F.upper(c(x))
+    return F.when(u == "WARNING", "WARN").otherwise(u)
 
 
 def detection_ok(min_h: float, min_area: float, max_area: float, min_conf: float) -> Column:
@@ -110,11 +145,17 @@ def in_polygon(x: Column | str, y: Column | str, points: Column | str) -> Column
     return F.when(n >= 3, F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)) % 2 == 1).otherwise(F.lit(False))
 
 
-def line_side(x: str, y: str, ax: float, ay: float, bx: float, by: float) -> Column:
-    """Signed distance from the line a-b, the normal of length 1. (F-03)"""
-    dx, dy = bx - ax, by - ay
-    n = max((dx * dx + dy * dy) ** 0.5, 1e-9)
-    return ((c(x) - ax) * F.lit(-dy) + (c(y) - ay) * F.lit(dx)) / n
+def line_normal(a: tuple[float, float], b: tuple[float, float], normal: tuple[float, float] | None = None) -> tuple[float, float]:
+    """The given normal, or the line's own, at length 1. (F-03)"""
+    x, y = normal or (-(b[1] - a[1]), b[0] - a[0])
+    n = math.hypot(x, y) or 1.0
+    return x / n, y / n
+
+
+def line_side(x: Column | str, y: Column | str, a: tuple[float, float], b: tuple[float, float], normal: tuple[float, float] | None = None) -> Column:
+    """Distance from the line a-b with its sign: along a given normal as it is (not scaled), else along the line's own at length 1. (F-03)"""
+    nx, ny = normal or line_normal(a, b)
+    return (c(x) - a[0]) * F.lit(float(nx)) + (c(y) - a[1]) * F.lit(float(ny))
 
 
 def side_sign(side: Column, slack: float) -> Column:
@@ -164,6 +205,79 @@ def money(x: str) -> Column:
     return F.coalesce(F.expr(f"try_cast(nullif(trim({x}), '') as decimal(18,4))"), F.lit(0).cast("decimal(18,4)"))
 
 
+def clock(x: Column | str) -> Column:
+    """A time stamp without a zone counts as UTC. (F-12)"""
+    return c(x).cast("timestamp_ntz")
+
+
+def iso_utc(x: Column | str) -> Column:
+    """2024-01-31T10:00:00Z, with a fraction where there is one. (F-21)"""
+    t = clock(x)
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(F.date_format(t, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(t, "SSSSSS"))).otherwise(""), F.lit("Z"))
+
+
+def from_iso(x: Column | str) -> Column:
+    """What iso_utc() writes, and offsets; unreadable: null. (F-21)"""
+    return F.try_to_timestamp(F.regexp_replace(c(x), "Z$", "+00:00")).cast("timestamp_ntz")
+
+
+def has_key(payload: Column | str, key: str) -> Column:
+    """Whether a JSON object has a key, be its value null. (F-15)"""
+    return F.coalesce(F.array_contains(F.json_object_keys(c(payload)), key), F.lit(False))
+
+
+def json_items(payload: Column | str, key: str) -> Column:
+    """Length of the JSON array under a key; no array: 0. (F-15)"""
+    return F.coalesce(F.json_array_length(F.get_json_object(c(payload), f"$.{key}")), F.lit(0))
+
+
+def json_int(payload: Column | str, key: str) -> Column:
+    """A JSON number or text as an int; unreadable: null. (F-16)"""
+    return F.get_json_object(c(payload), f"$.{key}").try_cast("int")
+
+
+def percent(x: Column | str, digits: int = 1) -> Column:
+    """0.123 -> 12.3%. (F-20, R-09)"""
+    return F.format_string(f"%.{digits}f%%", c(x).cast("double") * 100)
+
+
+def money_text(x: Column | str, sign: str = "") -> Column:
+    """1234.5 -> 1,234.50. (F-20)"""
+    return F.concat(F.lit(sign), F.format_number(c(x).cast("double"), 2))
+
+
+# Weights of an identity match, and what its camera part is on an edge, on the same camera, elsewhere.
+MATCH_WEIGHTS = {"cosine": 0.55, "time_gap": 0.20, "camera_graph": 0.15, "apparel": 0.10}
+ON_EDGE, SAME_CAMERA, OFF_EDGE = 1.0, 0.45, 0.3
+#: Longest handoff in seconds by its kind.
+HANDOFF_S = {"entry_to_floor": 150.0, "floor_to_billing": 210.0, "billing_to_backroom": 300.0, "floor_to_floor": 270.0}
+
+
+def match_score(cosine_: Column | str, gap_s: Column | str, max_gap_s: Column | str, graph: Column | str, apparel: Column | str) -> Column:
+    """Weighted identity score of a handoff: likeness, time left, camera graph, apparel. (F-24)"""
+    w = MATCH_WEIGHTS
+    fresh = F.greatest(F.lit(0.0), 1 - c(gap_s) / F.greatest(c(max_gap_s), F.lit(1.0)))
+    return w["cosine"] * F.greatest(F.lit(0.0), c(cosine_)) + w["time_gap"] * fresh + w["camera_graph"] * c(graph) + w["apparel"] * c(apparel)
+
+
+def max_handoff(priority: Column | str, from_role: Column | str, to_role: Column | str) -> Column:
+    """Longest handoff of an edge in seconds; no edge: floor to floor. (F-25)"""
+    h = HANDOFF_S
+    first = F.when(c(from_role) == "entry", h["entry_to_floor"]).when(c(to_role) == "billing", h["floor_to_billing"]).otherwise(h["entry_to_floor"])
+    return F.when(c(priority) == "P0", first).when(c(priority) == "P1", h["billing_to_backroom"]).otherwise(h["floor_to_floor"])
+
+
+def handoff_reason(score: Column | str, threshold: float = 0.68) -> Column:
+    """How a handoff is explained, and with what score: by likeness, or as the only visitor at hand. (F-23)"""
+    s = c(score)
+    alike = s >= threshold
+    return F.struct(
+        F.when(alike, "appearance+camera_graph+time").otherwise("p0_solo_handoff").alias("method"),
+        F.round(F.least(F.lit(1.0), F.when(alike, s).otherwise(F.greatest(s, F.lit(0.85)))), 3).alias("match_score"),
+    )
+
+
 def minutes_between(later: str, earlier: str) -> Column:
     """(F-22)"""
     us = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
