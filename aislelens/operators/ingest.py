@@ -2,41 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIXES = ("ingestion.", "vision.", "analytics.")
+#: Fields of an event, and the longest text of some.
+FIELDS = ("event_id", "event_type", "schema_version", "tenant_id", "store_id", "occurred_at", "correlation_id", "causation_id", "idempotency_key", "aggregate", "payload")
+LONGEST = {"schema_version": 16, "correlation_id": 64, "causation_id": 64, "idempotency_key": 256}
+MOST_EVENTS = 500
+UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 
 
-def validate(batch: DataFrame, stores: DataFrame) -> DataFrame:
-    """batch (idx, event_id, event_type, schema_version, tenant_id, store_id, idempotency_key, payload) with errors and defaults. (V-01..V-07, V-10)
+def schema_errors(batch: DataFrame) -> Column:
+    """Breaches of the event's form by the columns that are there: lengths, version, unknown fields (body, the raw JSON), size of the request (request_size). (V-07)"""
+    out = [
+        F.when(~F.coalesce(F.length("event_type").between(3, 128), F.lit(False)), "invalid_length"),
+        F.when(~F.coalesce("schema_version", F.lit("1.0.0")).rlike(r"^[0-9]+(\.[0-9]+)+$"), "invalid_schema_version"),
+    ]
+    out += [F.when(F.length(c) > n, f"{c}_too_long") for c, n in LONGEST.items() if c in batch.columns]
+    if "body" in batch.columns:
+        out.append(F.when(F.size(F.array_except(F.json_object_keys("body"), F.array(*map(F.lit, FIELDS)))) > 0, "extra_fields"))
+    if "request_size" in batch.columns:
+        out.append(F.when(~F.col("request_size").between(1, MOST_EVENTS), "invalid_batch_size"))
+    return F.array_compact(F.array(*out))
 
-    stores (known_store, known_tenant) is a small dimension. Errors come as an array; a row is
-    valid if it is empty.
+
+def _ordinal(batch: DataFrame, key: str, valid: Column, spread: str = "idx") -> Column:
+    """Number of a row among the rows of its key that count, in order of idx. Rows without a key are keyed by idx, so they don't meet."""
+    own = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.concat(F.lit("#"), F.col(spread).cast("string")))
+    return F.sum(valid.cast("int")).over(Window.partitionBy(own).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def validate(batch: DataFrame, stores: DataFrame, uuids: bool = False) -> DataFrame:
+    """batch (idx, event_id, event_type, schema_version, tenant_id, store_id, idempotency_key, payload) with errors and defaults. (V-01..V-07, V-10, S-19)
+
+    stores (known_store, known_tenant, perhaps deleted_at) is a small dimension; deleted ones
+    aren't found. The store is looked up only for rows without other errors. A row repeats
+    another one of the batch only if that one is valid itself. uuids: whether ids of stores
+    have to be UUIDs. Errors come as an array; a row is valid if it is empty. session_id and
+    correlation_id take their defaults from the payload and from default_correlation.
     """
     sid = F.coalesce("store_id", F.get_json_object("payload", "$.store_id"))
-    n = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("idx"))
-    b = batch.withColumn("store_id", sid).withColumn("id_no", n("event_id")).withColumn("key_no", n("idempotency_key"))
-    b = b.join(stores, F.col("store_id") == F.col("known_store"), "left")
-    when = F.when
-    prefix = F.startswith(F.col("event_type"), F.lit(PREFIXES[0]))
-    for p in PREFIXES[1:]:
-        prefix = prefix | F.startswith(F.col("event_type"), F.lit(p))
-    errors = F.array_compact(
-        F.array(
-            when(~F.coalesce(prefix, F.lit(False)), "invalid_event_type"),
-            when(~F.coalesce(F.length("event_type").between(3, 128), F.lit(False)), "invalid_length"),
-            when(~F.coalesce("schema_version", F.lit("1.0.0")).rlike(r"^[0-9]+(\.[0-9]+)+$"), "invalid_schema_version"),
-            when(F.col("event_id").isNotNull() & (F.col("id_no") > 1), "duplicate_event_id_in_batch"),
-            when(F.col("idempotency_key").isNotNull() & (F.col("key_no") > 1), "duplicate_idempotency_key_in_batch"),
-            when(F.col("store_id").isNull(), "store_id_missing").when(F.col("known_store").isNull(), "store_not_found"),
-            when(F.col("tenant_id").isNotNull() & (F.col("tenant_id") != F.col("known_tenant")), "tenant_store_mismatch"),
-        )
+    known = stores.where("deleted_at is null").drop("deleted_at") if "deleted_at" in stores.columns else stores
+    b = batch.withColumn("store_id", sid).join(F.broadcast(known), F.col("store_id") == F.col("known_store"), "left")
+    prefix = F.lit(False)
+    for p in PREFIXES:
+        prefix = prefix | F.coalesce(F.startswith(F.col("event_type"), F.lit(p)), F.lit(False))
+    good_id = F.col("store_id").rlike(UUID) if uuids else F.lit(True)
+    form = F.concat(
+        F.array_compact(F.array(F.when(~prefix, "invalid_event_type"))), schema_errors(batch),
     )
-    return b.withColumn("errors", errors).withColumn("tenant_id", F.coalesce("tenant_id", "known_tenant")).withColumn("status", when(F.size("errors") == 0, "accepted").otherwise("rejected")).drop("id_no", "key_no", "known_store", "known_tenant")
+    store = F.array_compact(F.array(
+        F.when(F.col("store_id").isNull() | ~good_id, "invalid_store_id"),
+        F.when((F.size("form") == 0) & F.col("store_id").isNotNull() & good_id & F.col("known_store").isNull(), "store_not_found"),
+        F.when((F.size("form") == 0) & F.col("tenant_id").isNotNull() & (F.col("tenant_id") != F.col("known_tenant")), "tenant_store_mismatch"),
+    ))
+    b = b.withColumn("form", form).withColumn("place", store)
+    # First among valid rows wins: a row that is invalid in itself doesn't make later ones repeats.
+    sound = (F.size("form") == 0) & (F.size("place") == 0)
+    b = b.withColumn("again_id", F.col("event_id").isNotNull() & (F.coalesce(_ordinal(b, "event_id", sound), F.lit(0)) > 0))
+    b = b.withColumn("again_key", (F.coalesce("idempotency_key", F.lit("")) != "") & (F.coalesce(_ordinal(b, "idempotency_key", sound & ~F.col("again_id")), F.lit(0)) > 0))
+    repeats = F.array_compact(F.array(F.when(F.col("again_id"), "duplicate_event_id_in_batch"), F.when(F.col("again_key"), "duplicate_idempotency_key_in_batch")))
+    # A repeat's store isn't looked up.
+    errors = F.concat("form", repeats, F.when(F.size(repeats) == 0, F.col("place")).otherwise(F.filter("place", lambda x: x == "invalid_store_id")))
+    ok = F.size("errors") == 0
+    out = b.withColumn("errors", errors).withColumn("tenant_id", F.coalesce("tenant_id", "known_tenant")).withColumn("status", F.when(ok, "accepted").otherwise("rejected"))
+    out = out.withColumn("session_id", F.nullif(F.get_json_object("payload", "$.session_id"), F.lit("")))
+    given = [F.col(c) for c in ("correlation_id", "default_correlation") if c in batch.columns]
+    if given:
+        out = out.withColumn("correlation_id", F.coalesce(*given))
+    return out.drop("form", "place", "again_id", "again_key", "known_store", "known_tenant")
+
+
+def messages(statuses: DataFrame) -> DataFrame:
+    """Rows of a pre-flight check: the valid ones have no message. (V-08, V-11)"""
+    return statuses.select("idx", "status", F.when(F.size("errors") > 0, F.concat(F.lit("event["), F.col("idx").cast("string"), F.lit("]: "), F.array_join("errors", ", "))).alias("message"))
 
 
 def summary(statuses: DataFrame) -> DataFrame:
-    """Counts and the response code of a batch. (V-08, V-09, V-11)"""
-    ok, no = F.count_if(F.col("status") != "rejected"), F.count_if(F.col("status") == "rejected")
-    return statuses.agg(ok.alias("accepted"), no.alias("rejected"), F.when(no == 0, 202).when(ok == 0, 422).otherwise(207).alias("code"))
+    """Counts and the response code of a batch. (V-08, V-09, K-05)"""
+    ok, no, twice = (F.count_if(x) for x in (F.col("status") == "accepted", F.col("status") == "rejected", F.col("status") == "duplicate"))
+    return statuses.agg(ok.alias("accepted"), no.alias("rejected"), twice.alias("duplicate"), F.when(no == 0, 202).when(ok + twice == 0, 422).otherwise(207).alias("code"))

@@ -2,24 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .ordered import chains, ranked, settled
 
 
 def parse_pos(lines: DataFrame, store_code: str) -> DataFrame:
     """Typed sale lines of one store from the raw text columns. (P-16, F-09..F-11)"""
     got = lines.where((F.col("store_id") == store_code) & (F.lower("invoice_type") == "sales"))
     qty = F.expr("cast(try_cast(nullif(trim(qty), '') as double) as int)")
-    category = F.concat_ws("/", F.coalesce(F.nullif("dep_name", F.lit("")), F.lit("Unknown")), F.nullif("sub_category", F.lit("")))
-    return got.select("order_id", "line_no", F.coalesce(F.nullif("brand_name", F.lit("")), F.lit("Unknown")).alias("brand_name"), category.alias("category"), F.coalesce(qty, F.lit(0)).alias("qty"), C.money("GMV").alias("gmv"), C.money("NMV").alias("nmv"), C.money("total_amount").alias("total_amount"), C.pos_time("order_date", "order_time").alias("occurred_at"))
+    named = lambda c, other: F.trim(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other)))
+    return got.select(
+        "order_id", "line_no", "invoice_number", "customer_name", "offer_name", named("brand_name", "Unknown").alias("brand_name"),
+        F.concat_ws("/", named("dep_name", "unknown"), named("sub_category", "unknown")).alias("category"), F.coalesce(qty, F.lit(0)).alias("qty"),
+        C.money("GMV").alias("gmv"), C.money("NMV").alias("nmv"), C.money("total_amount").alias("total_amount"), C.pos_time("order_date", "order_time").cast("timestamp_ntz").alias("occurred_at"),
+    )
 
 
-def orders(lines: DataFrame) -> DataFrame:
-    """(A-27, T-08)"""
-    return lines.groupBy("order_id").agg(F.sum("nmv").cast("double").alias("nmv"), F.sum("gmv").cast("double").alias("gmv"), F.count("*").alias("line_count"), F.sum("qty").cast("long").alias("qty"), F.min_by("brand_name", F.struct("line_no", "brand_name")).alias("first_brand"))
+def orders(lines: DataFrame, attributes: tuple[str, ...] = ("brand_name",)) -> DataFrame:
+    """Sums of each order, and attributes of its first line. (A-27)"""
+    sums = [F.sum("nmv").cast("double").alias("nmv"), F.sum("gmv").cast("double").alias("gmv"), F.count("*").alias("line_count"), F.sum("qty").cast("long").alias("qty")]
+    if "total_amount" in lines.columns:
+        sums.append(F.sum("total_amount").cast("double").alias("total_amount"))
+    first = F.min_by(F.struct(*attributes), F.struct("line_no", *attributes))
+    return lines.groupBy("order_id").agg(*sums, first.alias("f")).select("*", *(F.col("f")[a].alias(f"first_{a}") for a in attributes)).drop("f")
+
+
+def order_sequence() -> list:
+    """(T-08)"""
+    return [F.asc("first_occurred_at"), F.asc("order_id")]
+
+
+#: Columns of a till export by what they tell.
+POS_GROUPS = {
+    "transaction": ("order_id", "invoice_number", "invoice_type", "return_id", "store_id", "store_name", "sku", "product_id", "qty"),
+    "revenue": ("GMV", "NMV", "total_amount", "coupon_amount", "item_promotion", "amt_without_gwp", "taxable_amt", "tax_amt", "pb_eb_sale"),
+    "product": ("product_name", "brand_name", "dep_name", "sub_category", "brand_type"),
+    "time": ("order_date", "order_time"),
+}
+
+
+def column_profile(raw: DataFrame) -> DataFrame:
+    """Lines, distinct orders, and how many columns of each group there are. (A-30)"""
+    groups = [F.lit(sum(c in raw.columns for c in cols)).alias(f"{name}_columns") for name, cols in POS_GROUPS.items()]
+    return raw.agg(F.count("*").alias("line_count"), F.countDistinct(F.nullif("order_id", F.lit(""))).alias("order_count"), F.lit(len(raw.columns)).alias("all_columns"), *groups)
+
+
+def top_from_metadata(tx: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """Revenue by brand or category, out of the JSON lists [{"name", "nmv"}] under `key` of completed purchases' metadata. (A-17, A-18)"""
+    items = F.from_json(F.get_json_object("metadata", f"$.{key}"), "array<struct<name: string, nmv: string>>")
+    x = tx.where("status = 'completed'").select(F.explode(items).alias("x")).select(F.col("x.name").alias("name"), C.money("x.nmv").alias("nmv")).where("name <> ''")
+    return x.groupBy("name").agg(F.sum("nmv").cast("double").alias("nmv")).orderBy(F.desc("nmv"), "name").limit(n)
 
 
 def order_parts(lines: DataFrame, by: str) -> DataFrame:
@@ -28,7 +65,7 @@ def order_parts(lines: DataFrame, by: str) -> DataFrame:
 
 
 def top_by_revenue(lines: DataFrame, by: str, n: int = 5) -> DataFrame:
-    """(A-17, A-18, A-29, T-01)"""
+    """(A-29, T-01)"""
     return lines.groupBy(by).agg(F.sum("nmv").cast("double").alias("nmv"), F.count("*").alias("line_count")).orderBy(F.desc("nmv"), by).limit(n)
 
 
@@ -39,7 +76,7 @@ def top_per_order(lines: DataFrame, n: int = 5) -> DataFrame:
 
 
 def totals(lines: DataFrame) -> DataFrame:
-    """(A-29, A-30)"""
+    """(A-29)"""
     return lines.agg(F.sum("nmv").cast("double").alias("revenue"), F.countDistinct("order_id").alias("orders"), F.count("*").alias("line_count"), F.round(F.sum("nmv").cast("double") / F.countDistinct("order_id"), 4).alias("aov"))
 
 
@@ -51,8 +88,8 @@ def billing_candidates(events: DataFrame) -> DataFrame:
 
 def link_sequential(billing: DataFrame, tx: DataFrame) -> DataFrame:
     """i-th track with i-th order of a store. (J-06, W-12)"""
-    b = billing.withColumn("rn", F.row_number().over(Window.partitionBy("store_id").orderBy("billing_at", "external_track_id")))
-    t = tx.where("status = 'completed'").select("store_id", "transaction_id", "occurred_at").withColumn("rn", F.row_number().over(Window.partitionBy("store_id").orderBy("occurred_at", "transaction_id")))
+    b = ranked(billing.select("store_id", "external_track_id", "billing_at"), ["store_id"], ["billing_at", "external_track_id"])
+    t = ranked(tx.where("status = 'completed'").select("store_id", "transaction_id", "occurred_at"), ["store_id"], ["occurred_at", "transaction_id"])
     return b.join(t, ["store_id", "rn"]).select("store_id", "external_track_id", "transaction_id", F.lit("SEQUENTIAL").alias("method"), F.lit(0.75).alias("confidence"))
 
 
@@ -67,28 +104,29 @@ def nearest_order(billing: DataFrame, tx: DataFrame, window_s: int = 3600) -> Da
     return best.select("store_id", "external_track_id", "m.transaction_id", (F.col("m.d") / 1e6).alias("delta_s"), F.round(F.greatest(F.lit(0.0), 1 - F.col("m.d") / width), 3).alias("confidence"))
 
 
-def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 3600, offset_s: int = 0, mode: str = "AUTO") -> DataFrame:
+def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 1200, offset_s: int = 0, mode: str = "AUTO") -> DataFrame:
     """Greedy one-to-one matching in time order, leftovers paired in sequence. (J-05, J-07, U-04)
 
-    Greedy choices depend on all before them, so a chain of events closer than the window is
-    one task; stores are cut where nothing lies within two windows, which keeps chains short.
+    A track takes the nearest order left within the window, the earlier of two as near; tracks
+    go in the order of time. A choice depends on those before it only through orders within
+    reach, so times more than a window apart never touch: stores are cut at such gaps into
+    chains, and a chain is a task. Gaps are found by time ranges, so no task sees a store.
     """
-    t = tx.where("status = 'completed'").select("store_id", F.lit("t").alias("kind"), F.col("transaction_id").cast("string").alias("key"), (F.unix_micros(F.col("occurred_at").cast("timestamp")) / 1e6 + offset_s).alias("at"))
-    b = billing.select("store_id", F.lit("b").alias("kind"), F.col("external_track_id").alias("key"), (F.unix_micros(F.col("billing_at").cast("timestamp")) / 1e6).alias("at"))
-    w = Window.partitionBy("store_id").orderBy("at", "kind", "key")
-    both = b.unionByName(t).withColumn("cut", (F.col("at") - F.lag("at").over(w) > window_s).cast("int"))
-    both = both.withColumn("chain", F.sum(F.coalesce("cut", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    us = lambda x, more=0: F.unix_micros(F.col(x).cast("timestamp")) / 1e6 + more
+    t = tx.where("status = 'completed'").select("store_id", F.lit("t").alias("kind"), F.col("transaction_id").cast("string").alias("key"), us("occurred_at", offset_s).alias("at"))
+    b = billing.select("store_id", F.lit("b").alias("kind"), F.col("external_track_id").alias("key"), us("billing_at").alias("at"))
+    both = chains(b.unionByName(t), ["store_id"], "at", ["kind", "key"], window_s)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "key"])
-        bills, sold = pdf[pdf.kind == "b"], pdf[pdf.kind == "t"]
-        free, out = list(zip(sold["at"], sold["key"], strict=True)), []
+        bills, sold = (pdf[pdf.kind == k].sort_values(["at", "key"]) for k in ("b", "t"))
+        times, keys, free, out = sold["at"].to_numpy(), sold["key"].to_numpy(), np.ones(len(sold), bool), []
         for at, key in zip(bills["at"], bills["key"], strict=True):
-            near = [(abs(x - at), k, x) for x, k in free if abs(x - at) <= window_s]
-            if near:
-                d, k, x = min(near)
-                free.remove((x, k))
-                out.append((pdf["store_id"].iloc[0], key, k, "TIME_WINDOW", round(max(0.0, 1 - d / window_s), 3)))
+            lo, hi = np.searchsorted(times, at - window_s, "left"), np.searchsorted(times, at + window_s, "right")
+            near = np.flatnonzero(free[lo:hi]) + lo
+            if len(near):
+                k = near[np.abs(times[near] - at).argmin()]
+                free[k] = False
+                out.append((pdf["store_id"].iloc[0], key, keys[k], "TIME_WINDOW", round(max(0.0, 1 - abs(times[k] - at) / window_s), 3)))
         return pd.DataFrame(out, columns=["store_id", "external_track_id", "transaction_key", "method", "confidence"])
 
     schema = "store_id string, external_track_id string, transaction_key string, method string, confidence double"
@@ -97,16 +135,44 @@ def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 3600, offset_
     timed = both.join(pairs, ["store_id", "chain"], "left_semi").groupBy("store_id", "chain").applyInPandas(match, schema)
     if mode == "TIME_WINDOW":
         return timed
+    named = lambda df: df.select("store_id", "external_track_id", F.col("transaction_id").cast("string").alias("transaction_key"), "method", "confidence")
     if mode == "SEQUENTIAL":
-        return link_sequential(billing, tx).select("store_id", "external_track_id", F.col("transaction_id").cast("string").alias("transaction_key"), "method", "confidence")
-    used = timed.select("store_id", "transaction_key", "external_track_id")
-    left_b = billing.join(used.select("store_id", "external_track_id"), ["store_id", "external_track_id"], "left_anti")
-    left_t = tx.withColumn("transaction_key", F.col("transaction_id").cast("string")).join(used.select("store_id", "transaction_key"), ["store_id", "transaction_key"], "left_anti")
-    rest = link_sequential(left_b, left_t).select("store_id", "external_track_id", F.col("transaction_id").cast("string").alias("transaction_key"), "method", "confidence")
-    return timed.unionByName(rest)
+        return named(link_sequential(billing, tx))
+    timed = settled(timed)  # read three times
+    left_b = billing.join(timed.select("store_id", "external_track_id"), ["store_id", "external_track_id"], "left_anti")
+    left_t = tx.withColumn("transaction_key", F.col("transaction_id").cast("string")).join(timed.select("store_id", "transaction_key"), ["store_id", "transaction_key"], "left_anti")
+    return timed.unionByName(named(link_sequential(left_b, left_t)))
 
 
 def backfill_tracks(purchases: DataFrame, links: DataFrame) -> DataFrame:
-    """Purchases without a track take the one they are linked to. (J-13, K-09)"""
-    known = links.select("store_id", F.col("transaction_key").alias("k"), F.col("external_track_id").alias("linked"))
-    return purchases.join(known, (purchases.store_id == known.store_id) & (purchases.transaction_id.cast("string") == known.k), "left").drop(known.store_id).withColumn("external_track_id", F.coalesce("external_track_id", "linked")).drop("k", "linked")
+    """Purchase events and orders (store_id, order_id, ...) take the track, and session, of the linked transaction of their order. (J-13, K-09)"""
+    kept = [F.max_by("external_track_id", "occurred_at").alias("linked")] + ([F.max_by("session_id", "occurred_at").alias("linked_session")] if "session_id" in links.columns else [])
+    known = links.where("external_track_id is not null").groupBy("store_id", "order_id").agg(*kept)
+    out = purchases.join(known, ["store_id", "order_id"], "left").withColumn("external_track_id", F.coalesce("linked", "external_track_id"))
+    if "session_id" in links.columns and "session_id" in purchases.columns:
+        out = out.withColumn("session_id", F.coalesce("linked_session", "session_id"))
+    return out.select(*purchases.columns)
+
+
+def latest_session_by_track(sessions: DataFrame) -> DataFrame:
+    """(S-22)"""
+    return sessions.where("external_track_id is not null").groupBy("store_id", "external_track_id").agg(F.max(F.struct("started_at", "session_id")).alias("x")).select("store_id", "external_track_id", "x.session_id")
+
+
+def funnel_ratios(stages: DataFrame, revenue: DataFrame) -> DataFrame:
+    """(store_id, stage, visitors) and (store_id, revenue) -> billing to purchase and purchase rate, capped and raw, revenue a visitor. (A-66)"""
+    n = lambda s: F.max(F.when(F.col("stage") == s, F.col("visitors")))
+    k = stages.groupBy("store_id").agg(n("ENTRY").alias("v"), n("BILLING_QUEUE").alias("b"), n("PURCHASE").alias("p")).join(revenue, "store_id", "left")
+    over = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
+    v, b, p = F.col("v"), F.col("b"), F.col("p")
+    return k.select(
+        "store_id", over(F.least(p, b), b).alias("billing_to_purchase"), over(p, b).alias("billing_to_purchase_raw"), over(F.least(p, v), v).alias("purchase_rate"), over(p, v).alias("purchase_rate_raw"),
+        F.coalesce(F.round(F.col("revenue") / F.nullif(v, F.lit(0)), 6), F.lit(0.0)).alias("revenue_per_visitor"),
+    )
+
+
+def time_slice(orders_: DataFrame, start: str, end: str | None = None) -> DataFrame:
+    """Orders and revenue from a time on, or up to another. (A-66)"""
+    at = F.col("occurred_at")
+    inside = (at >= F.lit(start).cast("timestamp_ntz")) & (at <= F.lit(end).cast("timestamp_ntz") if end else F.lit(True))
+    return orders_.where(inside).groupBy("store_id").agg(F.count("*").alias("orders"), F.sum("amount").cast("double").alias("revenue"))

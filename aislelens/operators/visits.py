@@ -10,22 +10,50 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def materialize_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """Visits of a track: a gap of more than `gap_minutes` between vision events begins a new one. (A-36, W-05, ST-04)
+TRACK_EVENTS = (C.ENTERED, C.EXITED, "vision.track.started", C.ENDED)
 
-    Keyed by track, so a store's size doesn't matter; one track's events are one window.
+
+def materialize_sessions(events: DataFrame, keep_staff: bool = False) -> DataFrame:
+    """One session a track of a store: first and last event, whether it ended, whether it came in by the door. (A-36)
+
+    A track is staff if one of its events says so or lies in a hidden zone; staff tracks are
+    left out unless keep_staff. The end is that of track.ended, its own last_seen if there is
+    such a column, else the last event. Pre-aggregated by track; no window, no order.
+    """
+    kind, track = F.col("event_type"), _track()
+    hidden = F.lower(F.coalesce("zone_type", F.lit(""))).isin(*C.HIDDEN_ZONES)
+    staff = (F.lower(F.coalesce("class_label", F.lit(""))) == "staff") | hidden
+    flag = F.coalesce(F.col("is_store_entry"), F.lit(False)) if "is_store_entry" in events.columns else F.lit(False)
+    came = (kind == C.ENTERED) & (flag | F.lower(F.coalesce("zone_type", F.lit(""))).isin(*C.ENTRY_ZONES) | ~staff)
+    ended = F.coalesce(F.col("last_seen"), F.col("occurred_at")) if "last_seen" in events.columns else F.col("occurred_at")
+    got = (
+        events.where(kind.isin(*TRACK_EVENTS)).withColumn("external_track_id", track).where("external_track_id is not null")
+        .groupBy("store_id", "external_track_id")
+        .agg(
+            F.min("occurred_at").alias("started_at"), F.max_by(F.when(kind == C.ENDED, ended), F.when(kind == C.ENDED, F.col("occurred_at"))).alias("finished_at"),
+            F.max("occurred_at").alias("last_at"), F.count("*").alias("n_events"), F.bool_or(staff).alias("staff"), F.bool_or(came).alias("store_entry"),
+        )
+    )
+    got = got if keep_staff else got.where("not staff")
+    return got.select(
+        "store_id", "external_track_id", "started_at", F.coalesce("finished_at", "last_at").alias("ended_at"),
+        F.when(F.col("finished_at").isNotNull(), "completed").otherwise("active").alias("status"), "n_events", "staff", "store_entry",
+    )
+
+
+def visit_gaps(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Visits of a track: a gap of more than `gap_minutes` between vision events begins a new one. (W-05, ST-04 in batch)
+
+    Keyed by store and track, so a store's size doesn't matter; one track's events are one window.
     """
-    w = Window.partitionBy("external_track_id").orderBy("occurred_at", "event_id")
+    w = Window.partitionBy("store_id", "external_track_id").orderBy("occurred_at", "event_id")
     seconds = lambda x: F.unix_micros(x.cast("timestamp")) / 1e6
     gap = seconds(F.col("occurred_at")) - seconds(F.lag("occurred_at").over(w))
     marked = events.where(F.col("event_type").startswith("vision.")).withColumn("new", F.when(gap.isNull() | (gap > 60 * gap_minutes), 1).otherwise(0))
     return (
         marked.withColumn("sess", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("external_track_id", "store_id", "sess")
-        .agg(
-            F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("ended_at"), F.count("*").alias("n_events"),
-            F.bool_or(F.col("class_label") == "staff").alias("staff"), F.bool_or("is_store_entry").alias("store_entry"),
-        )
+        .agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("ended_at"), F.count("*").alias("n_events"))
     )
 
 
@@ -53,16 +81,19 @@ def _keyed(rows: DataFrame, sessions: DataFrame | None) -> DataFrame:
     return joined.withColumn("visitor_key", key).withColumn("linked_track", F.coalesce(track, "session_track")).where("visitor_key is not null")
 
 
-def signals(events: DataFrame, tx: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """(store_id, visitor_key, stage, at): stage signals of customer events and of completed purchases, linked by session or track. (P-07, P-09, J-01, J-02, U-02)
+def signals(events: DataFrame, tx: DataFrame, sessions: DataFrame | None = None, custom: dict[str, str] | None = None) -> DataFrame:
+    """(store_id, visitor_key, stage, at): stage signals of customer events and of completed purchases, linked by session or track. (P-07..P-09, J-01, J-02, U-02)
 
-    sessions is needed if events or tx have a session_id. A purchase event needs a track, its own or its session's.
+    sessions is needed if events or tx have a session_id. A purchase event needs a track, its
+    own or its session's; a zone type that names a stage, or a funnel_stage column, goes before
+    PURCHASE. custom: a store's own zone types.
     """
     out = lambda df, stage: df.select("store_id", "visitor_key", stage.alias("stage"), F.col("occurred_at").alias("at"))
-    seen = _keyed(events.where(F.col("event_type").isin(C.ENTERED, C.PURCHASE) & C.is_customer_event()), sessions)
-    vis = out(seen.where(F.col("event_type") == C.ENTERED), C.stage()).where("stage is not null")
-    buy = out(seen.where((F.col("event_type") == C.PURCHASE) & F.col("linked_track").isNotNull()), F.lit("PURCHASE"))
-    return vis.unionByName(buy).unionByName(out(_keyed(tx.where("status = 'completed'"), sessions), F.lit("PURCHASE")))
+    bought = F.col("event_type") == C.PURCHASE
+    seen = _keyed(events.where(bought | ((F.col("event_type") == C.ENTERED) & C.is_customer_event())), sessions)
+    named = F.col("funnel_stage") if "funnel_stage" in events.columns else None
+    vis = out(seen.where(~bought | F.col("linked_track").isNotNull()), C.stage(named, custom)).where("stage is not null")
+    return vis.unionByName(out(_keyed(tx.where("status = 'completed'"), sessions), F.lit("PURCHASE")))
 
 
 def visitor_stages(sig: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -97,36 +128,95 @@ def funnel(stages: DataFrame) -> DataFrame:
 
 
 def conversion(stages: DataFrame) -> DataFrame:
-    """(store_id, entries, rate): visitors, and the share of them that purchased. (R-02)"""
-    return stages.groupBy("store_id").agg(F.count("*").alias("entries"), (F.count_if(F.col("n_PURCHASE") > 0) / F.count("*")).alias("rate"))
+    """(store_id, entries, purchases, rate): visitors, those that purchased, and their share. (R-02)"""
+    bought = F.count_if(F.col("n_PURCHASE") > 0)
+    return stages.groupBy("store_id").agg(F.count("*").alias("entries"), bought.alias("purchases"), (bought / F.count("*")).alias("rate"))
 
 
-def journeys(stages: DataFrame, tx: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Stage times of each visitor with the last completed purchase, linked by session or track. (A-32, J-02, J-03, W-10)"""
-    last = _keyed(tx.where("status = 'completed'"), sessions).groupBy("store_id", "visitor_key").agg(
-        F.max(F.struct("occurred_at", "transaction_id", "amount")).alias("t")
+def zones_by_track(events: DataFrame) -> DataFrame:
+    """(store_id, external_track_id, zones): the zone types of a track's funnel events, sorted. (J-04)"""
+    e = events.where(F.col("event_type").isin(C.ENTERED, C.PURCHASE)).withColumn("external_track_id", _track()).where("external_track_id is not null and zone_type <> ''")
+    return e.groupBy("store_id", "external_track_id").agg(F.array_sort(F.collect_set("zone_type")).alias("zones"))
+
+
+def journeys(sig: DataFrame, events: DataFrame, tx: DataFrame) -> DataFrame:
+    """Stage times of each visitor with a signal, its zones, and the last completed purchase of its track. (A-32, J-03, J-04, W-10)
+
+    A purchase without a stage of its own gives PURCHASE its time. For a track with a purchase,
+    ENTRY is at the earliest stage if there is none, and ZONE_VISIT at billing, else at the
+    earliest, if the track has zones or billing. complete: entry, zone, billing and a purchase
+    with a link_method or link_confidence.
+    """
+    first = [F.min(F.when(F.col("stage") == s, F.col("at"))).alias(f"at_{s}") for s in C.STAGES]
+    v = sig.groupBy("store_id", "visitor_key").agg(*first).withColumn("external_track_id", F.when(F.col("visitor_key").startswith("track:"), F.substring("visitor_key", 7, 1 << 20)))
+    link = F.coalesce(*(F.col(c).cast("string") for c in ("link_method", "link_confidence") if c in tx.columns), F.lit(None).cast("string"))
+    done = tx.where("status = 'completed'").withColumn("external_track_id", _track()).where("external_track_id is not null").withColumn("link", link)
+    last = done.groupBy("store_id", "external_track_id").agg(F.max(F.struct("occurred_at", "transaction_id", "amount", "link")).alias("t"))
+    j = v.join(last, ["store_id", "external_track_id"], "left").join(zones_by_track(events), ["store_id", "external_track_id"], "left")
+    bought, purchase = F.col("t").isNotNull(), F.coalesce("at_PURCHASE", "t.occurred_at")
+    earliest = F.least("at_ENTRY", "at_ZONE_VISIT", "at_BILLING_QUEUE", purchase)
+    entry = F.when(bought, F.coalesce("at_ENTRY", earliest)).otherwise(F.col("at_ENTRY"))
+    moved = F.col("zones").isNotNull() | F.col("at_BILLING_QUEUE").isNotNull()
+    zone = F.coalesce("at_ZONE_VISIT", F.when(bought & moved, F.coalesce("at_BILLING_QUEUE", earliest)))
+    j = j.select(
+        "store_id", "visitor_key", entry.alias("entry_at"), zone.alias("zone_at"), F.col("at_BILLING_QUEUE").alias("billing_at"), purchase.alias("purchase_at"),
+        F.coalesce(F.array_join("zones", ","), F.lit("")).alias("zones"), F.col("t.transaction_id").alias("transaction_id"), F.col("t.amount").cast("double").alias("amount"), F.col("t.link").isNotNull().alias("linked"),
     )
-    j = stages.join(last, ["store_id", "visitor_key"], "left")
-    bought = F.col("t").isNotNull()
-    entry = F.when(bought, F.coalesce("at_ENTRY", "first_at")).otherwise(F.col("at_ENTRY"))
-    zone = F.when(bought, F.coalesce("at_ZONE_VISIT", "at_BILLING_QUEUE", "first_at")).otherwise(F.col("at_ZONE_VISIT"))
-    j = j.select("store_id", "visitor_key", entry.alias("entry_at"), zone.alias("zone_at"), F.col("at_BILLING_QUEUE").alias("billing_at"), F.coalesce("at_PURCHASE", "t.occurred_at").alias("purchase_at"), F.col("t.transaction_id").alias("transaction_id"), F.col("t.amount").cast("double").alias("amount"))
-    full = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in ("entry_at", "zone_at", "billing_at", "transaction_id")])
-    return j.withColumn("complete", full)
-
-
-def journey_summary(j: DataFrame) -> DataFrame:
-    """(A-33)"""
-    billed, bought = F.col("billing_at").isNotNull(), F.col("purchase_at").isNotNull()
-    return j.groupBy("store_id").agg(
-        F.count("*").alias("journeys"), F.count_if("complete").alias("complete"), F.count_if(billed).alias("with_billing"), F.count_if(bought).alias("with_purchase"),
+    full = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in ("entry_at", "zone_at", "billing_at")]) & F.col("linked")
+    steps = reduce(lambda a, b: a + b, [F.col(x).isNotNull().cast("int") for x in ("entry_at", "zone_at", "billing_at", "purchase_at")])
+    return j.withColumn("complete", full).withColumn("stage_count", steps)
+
+
+def journey_order() -> list:
+    """Complete ones first, then by amount, then by key. (T-07)"""
+    return [F.desc("complete"), F.coalesce("amount", F.lit(0.0)).desc(), F.asc("store_id"), F.asc("visitor_key")]
+
+
+def journey_summary(j: DataFrame, tx: DataFrame) -> DataFrame:
+    """Linked and orphan purchases, complete journeys, and how many of those at billing have a purchase. (A-33)"""
+    sold = tx.where("status = 'completed'")
+    has = [c for c in ("link_method", "link_confidence") if c in tx.columns]
+    link = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in has], F.lit(False))
+    t = sold.groupBy("store_id").agg(F.count_if(_track().isNotNull() & link).alias("linked_purchases"), F.count_if(_track().isNull()).alias("orphan_purchases"))
+    billed, bought = F.col("billing_at").isNotNull(), F.col("transaction_id").isNotNull()
+    s = j.groupBy("store_id").agg(
+        F.count("*").alias("journeys"), F.count_if("complete").alias("complete"), F.count_if(billed).alias("with_billing"),
         F.round(F.count_if(billed & bought) / F.nullif(F.count_if(billed), F.lit(0)), 4).alias("billing_to_purchase"),
     )
+    return s.join(t, "store_id", "left")
 
 
 def stage_overlap(sig: DataFrame) -> DataFrame:
-    """Distinct visitors in pairs of stages. (J-12, A-43)"""
+    """Distinct visitors in pairs of stages. (J-12)"""
     v = sig.groupBy("store_id", "visitor_key").agg(*(F.max((F.col("stage") == s).cast("int")).alias(s) for s in C.STAGES))
     return v.groupBy("store_id").agg(
         F.sum(F.col("ENTRY") * F.col("ZONE_VISIT")).alias("entry_zone"), F.sum(F.col("ZONE_VISIT") * F.col("BILLING_QUEUE")).alias("zone_billing"), F.sum(F.col("ENTRY") * F.col("BILLING_QUEUE")).alias("entry_billing")
     )
+
+
+def stage_audit(events: DataFrame, tx: DataFrame) -> DataFrame:
+    """Raw zone entries and distinct tracks of each stage; purchases count as tracks. (A-43, U-01)
+
+    Tracks are counted once by (store, stage, track) first, so counts merge before the exchange.
+    """
+    e = events.where((F.col("event_type") == C.ENTERED) & C.is_customer_track()).select("store_id", "external_track_id", C.lookup(C.ZONE_STAGES, F.lower("zone_type")).alias("stage")).where("stage is not null")
+    zones = e.groupBy("store_id", "stage", "external_track_id").count().groupBy("store_id", "stage").agg(F.sum("count").alias("raw_events"), F.count("*").alias("distinct_tracks"))
+    sold = tx.where("status = 'completed'").groupBy("store_id").agg(F.lit("PURCHASE").alias("stage"), F.lit(0).cast("long").alias("raw_events"), F.count("*").alias("distinct_tracks"))
+    return zones.unionByName(sold)
+
+
+def missing_sessions(events: DataFrame, tx: DataFrame, period: DataFrame) -> DataFrame:
+    """(store_id, session_id) that events or purchases name and the period's sessions don't hold. (U-03)"""
+    ids = lambda df: df.select("store_id", "session_id").where("session_id is not null")
+    return ids(events).union(ids(tx)).distinct().join(period.select("store_id", "session_id"), ["store_id", "session_id"], "left_anti")
+
+
+def sessions_by_id(sessions: DataFrame, ids: DataFrame) -> DataFrame:
+    """(J-15)"""
+    return sessions.join(ids.select("store_id", "session_id"), ["store_id", "session_id"], "left_semi")
+
+
+def backfill_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Events without a session take the one of their track. (K-09)"""
+    known = sessions.groupBy("store_id", "external_track_id").agg(F.max_by("session_id", "started_at").alias("found_session"))
+    return events.join(known, ["store_id", "external_track_id"], "left").withColumn("session_id", F.coalesce("session_id", "found_session")).select(*events.columns)
