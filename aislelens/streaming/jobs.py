@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,6 +35,8 @@ def upsert_each_batch(write: Callable[[DataFrame, int], None]):
     return lambda df, epoch: write(df.withColumn("load_no", F.lit(epoch).cast("long")), epoch)
 
 
+#: A stream forgets a track without frames after this long.
+FORGET_MS = 60_000
 SESSION = "external_track_id string, session_no long, started_at timestamp, ended_at timestamp, n_events long, is_reentry boolean"
 
 
@@ -75,66 +78,173 @@ def live_sessions(events: DataFrame, cooldown_s: int = 1800) -> DataFrame:
 
 
 # ------------------------------------------------------------ per-track zones, the same code for batch and stream
-MOVES = "store_id string, camera_id string, local_track_id int, ts timestamp, zone_id string, kind string, dwell_ms long"
-
-
-class ZoneState:
-    """Enters and leaves of one track: a zone counts after `dwell_ms` inside, and ends `slack` outside. (ST-05, ST-07)"""
+MOVES = "store_id string, camera_id string, local_track_id int, run long, ts timestamp, zone_id string, zone_type string, kind string, direction string, dwell_ms long, is_staff boolean, staff_reason string"
+# Slack of polygons and lines, and times of debouncing, in the frame's units and seconds.
+POLYGON_SLACK, LINE_SLACK, LEAST_WAY, LEAST_DWELL_MS, SAME_TYPE_S, LINE_S, AFTER_S = 0.012, 0.008, 0.015, 500, 3.0, 2.0, 15.0
+# Signs of staff.
+DARK_SHARE, DARK_FRAMES, DARK_FRAMES_BILLING, PRESENT_S, PRESENT_BILLING_S = 0.70, 60, 30, 900.0, 180.0
+ZONE_STAY_S = {"staff_only": 300.0, "billing_queue": 120.0, "checkout": 120.0, "consultation": 600.0}
+SHUTTLES, SHUTTLE_CYCLES, VISITS_KEPT = (("consultation", "aisle"), ("billing_queue", "aisle")), 3, 24
+POINTS_KEPT, LOITER_POINTS, LOITER_PATH, LOITER_RATIO, LEAST_NET = 120, 30, 0.15, 4.0, 0.005
+
+
+def inside(points: list[list[float]], x: float, y: float) -> bool:
+    """Even-odd rule; columns.in_polygon() is the same for columns."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(points, [*points[-1:], *points[:-1]], strict=True):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay + 1e-9) + ax:
+            odd = not odd
+    return odd
+
+
+def shrunk(points: list[list[float]], by: float) -> list[list[float]]:
+    """A polygon drawn in about the mean of its vertices: the part of a zone that is surely inside."""
+    mx, my = (sum(p[k] for p in points) / len(points) for k in (0, 1))
+    return [[mx + (x - mx) * (1 - by), my + (y - my) * (1 - by)] for x, y in points]
+
+
+def new_state() -> dict:
+    """What is known of a track: since when in which zone, last enters by type, sides of lines, crossings, way, visits, dark frames, since when, reason of staff."""
+    return {"in": {}, "enter": {}, "side": {}, "cross": {}, "raw": [], "points": [], "path": 0.0, "visits": [], "dark": 0, "first": None, "staff": None}
+
+
+def polygon_step(s: dict, z: dict, ms: int, x: float, y: float, now: set[str]) -> tuple[str, int | None] | None:
+    """An enter or exit of one polygon. In counts at the edge, out only beyond the slack and after LEAST_DWELL_MS; enters that repeat are swallowed. (ST-05, ST-07, W-06)"""
+    zid, kind = z["zone_id"], z["zone_type"]
+    if zid in s["in"]:
+        if inside(shrunk(z["points"], POLYGON_SLACK), x, y) or ms - s["in"][zid] < LEAST_DWELL_MS:
+            return None
+        return "exit", ms - s["in"].pop(zid)
+    if not inside(z["points"], x, y):
+        return None
+    before = z.get("require_prior_zone_types")
+    if before and not any(t in s["enter"] for t in before):
+        return None
+    s["in"][zid] = ms
+    after, wait = z.get("dedupe_after_zone_types") or (), 1000 * z.get("dedupe_after_seconds", AFTER_S)
+    if now & set(after) or any(ms - s["enter"][t] <= wait for t in after if t in s["enter"]) or ms - s["enter"].get(kind, -(10**15)) <= 1000 * SAME_TYPE_S:
+        return None
+    s["enter"][kind] = ms
+    return "enter", None
+
+
+def line_step(s: dict, z: dict, ms: int, x: float, y: float) -> str | None:
+    """in or out over a line: the side has to change by more than the slack, with a way across, and not again at once. (ST-06)"""
+    zid, (a, b), normal = z["zone_id"], z["points"][:2], z.get("direction_normal")
+    unit = C.line_normal(tuple(a), tuple(b), tuple(normal) if normal else None)
+    across = normal or unit
+    side = (x - a[0]) * across[0] + (y - a[1]) * across[1]
+    sign = (side > LINE_SLACK) - (side < -LINE_SLACK)
+    was, s_raw = s["side"].get(zid, 0), s["raw"]
+    if sign == 0:
+        return None
+    if was * sign >= 0:
+        s["side"][zid] = sign
+        return None
+    if zid in s["cross"] and ms - s["cross"][zid] < 1000 * LINE_S:
+        s["side"][zid] = sign
+        return None
+    if s_raw and abs((x - s_raw[0]) * unit[0] + (y - s_raw[1]) * unit[1]) < LEAST_WAY:
+        return None
+    way = "in" if sign > was else "out"
+    s["cross"][zid], s["side"][zid] = ms, sign
+    if way == "in" and ms - s["enter"].get(z["zone_type"], -(10**15)) <= 1000 * SAME_TYPE_S:
+        return None
+    s["enter"][z["zone_type"]] = ms
+    return way
+
+
+def staff_sign(s: dict, ms: int, x: float, y: float, dark: float, role: str, types: dict[str, str]) -> str | None:
+    """Why a track is staff, if it is. (ST-09)"""
+    if s["points"]:
+        s["path"] += math.hypot(x - s["points"][-1][0], y - s["points"][-1][1])
+    s["points"] = [*s["points"], [x, y]][-POINTS_KEPT:]
+    if s["staff"]:
+        return s["staff"]
+    billing = role == "billing"
+    s["dark"] = s["dark"] + 1 if dark >= DARK_SHARE else max(0, s["dark"] - 1)
+    present = (ms - s["first"]) / 1000
+    stay = {types[z]: (ms - t) / 1000 for z, t in s["in"].items()}
+    v, p = s["visits"], s["points"]
+    cycles = [sum(a != b and {a, b} <= set(pair) for a, b in zip(v, v[1:], strict=False)) for pair in SHUTTLES]
+    signs = (
+        ("backroom_camera", role == "backroom"), ("dark_uniform", s["dark"] >= (DARK_FRAMES_BILLING if billing else DARK_FRAMES)), ("billing_long_presence", billing and present >= PRESENT_BILLING_S),
+        ("long_presence", present >= PRESENT_S), ("zone_dwell", any(stay.get(z, 0) >= most for z, most in ZONE_STAY_S.items())),
+        ("repeated_shuttle", len(v) >= 2 * SHUTTLE_CYCLES and max(cycles) >= SHUTTLE_CYCLES),
+        ("repeated_movement", len(p) >= LOITER_POINTS and s["path"] >= LOITER_PATH and s["path"] / max(math.hypot(p[-1][0] - p[0][0], p[-1][1] - p[0][1]), LEAST_NET) >= LOITER_RATIO),
+    )
+    s["staff"] = next((name for name, on in signs if on), None)
+    return s["staff"]
+
+
+def track_step(s: dict, zones: list[dict], role: str, ms: int, x: float, y: float, dark: float) -> list[tuple]:
+    """(zone, type, kind, direction, dwell) of one frame of a track; `s` is its state."""
+    s["first"] = ms if s["first"] is None else s["first"]
+    found, now = [], set()
+    for z in zones:
+        if z.get("kind", "polygon") == "line":
+            way = None if z.get("counting_only") else line_step(s, z, ms, x, y)
+            got = ("enter", way, None) if way else None
+        else:
+            step = polygon_step(s, z, ms, x, y, now)
+            got = (step[0], None, step[1]) if step else None
+        if got:
+            found.append((z["zone_id"], z["zone_type"], *got))
+            if got[0] == "enter":
+                now.add(z["zone_type"])
+                if s["visits"][-1:] != [z["zone_type"]]:
+                    s["visits"] = [*s["visits"], z["zone_type"]][-VISITS_KEPT:]
+    s["raw"] = [x, y]
+    staff_sign(s, ms, x, y, dark, role, {z["zone_id"]: z["zone_type"] for z in zones})
+    return found
+
+
+def zone_moves(frames: DataFrame, zones: dict[str, list[dict]], roles: dict[str, str] | None = None) -> DataFrame:
+    """Zone enters, exits and crossings of frame tracks (store_id, camera_id, local_track_id, ts, foot_x, foot_y, perhaps run, dark_ratio), keyed by track. (ST-05..ST-07, ST-09)
+
+    A batch runs each track in time order; a stream keeps the state of a track, a few numbers,
+    and forgets it when no frame came for a while. Frames inside zones marked
+    exclude_detections are left out. A stream gives what the batch gives if frames come in order.
+    """
+    roles = roles or {}
+    masks = {cam: [z["points"] for z in zs if z.get("exclude_detections")] for cam, zs in zones.items()}
+    use = {cam: [z for z in zs if not z.get("exclude_detections")] for cam, zs in zones.items()}
+    for name, value in (("run", F.lit(0).cast("long")), ("dark_ratio", F.lit(0.0))):
+        frames = frames if name in frames.columns else frames.withColumn(name, value)
 
-    def __init__(self, zones: list[dict], dwell_ms: int = 500, dedupe_s: float = 3.0, held: dict | None = None):
-        self.zones, self.dwell_ms, self.dedupe_s = zones, dwell_ms, dedupe_s
-        self.held = held or {"since": {}, "inside": {}, "last": {}}
+    def run(key: tuple, rows: pd.DataFrame, state: dict) -> pd.DataFrame:
+        out = []
+        for r in rows.sort_values("ts", kind="stable").itertuples():
+            if any(inside(m, r.foot_x, r.foot_y) for m in masks.get(key[1], ())):
+                continue
+            for move in track_step(state, use.get(key[1], []), roles.get(key[1], ""), int(r.ts.value // 1_000_000), float(r.foot_x), float(r.foot_y), float(r.dark_ratio or 0)):
+                out.append((key[0], key[1], int(key[2]), int(key[3]), r.ts, *move, state["staff"] is not None, state["staff"]))
+        frame = pd.DataFrame(out, columns=[x.split()[0] for x in MOVES.split(", ")])
+        return frame.astype({"dwell_ms": "Int64"})
+
+    keys = ["store_id", "camera_id", "local_track_id", "run"]
+    if not frames.isStreaming:
+        return frames.groupBy(*keys).applyInPandas(lambda key, pdf: run(key, pdf, new_state()), MOVES)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        state = json.loads(held.get[0]) if held.exists else new_state()
+        got = run(key, pd.concat(list(parts)), state)
+        held.update((json.dumps(state),))
+        held.setTimeoutDuration(FORGET_MS)
+        yield got
 
-    @staticmethod
-    def contains(points: list[list[float]], x: float, y: float) -> bool:
-        inside = False
-        for (ax, ay), (bx, by) in zip(points, [*points[-1:], *points[:-1]], strict=True):
-            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay + 1e-9) + ax:
-                inside = not inside
-        return inside
+    return frames.groupBy(*keys).applyInPandasWithState(step, MOVES, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-    def step(self, ms: int, x: float, y: float) -> list[tuple[str, str, int | None]]:
-        out = []
-        since, inside, last = self.held["since"], self.held["inside"], self.held["last"]
-        for z in self.zones:
-            k = z["zone_id"]
-            if self.contains(z["points"], x, y):
-                since.setdefault(k, ms)
-                if k not in inside and ms - since[k] >= self.dwell_ms:
-                    inside[k] = since[k]
-                    if ms - last.get(z["zone_type"], -(10**12)) > self.dedupe_s * 1000:
-                        out.append((k, "enter", None))
-                    last[z["zone_type"]] = ms
-            else:
-                since.pop(k, None)
-                if k in inside:
-                    out.append((k, "exit", ms - inside.pop(k)))
-        return out
-
-
-def zone_moves(frames: DataFrame, zones: dict[str, list[dict]], dwell_ms: int = 500) -> DataFrame:
-    """Zone enters and exits of frame tracks (store_id, camera_id, local_track_id, ts, bbox), keyed by track. (ST-05, ST-07, ST-11)
-
-    A batch frame runs each track in time order; a stream keeps the machine's few timestamps as state.
-    """
 
-    def run(key: tuple, rows: pd.DataFrame, held: dict | None) -> tuple[pd.DataFrame, dict]:
-        machine, out = ZoneState(zones.get(key[1], []), dwell_ms, held=held), []
-        for r in rows.sort_values("ts").itertuples():
-            ms = int(r.ts.value // 1_000_000)
-            b = r.bbox
-            for zone, kind, dwell in machine.step(ms, b["x"] + b["w"] / 2, b["y"] + b["h"]):
-                out.append((key[0], key[1], int(key[2]), r.ts, zone, kind, dwell))
-        frame = pd.DataFrame(out, columns=["store_id", "camera_id", "local_track_id", "ts", "zone_id", "kind", "dwell_ms"]).astype({"dwell_ms": "Int64"})
-        return frame, machine.held
-
-    keys = ["store_id", "camera_id", "local_track_id"]
-    if not frames.isStreaming:
-        return frames.groupBy(*keys).applyInPandas(lambda key, pdf: run(key, pdf, None)[0], MOVES)
+def snapshot_every(df: DataFrame, write: Callable[[DataFrame, int], None], seconds: int = 5):
+    """A stream writer that hands what is new to `write` every few seconds. (ST-19)"""
+    return df.writeStream.foreachBatch(write).trigger(processingTime=f"{seconds} seconds")
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        got, held = run(key, pd.concat(list(parts)), json.loads(state.get[0]) if state.exists else None)
-        state.update((json.dumps(held),))
-        yield got
 
-    return frames.groupBy(*keys).applyInPandasWithState(step, MOVES, "held string", "append", GroupStateTimeout.NoTimeout)
+def emitted_frames(frames: DataFrame, every: int = 30) -> DataFrame:
+    """Every n-th sampled frame of a camera gives a frame event. (ST-14)"""
+    w = Window.partitionBy("store_id", "camera_id", F.floor(F.col("frame_index") / 100_000)).orderBy("frame_index")
+    return frames.select("store_id", "camera_id", "frame_index", "ts").dropDuplicates(["store_id", "camera_id", "frame_index"]).withColumn("n", F.row_number().over(w) - 1).where(F.col("n") % every == 0).drop("n")

@@ -1,82 +1,258 @@
-"""Identity across cameras: one ordered state machine a store. (ST-01..ST-03, ST-09, ST-13, J-17, F-25)"""
+"""From frame tracks to events, as Spark stages keyed ever more finely.
+
+1. segments(): a local track's unbroken run of frames, one row each (windows over one track);
+2. resolve_identities(): who each segment is, in time order (one group a store, of segments, not of frames);
+3. zone_moves() in jobs: enters, exits, crossings and staff signs (one group a segment);
+4. person_events(): overlap suppression and sessions (one group a person);
+5. envelopes(): events to ingest, as columns.
+"""
 
 from __future__ import annotations
 
 import math
 import uuid
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
 
-# Gates and weights of identity matching.
-COSINE, PLACE, TIME, SIZE = 0.55, 0.20, 0.15, 0.10
-THRESHOLD, THRESHOLD_BLIND, TTL_S, BLEND = 0.68, 0.58, 2700.0, 0.35
-STAFF_PRESENCE_S, STAFF_DARK = 900.0, 0.8
-IDENTITIES = "store_id string, camera_id string, local_track_id int, ts timestamp, global_id string, score double, is_staff boolean"
+# Gates, thresholds and times of identity matching.
+COSINE_GATE, SAME_CAMERA_GATE, THRESHOLD, THRESHOLD_BLIND, TTL_S, BLEND = 0.55, 0.40, 0.68, 0.58, 2700.0, 0.35
+RECOVERY_S, RECOVERY_FOOT, RECOVERY_SCORE, BLIND_COSINE = 20.0, 0.18, 0.52, 0.45
+APPAREL_BINS = 48
+SESSION_GAP_S, MERGE_S = 1800.0, 45.0
 _SPACE = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
 
 
-def cosine(a: list[float], b: list[float]) -> float:
-    d = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-    return sum(x * y for x, y in zip(a, b, strict=True)) / (d or 1.0)
-
-
-class Resolver:
-    """Known people of a store; a new local track joins the best match above the threshold or begins a new one."""
-
-    def __init__(self, edges: dict[tuple[str, str], float], max_gap_s: float = 120.0):
-        self.edges, self.max_gap_s = edges, max_gap_s
-        self.people: dict[str, dict] = {}
-        self.local: dict[tuple[str, int], str] = {}
-
-    def gap(self, src: str, dst: str) -> float:
-        return self.max_gap_s if src == dst else self.edges.get((src, dst), 0.0)
-
-    def resolve(self, camera: str, track: int, at: float, box: dict, emb: list[float] | None, dark: float) -> tuple[str, float, bool]:
-        self.people = {k: p for k, p in self.people.items() if at - p["at"] <= TTL_S}
-        gid, score = self.local.get((camera, track)), 1.0
-        if gid not in self.people:
-            gid, score = None, 0.0
-            for k, p in self.people.items():
-                wait = at - p["at"]
-                if p["at"] >= at and p["camera"] == camera or wait > self.gap(p["camera"], camera):
-                    continue
-                place = max(0.0, 1 - math.hypot(box["x"] - p["box"]["x"], box["y"] - p["box"]["y"])) if p["camera"] == camera else 0.5
-                size = min(box["h"], p["box"]["h"]) / max(box["h"], p["box"]["h"], 1e-9)
-                fresh = max(0.0, 1 - wait / max(self.gap(p["camera"], camera), 1e-9))
-                seen = emb is not None and p["emb"] is not None
-                alike = cosine(emb, p["emb"]) if seen else 0.5
-                s = COSINE * alike + PLACE * place + TIME * fresh + SIZE * size
-                need = THRESHOLD if seen else THRESHOLD_BLIND
-                if s >= (0.9 * need if p["camera"] == camera else need) and s > score:
-                    gid, score = k, s
-            if gid is None:
-                gid, score = str(uuid.uuid5(_SPACE, f"{camera}:{track}:{at:.3f}")), 1.0
-                self.people[gid] = {"first": at, "emb": emb, "dark": 0, "n": 0}
-            self.local[camera, track] = gid
+def segments(frames: DataFrame, step: int = 1) -> DataFrame:
+    """frames (store_id, camera_id, local_track_id, frame_index, ts, foot_x, foot_y, embedding) -> runs of frames no more than `step` apart. (ST-10)
+
+    A track that is missing from a frame has ended. Each run has its first and last time and
+    foot point, and the first and last embedding.
+    """
+    keys = ["store_id", "camera_id", "local_track_id"]
+    w = Window.partitionBy(*keys).orderBy("frame_index")
+    new = F.coalesce((F.col("frame_index") - F.lag("frame_index").over(w) > step).cast("int"), F.lit(1))
+    run = frames.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first, last = (lambda c: F.min_by(c, "frame_index")), (lambda c: F.max_by(c, "frame_index"))
+    return run.groupBy(*keys, "run").agg(
+        F.min("ts").alias("began"), F.max("ts").alias("left"), first("foot_x").alias("x0"), first("foot_y").alias("y0"), last("foot_x").alias("x1"), last("foot_y").alias("y1"),
+        first("embedding").alias("emb0"), last("embedding").alias("emb1"), F.count("*").alias("frames"), F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"),
+    )
+
+
+# ------------------------------------------------------------ identity
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return float(a @ b / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1.0))
+
+
+@dataclass
+class Person:
+    at: float
+    camera: str
+    emb: np.ndarray | None
+    staff: bool
+
+
+@dataclass
+class Identities:
+    """People of a store. A segment is a lost track found again on its camera, else the best match, else the only visitor at hand, else someone new."""
+
+    edges: dict[tuple[str, str], str]  # (from, to): priority
+    roles: dict[str, str] = field(default_factory=dict)
+    people: dict[str, Person] = field(default_factory=dict)
+    lost: list[tuple[float, str, str, float, float, np.ndarray | None]] = field(default_factory=list)
+
+    def reach(self, src: str, dst: str) -> float:
+        """Longest handoff in seconds. (F-25)"""
+        priority = self.edges.get((src, dst))
+        if priority == "P0":
+            return C.HANDOFF_S["floor_to_billing" if self.roles.get(src) != "entry" and self.roles.get(dst) == "billing" else "entry_to_floor"]
+        return C.HANDOFF_S["billing_to_backroom" if priority == "P1" else "floor_to_floor"]
+
+    def recovered(self, camera: str, at: float, x: float, y: float, emb: np.ndarray | None) -> str | None:
+        """(ST-01)"""
+        self.lost = [s for s in self.lost if at - s[0] <= RECOVERY_S]
+        best, score = None, 0.0
+        for _, gid, cam, lx, ly, seen in self.lost:
+            if cam == camera:
+                alike = max(0.0, cosine(emb, seen)) if emb is not None and seen is not None else BLIND_COSINE
+                s = 0.35 * max(0.0, 1 - math.hypot(x - lx, y - ly) / RECOVERY_FOOT) + 0.65 * alike
+                best, score = (gid, s) if s > score else (best, score)
+        if best is None or score < RECOVERY_SCORE:
+            return None
+        self.lost = [s for s in self.lost if s[1] != best]
+        return best if best in self.people else None
+
+    def matched(self, camera: str, at: float, emb: np.ndarray | None, staff: bool) -> tuple[str | None, float]:
+        """The best match of all, or the best one on the same camera if it nearly reaches the threshold. (ST-02, J-17, F-24)"""
+        need, w = THRESHOLD_BLIND if emb is None else THRESHOLD, C.MATCH_WEIGHTS
+        any_, here = (None, 0.0), (None, 0.0)
+        for gid, p in self.people.items():
+            gap, most = at - p.at, self.reach(p.camera, camera)
+            if p.staff and not staff or gap > most or emb is not None and p.emb is None:
+                continue
+            same = p.camera == camera
+            alike = cosine(emb, p.emb) if emb is not None else 0.0
+            if emb is not None and alike < (SAME_CAMERA_GATE if same else COSINE_GATE):
+                continue
+            graph = C.ON_EDGE if (p.camera, camera) in self.edges else C.SAME_CAMERA if same else C.OFF_EDGE
+            dress = max(0.0, cosine(emb[:APPAREL_BINS], p.emb[:APPAREL_BINS])) if emb is not None else 0.0
+            s = w["cosine"] * max(0.0, alike) + w["time_gap"] * max(0.0, 1 - gap / max(most, 1.0)) + w["camera_graph"] * graph + w["apparel"] * dress
+            any_ = (gid, s) if s > any_[1] else any_
+            here = (gid, s) if same and s > here[1] else here
+        pick = here if here[0] is not None and here[1] >= 0.9 * need else any_
+        return pick if pick[0] is not None and pick[1] >= need else (None, 0.0)
+
+    def alone(self, camera: str, at: float) -> str | None:
+        """The one visitor last seen on a camera that leads here first of all. (ST-03)"""
+        for (src, dst), priority in self.edges.items():
+            if dst == camera and priority == "P0":
+                near = [g for g, p in self.people.items() if not p.staff and p.camera == src and at - p.at <= self.reach(src, camera)]
+                if len(near) == 1:
+                    return near[0]
+        return None
+
+    def resolve(self, camera: str, track: int, at: float, x: float, y: float, emb: np.ndarray | None, staff: bool = False) -> tuple[str, str, float]:
+        """(id, how it was found, score)."""
+        self.people = {k: p for k, p in self.people.items() if at - p.at <= TTL_S}
+        gid, how, score = None if staff else self.recovered(camera, at, x, y, emb), "recovered", 1.0
+        if gid is None:
+            (gid, score), how = self.matched(camera, at, emb, staff), "matched"
+        if gid is None and not staff:
+            gid, how, score = self.alone(camera, at), "solo", 0.85
+        if gid is None:
+            gid = str(uuid.uuid5(_SPACE, f"{camera}:{track}:{at:.3f}"))
+            self.people[gid] = Person(at, camera, emb, staff)
+            return gid, "new", 1.0
         p = self.people[gid]
-        if emb is not None and p["emb"] is not None and p["n"]:
-            mixed = [x * (1 - BLEND) + y * BLEND for x, y in zip(p["emb"], emb, strict=True)]
-            norm = math.sqrt(sum(x * x for x in mixed)) or 1.0
-            emb = [x / norm for x in mixed]
-        p |= {"at": at, "camera": camera, "box": box, "emb": emb if emb is not None else p["emb"], "n": p["n"] + 1, "dark": p["dark"] + (dark > STAFF_DARK)}
-        staff = at - p["first"] >= STAFF_PRESENCE_S or p["n"] >= 5 and p["dark"] / p["n"] > 0.9
-        return gid, score, staff
+        p.at, p.camera = at, camera
+        if emb is not None:
+            mixed = emb if p.emb is None else (1 - BLEND) * p.emb + BLEND * emb
+            p.emb = mixed if p.emb is None else mixed / (np.linalg.norm(mixed) or 1.0)
+        return gid, how, score
+
+
+IDENTITIES = "store_id string, camera_id string, local_track_id int, run long, global_id string, how string, score double"
 
 
-def resolve_identities(frames: DataFrame, edges: dict[tuple[str, str], float]) -> DataFrame:
-    """Global ids of frame tracks (store_id, camera_id, local_track_id, ts, bbox, embedding, dark_ratio).
+def resolve_identities(runs: DataFrame, edges: dict[tuple[str, str], str], roles: dict[str, str] | None = None) -> DataFrame:
+    """Global id of each of segments(). (ST-01..ST-03, ST-13)
 
-    Each decision depends on all before it in the store, so a store is a task; a deployment
-    scales by stores, and a store's frames of a day are what one task holds.
+    Each decision depends on those before it in the store, so a store is a group; what it holds
+    is a row for a segment, not for a frame, and people are forgotten after TTL_S.
     """
+    roles = roles or {}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        resolver, out = Resolver(edges), []
-        for r in pdf.sort_values(["ts", "camera_id", "local_track_id"]).itertuples():
-            emb = None if r.embedding is None else list(map(float, r.embedding))
-            gid, score, staff = resolver.resolve(r.camera_id, int(r.local_track_id), r.ts.value / 1e9, r.bbox, emb, float(r.dark_ratio or 0))
-            out.append((key[0], r.camera_id, int(r.local_track_id), r.ts, gid, score, staff))
-        return pd.DataFrame(out, columns=["store_id", "camera_id", "local_track_id", "ts", "global_id", "score", "is_staff"])
-
-    return frames.groupBy("store_id").applyInPandas(run, IDENTITIES)
+        known, out, names = Identities(edges, roles), [], {}
+        begins = [(r.began.value, 1, r.camera_id, r.local_track_id, r) for r in pdf.itertuples()]
+        ends = [(r.left.value, 0, r.camera_id, r.local_track_id, r) for r in pdf.itertuples()]
+        for at, is_begin, camera, track, r in sorted(begins + ends, key=lambda e: (e[0], e[4].began.value != e[0] if not e[1] else True, *e[1:4])):
+            vector = r.emb0 if is_begin else r.emb1
+            emb = None if vector is None else np.asarray(vector, float)
+            if is_begin:
+                gid, how, score = known.resolve(camera, int(track), at / 1e9, r.x0, r.y0, emb, roles.get(camera) == "backroom")
+                names[camera, track, r.run] = gid
+                out.append((key[0], camera, int(track), int(r.run), gid, how, score))
+            elif roles.get(camera) != "backroom" and (camera, track, r.run) in names:
+                known.lost.append((at / 1e9, names[camera, track, r.run], camera, r.x1, r.y1, emb))
+        return pd.DataFrame(out, columns=["store_id", "camera_id", "local_track_id", "run", "global_id", "how", "score"])
+
+    return runs.groupBy("store_id").applyInPandas(run, IDENTITIES)
+
+
+# ------------------------------------------------------------ persons: overlap and sessions
+PERSON = (
+    "store_id string, global_id string, camera_id string, local_track_id int, ts timestamp, zone_id string, zone_type string, kind string, direction string, dwell_ms long, "
+    "is_staff boolean, suppressed boolean, session_no int, is_reentry boolean, is_store_exit boolean, session_started timestamp"
+)
+
+
+def person_events(moves: DataFrame, rules: list[dict] | None = None, roles: dict[str, str] | None = None, cooldown_s: float = SESSION_GAP_S) -> DataFrame:
+    """moves (store_id, global_id, camera_id, local_track_id, ts, zone_id, zone_type, kind, direction, dwell_ms, is_staff), with sessions, and enters that another camera tells already. (ST-04, ST-08, ST-12)
+
+    rules: {suppress_camera, suppress_zone_types, active_camera, active_zone_types, within_seconds}.
+    A session begins when someone comes in over the threshold, or enters a door zone of an entry
+    camera; it ends when they go out, resumes within the cooldown, and is a re-entry after it.
+    """
+    rules, roles = rules or [], roles or {}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, active, number, began, ended, running = [], {}, 0, None, None, False
+        for r in pdf.sort_values(["ts", "camera_id", "zone_id"], kind="stable").itertuples():
+            at, enter, staff = r.ts.value / 1e9, r.kind == "enter", bool(r.is_staff)
+            spot = (r.camera_id, r.zone_type)
+            hidden = enter and any(
+                r.camera_id == rule["suppress_camera"] and r.zone_type in rule["suppress_zone_types"]
+                and any(c == rule["active_camera"] and z in rule["active_zone_types"] and at - since <= rule["within_seconds"] for (c, z), times in active.items() for since in times)
+                for rule in rules
+            )
+            again = out_door = False
+            if not hidden:
+                if enter:
+                    active.setdefault(spot, []).append(at)
+                elif r.kind == "exit":
+                    active.pop(spot, None)
+                comes = enter and r.zone_type == "entry_threshold" and r.direction == "in"
+                door = enter and not running and roles.get(r.camera_id) == "entry" and r.zone_type in ("entrance", "entry_threshold") and r.direction != "out"
+                out_door = enter and r.zone_type == "entry_threshold" and r.direction == "out" and not staff
+                if staff and running and r.zone_type != "staff_only":
+                    running, ended = False, at
+                elif not staff and (comes or door) and not running:
+                    running = True
+                    if ended is None or at - ended > cooldown_s:
+                        again, number, began = number > 0, number + 1, r.ts
+                elif out_door and running:
+                    running, ended = False, at
+            session = number if running or out_door and number else None
+            out.append((*key, r.camera_id, r.local_track_id, r.ts, r.zone_id, r.zone_type, r.kind, r.direction, r.dwell_ms, staff, hidden, session, again, out_door, began if session else None))
+        frame = pd.DataFrame(out, columns=[x.split()[0] for x in PERSON.split(", ")])
+        return frame.astype({"dwell_ms": "Int64", "session_no": "Int32"})
+
+    return moves.groupBy("store_id", "global_id").applyInPandas(run, PERSON)
+
+
+def session_rows(persons: DataFrame) -> DataFrame:
+    """Sessions of person_events(): start, end, re-entry. (ST-04, K-06's input)"""
+    s = persons.where("session_no is not null")
+    return s.groupBy("store_id", F.col("global_id").alias("external_track_id"), "session_no").agg(
+        F.min("session_started").alias("started_at"), F.max("ts").alias("last_at"), F.max(F.when(F.col("is_store_exit"), F.col("ts"))).alias("ended_at"), F.bool_or("is_reentry").alias("is_reentry"), F.bool_or("is_staff").alias("staff")
+    )
+
+
+def envelopes(persons: DataFrame, tenant_id: str, correlation_id: str, detector_mode: str = "yolo") -> DataFrame:
+    """Events to ingest of what person_events() lets pass, with keys that a rerun gives again. (ST-15, P-21, P-22)"""
+    e = persons.where(~F.col("suppressed") & C.emitted("zone_type", "is_staff"))
+    kind = F.when(F.col("kind") == "enter", C.ENTERED).otherwise(C.EXITED)
+    who = F.concat_ws(":", "store_id", "global_id")
+    key = F.concat_ws("-", kind, who, "zone_id", F.unix_millis("ts").cast("string"))
+    flag = lambda x: F.when(x, F.lit(True))
+    payload = F.to_json(F.struct(
+        "zone_id", "zone_type", "camera_id", who.alias("external_track_id"), F.when(F.col("is_staff"), "staff").otherwise("visitor").alias("class_label"), "direction", "dwell_ms",
+        flag(F.col("is_reentry")).alias("is_reentry"), flag(F.col("is_store_exit")).alias("is_store_exit"), flag(C.store_entry("direction", "zone_type")).alias("is_store_entry"),
+        F.lit(detector_mode).alias("detector_mode"), "store_id",
+    ))
+    space = str(uuid.NAMESPACE_URL)
+    return e.select(
+        C.uuid5(space, key).alias("event_id"), kind.alias("event_type"), F.lit("1.0.0").alias("schema_version"), F.lit(tenant_id).alias("tenant_id"), "store_id", C.iso_utc("ts").alias("occurred_at"),
+        F.lit(correlation_id).alias("correlation_id"), key.alias("idempotency_key"), F.struct(F.lit("zone").alias("type"), C.uuid5(space, F.col("zone_id")).alias("id")).alias("aggregate"), payload.alias("payload"),
+    )
+
+
+def track_store(frames: DataFrame, zones: dict[str, list[dict]], edges: dict[tuple[str, str], str], roles: dict[str, str], rules: list[dict] | None = None, step: int = 1, cooldown_s: float = SESSION_GAP_S) -> DataFrame:
+    """Frame tracks to person events, stage by stage. (ST-11)"""
+    from .jobs import zone_moves
+
+    runs = segments(frames, step)
+    who = resolve_identities(runs, edges, roles)
+    keys = ["store_id", "camera_id", "local_track_id"]
+    spans = runs.select(*keys, "run", "first_frame", "last_frame").join(who, [*keys, "run"])
+    # Each local track has few runs; a frame belongs to the one around it.
+    named = frames.join(spans, keys).where("frame_index between first_frame and last_frame").select(*(frames[c] for c in frames.columns), "global_id", "run")
+    moves = zone_moves(named, zones, roles)
+    return person_events(moves.join(who.select(*keys, "run", "global_id"), [*keys, "run"]), rules, roles, cooldown_s)
