@@ -25,13 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, set as the checkpoint folder too.
 
-    ``spark.checkpoint.dir`` names it; where that is unset (tests on one machine) it is a
-    new temporary folder.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a master on one machine (tests)
+    gets a new temporary folder; on a cluster it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='ckpt')}"
+        if known.isDefined():
+            known = known.get()
+        elif spark.sparkContext.master.startswith("local"):
+            known = f"file://{tempfile.mkdtemp(prefix='ckpt')}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -162,22 +167,46 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def global_prefix_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Adds the sum of `value` over all rows before a row in ascending `order` (a total order).
+def global_prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with, for each out: value of `sums`, the sum of `value` over all rows before a row in ascending `order` (a total order).
 
     Range partitions are summed one by one, and only their totals (one row a partition) meet
     in one task; no window spans the table. The range partitioning is written out because
-    partition numbers have to stay as they are.
+    partition numbers have to stay as they are. Its folder is the result's `_folder`.
     """
     part = frozen(df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()))
-    totals = part.groupBy("range_no").agg(F.sum(value).alias("total"))
+    totals = part.groupBy("range_no").agg(*(F.sum(F.expr(v)).alias(out) for out, v in sums.items()))
     before = totals.selectExpr(
-        "range_no",
-        "coalesce(sum(total) over (order by range_no rows between unbounded preceding and 1 preceding), 0) as base",
-    )
-    keys = ", ".join(order)
-    return (
-        part.join(before, "range_no")
-        .withColumn(out, F.expr(f"base + coalesce(sum({value}) over (partition by range_no order by {keys} rows between unbounded preceding and 1 preceding), 0)"))
-        .drop("base", "range_no")
+        "range_no", *(f"coalesce(sum({out}) over (order by range_no rows between unbounded preceding and 1 preceding), 0) as base_{out}" for out in sums)
     )
+    window = f"(partition by range_no order by {', '.join(order)} rows between unbounded preceding and 1 preceding)"
+    got = part.join(before, "range_no").select(*df.columns, *(F.expr(f"base_{out} + coalesce(sum({v}) over {window}, 0)").alias(out) for out, v in sums.items()))
+    got._folder = part._folder
+    return got
+
+
+#: A key that holds more than one in HEAVY of all rows is heavy, so there are fewer than HEAVY of them: what is broadcast for them is bounded.
+HEAVY = 1000
+
+
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], uses: str, salt: list[str], total: int | None = None) -> DataFrame:
+    """left inner join right on `keys`, where the rows of no key have to meet in one task.
+
+    right has a row for each key at most; its column `uses` (dropped) is how many rows of left
+    have the key, or more. total: their sum, counted if not given. Heavy keys, fewer than
+    HEAVY, are broadcast with a number of parts in proportion to their uses: rows of left go to
+    a part by a hash of the columns `salt`, the row of right goes to each part.
+    """
+    total = (right.agg(F.sum(uses)).first()[0] or 0) if total is None else total
+    heavy = F.broadcast(right.where(F.col(uses) * HEAVY > total).select(*keys, F.ceil(F.col(uses) * HEAVY / F.lit(max(1, total))).alias("salt_parts")))
+    parts = F.coalesce("salt_parts", F.lit(1))
+    one = left.join(heavy, keys, "left").withColumn("salt_no", F.pmod(F.xxhash64(*salt), parts)).drop("salt_parts")
+    each = right.drop(uses).join(heavy, keys, "left").withColumn("salt_no", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<long>"))).drop("salt_parts")
+    return one.join(each, [*keys, "salt_no"]).drop("salt_no")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Arrow batches between the JVM and Python have at most `rows` rows, so that batches of long texts stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_frozen, frozen
+from .common import drop_frozen, frozen, join_salted
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,31 +13,34 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every step hangs
     nodes below smaller ones, and a logarithmic number of them leaves one star a component.
-    Minima are pre-aggregated before they are joined back, so a hub's neighbours never meet
-    in one task. Nulls and self-links are ignored; no edges give no rows.
+    Minima are pre-aggregated, and joined back in parts where a node has very many neighbours,
+    so a hub's neighbours never meet in one task. Nulls and self-links are ignored; no edges
+    give no rows.
     """
     pairs = frozen(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    seen = None
+    seen, count = None, pairs.count()
     for _ in range(rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("uses"))
+        large = join_salted(both, low, ["u"], "uses", ["v"], 2 * count).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = frozen(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("uses"))
+        small = join_salted(large, low, ["u"], "uses", ["v"], count)
         old, pairs = pairs, frozen(
             small.select("u", F.col("m").alias("v"))
             .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
         drop_frozen(old)
+        drop_frozen(large)
         now = pairs.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == seen:
             break
-        seen = now
+        seen, count = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     tops = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
