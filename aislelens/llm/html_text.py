@@ -19,61 +19,74 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME = frozenset("nav footer aside form menu dialog header".split())
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus disclaimer "
-    "footer form header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion "
-    "related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar topbar widget".split()
+# What the names of an element say about the text in it, as log odds of being content.
+# Names that tell a purpose outweigh long sentences; ones that page builders give to anything
+# (widget, form) say little.
+TAG_ODDS = {"article": 2.5, "main": 2.5, "nav": -7.0, "footer": -7.0, "menu": -7.0, "dialog": -7.0, "aside": -6.0, "header": -3.0, "form": -0.5}
+ROLE_ODDS = {"main": 2.5, "article": 2.5} | dict.fromkeys(
+    "navigation banner contentinfo complementary search dialog alert menu menubar".split(), -7.0
+)
+WORD_ODDS = (
+    dict.fromkeys("article content entry main post story".split(), 1.5)
+    | dict.fromkeys(
+        "ad ads adv advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus disclaimer footer "
+        "login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion replies respond search "
+        "share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar".split(), -7.0,
+    )
+    | dict.fromkeys("banner related reply teaser".split(), -4.0)
+    | dict.fromkeys("form header widget".split(), -0.5)
 )
-CONTENT = frozenset(("article", "main"))
-CONTENT_WORDS = frozenset("article content entry main post story text body".split())
 
 _ATTRS = "(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{'|'.join(RAW)})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>{_ATTRS})>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|$)|<(?P<raw>{'|'.join(RAW)})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>{_ATTRS}|[^<>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
-#: Weights of the block classifier (log odds of being content), set by hand; no page is labelled.
-BIAS, IN_CONTENT, IN_CHROME, LINKED, PER_LOG_WORD, SENTENCES, HEADING = -1.5, 5.0, -9.0, -4.0, 0.6, 0.6, 1.0
-#: Capacity of an edge between neighbours below one parent; it halves with each level between them.
-SMOOTH = 1.5
+#: Weights of the block classifier beside names, as log odds, set by hand, as no page is labelled: a lone word is rather
+#: chrome (BIAS), a few words or a sentence bring it near even, many words up to MOST make it content, links alone chrome.
+BIAS, LINKED, PER_LOG_WORD, MOST, SENTENCE, HEADING = -1.0, -4.0, 0.8, 100, 0.6, 1.0
+#: What the name of an outer element counts for beside that of the next one inside it.
+OUTER = 0.3
+#: A class or id of an element with more than this share of the page's text ("has-sidebar") doesn't tell what the text is.
+PAGE_SHARE = 0.8
+#: Capacity of the edge between two blocks below one parent: neighbours, and the next block of the same tag there. Each
+#: level of the tree between them divides it by LEVEL, so it is a block's nearness in the document tree.
+SMOOTH, SIBLING, LEVEL = 2.0, 0.75, 3.0
+
+
+class Element:
+    """Names of an element as log odds: of its tag and role, and of its class and id (0: they say nothing)."""
+
+    __slots__ = ("tag", "purpose", "label")
+
+    def __init__(self, tag: str, attrs: str):
+        purpose, label = [TAG_ODDS.get(tag, 0.0)], [0.0]
+        for m in _NAMES.finditer(attrs) if attrs and tag not in ("html", "body") else ():
+            words = _WORD.findall((m[2] or m[3] or m[4] or "").lower())
+            if m[1].lower() == "role":
+                purpose += [ROLE_ODDS.get(w, 0.0) for w in words]
+            else:
+                label += [WORD_ODDS.get(w, 0.0) for w in words]
+        self.tag, self.purpose, self.label = tag, *(min(x) if min(x) < 0 else max(x) for x in (purpose, label))
 
 
 class Block:
-    __slots__ = ("path", "parts", "linked", "kind", "tag")
-
-    def __init__(self, path: tuple[int, ...], kind: str, tag: str):
-        self.path, self.kind, self.tag, self.parts, self.linked = path, kind, tag, [], 0
-
-    def text(self) -> str:
-        return " ".join(entities.unescape("".join(self.parts)).split())
-
-
-def _zone(tag: str, attrs: str, kind: str) -> str:
-    """Whether an element makes what it holds chrome, content, or leaves it as it is."""
-    if kind == "chrome":
-        return kind
-    names: set[str] = set()
-    for m in _NAMES.finditer(attrs) if attrs else ():
-        words = set(_WORD.findall((m[2] or m[3] or m[4] or "").lower()))
-        if m[1].lower() == "role" and words & CHROME_ROLES:
-            return "chrome"
-        names |= words
-    if tag == "header" and kind == "content":
-        return kind
-    if tag in CHROME or names & CHROME_WORDS and tag not in ("html", "body", *CONTENT):
-        return "chrome"
-    return "content" if tag in CONTENT or names & CONTENT_WORDS and tag not in ("html", "body") else kind
-
-
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order: what stands between the edges of block elements."""
+    """Text between the edges of block elements; path: the numbers of the elements around it."""
+
+    __slots__ = ("path", "parts", "linked", "text")
+
+    def __init__(self, path: tuple[int, ...]):
+        self.path, self.parts, self.linked, self.text = path, [], 0, ""
+
+
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """Text blocks of a page in order, and its block elements by number."""
     out: list[Block] = []
-    stack: list[tuple[str, int, str]] = []  # tag, element number, zone
-    at, number, links = 0, 0, 0
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []  # tag, element number
+    at, links = 0, 0
     body = re.search(r"<body\b", page, re.I)
     head = re.search(r"<head\b.*?(?:</head\s*>|(?=<body\b))", page[: body.start() + 5] if body else page, re.I | re.S)
     if head:
@@ -85,7 +98,7 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            now = Block(tuple(s[1] for s in stack), stack[-1][2] if stack else "", stack[-1][0] if stack else "")
+            now = Block(tuple(s[1] for s in stack))
             out.append(now)
         now.parts.append(text)
         if links:
@@ -111,29 +124,73 @@ def blocks(page: str) -> list[Block]:
             elif tag not in VOID:
                 while stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
-                number += 1
-                stack.append((tag, number, _zone(tag, m["attrs"], stack[-1][2] if stack else "")))
+                stack.append((tag, len(elements)))
+                elements.append(Element(tag, m["attrs"]))
             links = 0
         elif tag == "a":
             links = 0 if m["end"] else 1
     if at < len(page):
         add(page[at:])
+    for b in out:
+        b.text = " ".join(entities.unescape("".join(b.parts)).split())
+    return [b for b in out if b.text], elements
+
+
+def log_odds(found: list[Block], elements: list[Element]) -> list[float]:
+    """The classifier: log odds that each block is content, from its words, links, tag and the names around it."""
+    held = [0] * len(elements)
+    for b in found:
+        for e in b.path:
+            held[e] += len(b.text)
+    most = PAGE_SHARE * sum(len(b.text) for b in found)
+    named: dict[tuple[int, ...], float] = {(): 0.0}
+
+    def names(path: tuple[int, ...]) -> float:
+        depth = len(path)
+        while path[:depth] not in named:
+            depth -= 1
+        odds = named[path[:depth]]
+        for k in range(depth, len(path)):
+            e = elements[path[k]]
+            label = 0.0 if e.label < 0 and held[path[k]] > most else e.label
+            purpose = 0.0 if e.tag == "header" and odds > 0 else e.purpose  # an article's own header
+            own = min(label, purpose) if min(label, purpose) < 0 else max(label, purpose)
+            odds = own + OUTER * odds if own else odds
+            named[path[: k + 1]] = odds
+        return odds
+
+    out = []
+    for b in found:
+        words = b.text.count(" ") + 1
+        score = BIAS + names(b.path) + PER_LOG_WORD * math.log(min(words, MOST)) + LINKED * min(1.0, b.linked / len(b.text))
+        score += SENTENCE * min(3, sum(b.text.count(c) for c in ".!?")) if words > 4 else 0.0
+        tag = elements[b.path[-1]].tag if b.path else ""
+        out.append(score + (HEADING if tag[:1] == "h" and tag[1:].isdigit() else 0.0))
     return out
 
 
-def log_odds(block: Block, text: str) -> float:
-    words = text.count(" ") + 1
-    score = BIAS + PER_LOG_WORD * math.log(words) + LINKED * min(1.0, block.linked / max(1, len(text)))
-    score += IN_CONTENT if block.kind == "content" else IN_CHROME if block.kind == "chrome" else 0.0
-    score += SENTENCES * min(3, sum(text.count(c) for c in ".!?")) if words > 4 else 0.0
-    return score + (HEADING if block.tag[:1] == "h" and block.tag[1:].isdigit() else 0.0)
+def edges_of(found: list[Block], elements: list[Element]) -> list[tuple[int, int, float]]:
+    """Smoothness edges (i, j, capacity): neighbours on the page, and the next block of the same tag below the same grandparent or parent."""
+    out, last = [], {}
+    for i, b in enumerate(found):
+        if i:
+            a = found[i - 1]
+            shared = sum(1 for x, y in zip(a.path[:-1], b.path[:-1], strict=False) if x == y)
+            out.append((i - 1, i, SMOOTH / LEVEL ** min(60, max(len(a.path), len(b.path)) - 1 - shared)))
+        for up in (1, 2):
+            key = (up, b.path[:-up], elements[b.path[-1]].tag if b.path else "")
+            if len(b.path) >= up and last.get(key, i - 1) != i - 1:
+                out.append((last[key], i, SIBLING / LEVEL ** (up - 1)))
+            last[key] = i
+    return out
 
 
 def minimum_cut(gain: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay on the source's side of a minimum cut: gain[i] is (from source, to sink), edges work both ways.
 
-    What a node passes straight from source to sink flows at once; the rest goes along
-    shortest paths until none is left.
+    What a node passes straight from source to sink flows at once. The rest goes node by node
+    along shortest paths. Nodes from which a node with flow left can reach no room any more
+    never lead anywhere again: they are the source's side, and later searches leave them out.
     """
     n = len(gain)
     spare = [a - min(a, b) for a, b in gain]
@@ -142,56 +199,57 @@ def minimum_cut(gain: list[tuple[float, float]], edges: list[tuple[int, int, flo
     for i, j, c in edges:
         link[i][j] = link[i].get(j, 0.0) + c
         link[j][i] = link[j].get(i, 0.0) + c
-    while True:
-        before: dict[int, int] = {i: -1 for i in range(n) if spare[i] > 1e-9}
-        queue, end = deque(before), None
-        while queue:
-            i = queue.popleft()
-            if room[i] > 1e-9:
-                end = i
+    side = [False] * n
+    for start in range(n):
+        while spare[start] > 1e-9 and not side[start]:
+            before: dict[int, int] = {start: -1}
+            queue, end = deque(before), None
+            while queue:
+                i = queue.popleft()
+                if room[i] > 1e-9:
+                    end = i
+                    break
+                for j, c in link[i].items():
+                    if c > 1e-9 and j not in before and not side[j]:
+                        before[j] = i
+                        queue.append(j)
+            if end is None:
+                for i in before:
+                    side[i] = True
                 break
-            for j, c in link[i].items():
-                if c > 1e-9 and j not in before:
-                    before[j] = i
-                    queue.append(j)
-        if end is None:
-            return [i in before for i in range(n)]
-        path = [end]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min(spare[path[-1]], room[end], *(link[a][b] for b, a in zip(path, path[1:], strict=False)))
-        spare[path[-1]] -= flow
-        room[end] -= flow
-        for b, a in zip(path, path[1:], strict=False):
-            link[a][b] -= flow
-            link[b][a] += flow
+            path = [end]
+            while before[path[-1]] >= 0:
+                path.append(before[path[-1]])
+            flow = min(spare[start], room[end], *(link[a][b] for b, a in zip(path, path[1:], strict=False)))
+            spare[start] -= flow
+            room[end] -= flow
+            for b, a in zip(path, path[1:], strict=False):
+                link[a][b] -= flow
+                link[b][a] += flow
+    return side
 
 
 def main_text(page: str | None) -> str:
     """Text of the blocks that the cut labels content, joined by one space."""
-    found = [(b, t) for b in blocks(page or "") if (t := b.text())]
-    odds = [log_odds(b, t) for b, t in found]
-    gain = [(math.log1p(math.exp(min(30.0, x))), math.log1p(math.exp(min(30.0, -x)))) for x in odds]
-    edges = []
-    for i in range(len(found) - 1):
-        a, b = found[i][0], found[i + 1][0]
-        if a.kind != b.kind:
-            continue
-        shared = sum(1 for _ in zip(*(x.path[:-1] for x in (a, b)), strict=False) if _[0] == _[1])
-        apart = max(len(a.path), len(b.path)) - 1 - shared
-        edges.append((i, i + 1, SMOOTH / 2 ** max(0, apart)))
-    return " ".join(t for (_, t), on in zip(found, minimum_cut(gain, edges), strict=True) if on)
+    found, elements = blocks(page or "")
+    gain = [(math.log1p(math.exp(min(30.0, x))), math.log1p(math.exp(min(30.0, -x)))) for x in log_odds(found, elements)]
+    on = minimum_cut(gain, edges_of(found, elements))
+    return " ".join(b.text for b, content in zip(found, on, strict=True) if content)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html): the main text.
 
     A page is cut into blocks at block elements; raw elements, the head and comments go. Each
-    block's classifier odds become its capacities from the source (content) and to the sink,
-    neighbours in one zone are tied by their nearness in the tree, and the minimum cut says
-    which blocks are content. White space in a block is one space, character references are
-    decoded, nothing else is changed. Null or empty html, or no content: text '' and 0.
-    Nulls in other columns are passed on; repeated rows each count; no rows give no rows.
+    block's classifier odds become its capacities from the source (content) and to the sink:
+    words, sentences, links, and the names of the elements around it, the nearest most. Blocks
+    next to each other or siblings in the document tree are tied by edges, the stronger the
+    nearer they are in the tree, whatever their names. The minimum cut says which blocks are
+    content. White space in a block is one space, character references are decoded, nothing
+    else is changed. A quote that is never closed ends with its tag. Null or empty html, or no
+    content: text '' and 0. Nulls in other columns are passed on; repeated rows each count; a
+    very long page is one page, its cut taken as a whole; extra columns, whatever their names,
+    are not looked at; no rows give no rows.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
