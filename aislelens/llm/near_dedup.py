@@ -13,19 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, mix, passes, signed, utf8, word_hashes
+from .common import bounded_batches, drop_frozen, frozen, join_salted, mix, passes, signed, utf8, word_hashes
 from .components import connected_components
 
 BINS = 128
 #: 32 bands of 4: a pair of similarity 0.85 shares no band with probability 6e-11, one of 0.8 with 5e-8.
 BAND_ROWS = 4
-#: Documents of a bucket that one verification task holds at once, a side.
-CHUNK = 512
-#: Members of a star that are verified together.
-STAR = 2048
+#: Documents and shingles, about, of a bucket that one verification task holds at once, a side.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 19
+#: Members and shingles, about, of a star that are verified together.
+STAR, STAR_SHINGLES = 2048, 1 << 20
 WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -173,7 +173,14 @@ def _verify_cell(percent: int):
     return check
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def _parts(rows: str, shingles: str, most: int, most_shingles: int) -> Column:
+    """How many parts hold at most about `most` rows and `most_shingles` shingles each."""
+    return F.ceil(F.greatest(F.col(rows) / F.lit(most), F.col(shingles) / F.lit(most_shingles)))
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = 85, star: tuple[int, int] = (STAR, STAR_SHINGLES), chunk: tuple[int, int] = (CHUNK, CHUNK_SHINGLES)
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct
@@ -186,47 +193,63 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     4. Buckets that still span several components are split into chunks, and all pairs of
        chunks that may hold two components are compared by a 0/1 matrix product in memory.
     All links are confirmed on the full sets. No pair list is emitted, and no bucket has a cap.
+    Stars and chunks are split by rows and by shingles, `star` and `chunk` being the most of
+    each, so a task's memory doesn't follow the longest texts' number; buckets, hubs and classes
+    of very many rows are joined in parts.
 
     Null or empty text, or text without words: n_shingles 0, linked with nothing. A null
     doc_id links with nothing, has a null component and is kept. Repeated rows are copies;
-    rows with one doc_id and different texts are one document with several sets. Other
-    columns are not looked at. An empty table gives an empty result.
+    rows with one doc_id and different texts are one document with several sets. A very long
+    text has one large set. Other columns are not looked at, whatever their names. An empty
+    table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = frozen(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, p long, q long, bands array<long>"))
-    whole = sigs.where("doc_id is not null and n_shingles > 0")
-    classes = whole.groupBy("p", "q", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    firsts = whole.select("p", "q", "n_shingles", "doc_id", "bands").join(
-        classes.withColumnRenamed("rep", "doc_id"), ["p", "q", "n_shingles", "doc_id"], "left_semi"
+    same, whole = ["p", "q", "n_shingles"], sigs.where("doc_id is not null and n_shingles > 0")
+    classes = frozen(whole.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    firsts = whole.select(*same, "doc_id", "bands").join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi")
+    firsts = frozen(firsts.dropDuplicates([*same, "doc_id"]).select(F.col("doc_id").alias("rep"), "p", F.col("n_shingles").alias("n"), "bands"))
+    entries = firsts.select("rep", "p", "n", F.explode("bands").alias("bucket"))
+    shared = frozen(
+        entries.groupBy("bucket").agg(F.min(F.struct("rep", "p", "n")).alias("hub"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1").withColumn("uses", F.col("members"))
     )
-    entries = firsts.select(F.col("doc_id").alias("rep"), "p", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min(F.struct("rep", "p", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = frozen(entries.join(shared, "bucket"))
+    members = frozen(join_salted(entries, shared, ["bucket"], "uses", ["rep", "p"]))
+    drop_frozen(firsts)
+    drop_frozen(shared)
 
     wanted = members.select("rep").distinct()
     sets = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").mapInArrow(_set_rows, "rep long, p long, hashes binary")
     sets = frozen(sets.dropDuplicates(["rep", "p"]))
 
+    def with_sets(load: DataFrame, salt: list[str]) -> DataFrame:
+        """load (rep, p, ...) with the hashes of each; a set that very many tasks ask for is joined in parts."""
+        load = frozen(load)
+        uses = load.groupBy("rep", "p").agg(F.count("*").alias("uses"))
+        return join_salted(load, sets.join(uses, ["rep", "p"]), ["rep", "p"], "uses", salt, load.count())
+
     stars = members.where(f"(rep, p) <> (hub.rep, hub.p) and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-    stars = stars.selectExpr("rep", "p", "hub.rep as hub", "hub.p as hub_p").distinct()
-    many = stars.groupBy("hub", "hub_p").agg(F.ceil(F.count("*") / F.lit(STAR)).alias("parts"))
-    stars = stars.join(many, ["hub", "hub_p"]).withColumn("part", F.expr("pmod(xxhash64(rep), parts)")).drop("parts")
-    load = stars.selectExpr("hub as star", "hub_p as star_p", "part", "rep", "p", "false as hub").union(
-        stars.selectExpr("hub as star", "hub_p as star_p", "part", "hub as rep", "hub_p as p", "true as hub").distinct()
+    stars = frozen(stars.selectExpr("rep", "p", "n", "hub.rep as hub", "hub.p as hub_p").distinct())
+    many = stars.groupBy("hub", "hub_p").agg(F.count("*").alias("uses"), F.sum("n").alias("shingles")).withColumn("parts", _parts("uses", "shingles", *star)).drop("shingles")
+    split = join_salted(stars, many, ["hub", "hub_p"], "uses", ["rep", "p"], stars.count()).withColumn("part", F.expr("pmod(xxhash64(rep, p), parts)"))
+    load = split.selectExpr("hub as star", "hub_p as star_p", "part", "rep", "p", "false as hub").union(
+        split.selectExpr("hub as star", "hub_p as star_p", "part", "hub as rep", "hub_p as p", "true as hub").distinct()
     )
-    links = frozen(load.join(sets, ["rep", "p"]).groupBy("star", "star_p", "part").applyInPandas(_verify_star(percent), "a long, b long"))
+    links = frozen(with_sets(load, ["star", "star_p", "part"]).groupBy("star", "star_p", "part").applyInPandas(_verify_star(percent), "a long, b long"))
     comps = connected_components(links)
 
-    rest = members.where("members > 2").select("bucket", "rep", "p", "members").join(
+    rest = members.where("members > 2").select("bucket", "rep", "p", "n", "members", "shingles").join(
         comps.withColumnRenamed("node", "rep"), "rep", "left"
     ).withColumn("component", F.coalesce("component", "rep"))
+    rest = frozen(rest)
     open_ = rest.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("rep", "component")).alias("hub")
-    ).where("lo < hi").selectExpr("bucket", "hub.component as hub")
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("rep", "component")).alias("hub"), F.count("*").alias("uses")
+    ).where("lo < hi").selectExpr("bucket", "hub.component as hub", "uses")
     # The hub's component, mostly the largest, has chunks of its own: pairs of those need no look.
-    chunk = f"struct(component = hub as core, pmod(xxhash64(rep), ceil(members / {CHUNK}D)) as part)"
-    rest = frozen(rest.join(open_, "bucket").withColumn("chunk", F.expr(chunk)).drop("members", "hub"))
-    chunks = rest.groupBy("bucket", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    cut = F.struct((F.col("component") == F.col("hub")).alias("core"), F.pmod(F.xxhash64("rep", "p"), _parts("members", "shingles", *chunk)).alias("part"))
+    left = frozen(join_salted(rest, open_, ["bucket"], "uses", ["rep", "p"], rest.count()).withColumn("chunk", cut).select("bucket", "rep", "p", "component", "chunk"))
+    drop_frozen(rest)
+    chunks = left.groupBy("bucket", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     cells = (
         chunks.alias("x").join(chunks.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.chunk") <= F.col("y.chunk")))
         .where("not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")
@@ -235,12 +258,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sides = cells.selectExpr("bucket", "i", "j", "i as chunk", "0 as side").union(
         cells.where("i <> j").selectExpr("bucket", "i", "j", "j as chunk", "1 as side")
     )
-    load = rest.join(sides, ["bucket", "chunk"]).select("bucket", "i", "j", "side", "rep", "p", "component").join(sets, ["rep", "p"])
-    more = load.groupBy("bucket", "i", "j").applyInPandas(_verify_cell(percent), "a long, b long")
+    load = left.join(sides, ["bucket", "chunk"]).select("bucket", "i", "j", "side", "rep", "p", "component")
+    more = frozen(with_sets(load, ["bucket", "i", "j"]).groupBy("bucket", "i", "j").applyInPandas(_verify_cell(percent), "a long, b long"))
     comps = connected_components(links.union(more))
+    for done in (members, sets, stars, left, links, more):
+        drop_frozen(done)
 
-    named = whole.select("doc_id", "n_shingles", "p", "q").join(classes, ["p", "q", "n_shingles"]).join(
-        comps.withColumnRenamed("node", "rep"), "rep", "left"
-    ).selectExpr("doc_id", "n_shingles", "coalesce(component, rep) as component_id")
+    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "copies")
+    linked = join_salted(whole.select("doc_id", *same), named, same, "copies", ["doc_id"], whole.count()).select("doc_id", "n_shingles", "component_id")
     alone = sigs.where("doc_id is null or n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id as component_id")
-    return named.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the smallest of its group of near duplicates.
+
+    near_duplicates() says what is linked. Rows without a doc_id all stay. Of rows that share a
+    doc_id one stays: the one of smallest text (null first), then of smallest hash of its other
+    columns, so reruns agree. Null, empty and wordless texts are linked with nothing and stay;
+    columns may have any names; an empty table gives no rows.
+    """
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("*").alias("tie"))
+    # Equal ids are merged before the exchange, so an id that very many rows have is no hot key.
+    one = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("row", F.struct("text", "tie")).alias("row"))
+    named = one.join(kept, one["doc_id"] == kept["kept_id"], "left_semi").select("row")
+    return named.union(rows.where("doc_id is null").select("row")).select("row.*")
