@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, drop_frozen, frozen, numbered, passes, release, utf8
+from .common import SpanHash, bounded_batches, drop_frozen, frozen, join_salted, numbered, passes, release, utf8
 
 MIN_BYTES = 100
 #: Length of the grams that anchor a window; the smaller, the more anchors agree by chance.
 GRAM = 32
 #: Bytes of one document handled at once; the next part starts MIN_BYTES - 1 bytes earlier.
 PART = 1 << 22
-#: Distinct contexts of one anchor that one task sorts.
+#: Distinct contexts of one anchor that one suffix array is built of; beyond, an anchor's windows are dealt to several by their bytes.
 FAMILY = 4096
 
 
@@ -106,21 +106,21 @@ def anchors(data: np.ndarray, least: int = MIN_BYTES, gram: int = GRAM) -> tuple
     return h[at[first]], at[first], first, last
 
 
-def _parts(data: np.ndarray, off: np.ndarray, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def _parts(data: np.ndarray, off: np.ndarray, least: int, part: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(row, base, bytes): each document in parts that share least - 1 bytes."""
     for r in range(len(off) - 1):
         text = data[off[r] : off[r + 1]]
-        for base in range(0, max(1, len(text) - least + 1), PART):
-            yield r, base, text[base : base + PART + least - 1]
+        for base in range(0, max(1, len(text) - least + 1), part):
+            yield r, base, text[base : base + part + least - 1]
 
 
-def _anchor_rows(least: int):
+def _anchor_rows(least: int, part: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column("text"))
             ids = batch.column("row_no").to_numpy()
             for i, j in passes(off):
-                found = [(ids[i + r], base, *anchors(t, least)) for r, base, t in _parts(data, off[i : j + 1], least)]
+                found = [(ids[i + r], base, *anchors(t, least)) for r, base, t in _parts(data, off[i : j + 1], least, part)]
                 found = [x for x in found if len(x[2])]
                 if found:
                     h, first, last, pos = (np.concatenate(x) for x in zip(*[(f[2], f[4] + f[1], f[5] + f[1], f[3] + f[1]) for f in found], strict=True))
@@ -156,7 +156,7 @@ def _contexts(least: int):
 
 def _families(least: int):
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Repeats among the contexts of whole anchors; what of each context's first place repeats earlier text."""
+        """Repeats among the contexts of whole slices of anchors; what of each context's first place repeats earlier text."""
         pdf = pdf.sort_values(["doc_id", "row_no", "spot"], na_position="first", kind="stable", ignore_index=True)
         size = pdf["bytes"].str.len().to_numpy()
         joined = b"".join(pdf["bytes"])
@@ -165,8 +165,6 @@ def _families(least: int):
         owner = np.repeat(np.arange(len(pdf)), count)
         shift = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         spot = pdf["spot"].to_numpy()
-        mine = ((spot & 255)[owner] - shift) % pdf["slices"].to_numpy()[owner] == pdf["slice"].to_numpy()[owner]
-        owner, shift = owner[mine], shift[mine]
         order, alike = suffix_array(np.frombuffer(joined, np.uint8), base[owner] + shift, least)
         holder = np.searchsorted(base, order, "right") - 1
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(pdf))]
@@ -209,6 +207,26 @@ def _families(least: int):
     return whole_anchors
 
 
+def _sliced(least: int, most: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of an anchor that has few of them as they are; of any other, each window by itself, in a slice that its bytes name."""
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("h", "slice", "bytes", "doc_id", "row_no", "spot")}
+            for h, text, doc, row, spot, leaves in zip(*(batch.column(k).to_pylist() for k in ("h", "bytes", "doc_id", "row_no", "spot", "leaves")), strict=True):
+                slices = -(-leaves // most)
+                windows = [(0, text)] if slices == 1 else [(k, text[k : k + least]) for k in range(len(text) - least + 1)]
+                for k, w in windows:
+                    out["h"].append(h)
+                    out["slice"].append(0 if slices == 1 else 1 + int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") % (slices * (least - GRAM)))
+                    out["bytes"].append(w)
+                    out["doc_id"].append(doc)
+                    out["row_no"].append(row)
+                    out["spot"].append(spot if slices == 1 else (spot >> 16) + k << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()], list(out))
+
+    return rows
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -219,11 +237,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _hits(docs: DataFrame, least: int) -> DataFrame:
+def _hits(docs: DataFrame, least: int, part: int) -> DataFrame:
     """(row_no, spots): for each row its anchors that occur again."""
-    spots = frozen(docs.select("row_no", "text").mapInArrow(_anchor_rows(least), "h long, row_no long, spot long"))
-    again = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hits = frozen(spots.join(again, "h", "left_semi").groupBy("row_no").agg(F.collect_list(F.struct("h", "spot")).alias("spots")))
+    spots = frozen(docs.select("row_no", "text").mapInArrow(_anchor_rows(least, part), "h long, row_no long, spot long"))
+    again = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    found = join_salted(spots, again, ["h"], "n", ["row_no", "spot"], spots.count())
+    hits = frozen(found.groupBy("row_no").agg(F.collect_list(F.struct("h", "spot")).alias("spots")))
     drop_frozen(spots)
     return hits
 
@@ -242,34 +261,38 @@ def _leaves(places: DataFrame) -> DataFrame:
     return frozen(leaves.select("h", "ctx", "bytes", "at.*", "places"))
 
 
-def repeated_spans(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, most: int = FAMILY, part: int = PART) -> DataFrame:
     """(row_no, spans): for rows of docs (row_no, doc_id, text), the byte ranges that `least`-byte strings cover which also start earlier.
 
-    Earlier: smaller doc_id (null first), then smaller row_no, then smaller start. Every window
-    of `least` bytes belongs to one content-chosen anchor gram. Anchors seen once are done after
-    one count; for the rest only the bytes around the anchor travel. Equal contexts are one leaf
-    of the suffix array with its earliest place, found by a pre-aggregated minimum, so a passage
-    that a third of all rows share is one leaf too. An anchor with very many different contexts
-    is split by the distance between window and anchor, which windows that repeat have in common.
+    Earlier: smaller doc_id (null first), then smaller row_no, then smaller start. row_no has
+    to be stored with the rows, so that each scan sees the same one. Every window of `least`
+    bytes belongs to one content-chosen anchor gram. Anchors seen once are done after one
+    count; for the rest only the bytes around the anchor travel. Equal contexts are one leaf of
+    the suffix array with its earliest place, found by a pre-aggregated minimum, so a passage
+    that a third of all rows share is one leaf too. An anchor with more than `most` different
+    contexts has its windows dealt to slices by a hash of their bytes, which windows that
+    repeat agree on; each slice is a suffix array of its own. Joins on anchors and on contexts
+    split keys of very many rows.
     """
-    hits = _hits(docs, least)
+    bounded_batches(docs.sparkSession)
+    hits = _hits(docs, least, part)
     release(docs.sparkSession)
     places = _places(docs, hits, least)
     drop_frozen(hits)
     release(docs.sparkSession)
     leaves = _leaves(places)
     release(docs.sparkSession)
-    kin = leaves.groupBy("h").agg(F.count("*").alias("leaves")).where("leaves > 1")
-    kin = kin.select("h", F.explode(F.expr(f"transform(sequence(0, least({least - GRAM}, (leaves - 1) div {FAMILY})), x -> named_struct('slice', int(x), 'slices', int(least({least - GRAM}, (leaves - 1) div {FAMILY}) + 1)))")).alias("s")).select("h", "s.*")
-    family = leaves.select("h", "bytes", "doc_id", "row_no", "spot").join(kin, "h")
+    kin = leaves.groupBy("h").agg(F.count("*").alias("uses")).where("uses > 1").withColumn("leaves", F.col("uses"))
+    family = join_salted(leaves.select("h", "bytes", "doc_id", "row_no", "spot"), kin, ["h"], "uses", ["row_no", "spot"], leaves.count())
+    family = family.mapInArrow(_sliced(least, most), "h long, slice long, bytes binary, doc_id long, row_no long, spot long")
     late = family.repartition("h", "slice").sortWithinPartitions("h", "slice").mapInPandas(_families(least), "row_no long, a long, b long")
-    copies = places.alias("p").join(
-        leaves.where("places > 1").select("h", "ctx", F.col("row_no").alias("r0"), F.col("spot").alias("s0")), ["h", "ctx"]
-    ).where("row_no <> r0 or spot <> s0").selectExpr("row_no", "shiftright(spot, 16) as a", f"shiftright(spot, 16) + (shiftright(spot, 8) & 255) + {least} as b")
+    first = leaves.where("places > 1").select("h", "ctx", F.col("row_no").alias("r0"), F.col("spot").alias("s0"), "places")
+    copies = join_salted(places.select("h", "ctx", "row_no", "spot"), first, ["h", "ctx"], "places", ["row_no", "spot"], places.count())
+    copies = copies.where("row_no <> r0 or spot <> s0").selectExpr("row_no", "shiftright(spot, 16) as a", f"shiftright(spot, 16) + (shiftright(spot, 8) & 255) + {least} as b")
     found = frozen(late.union(copies))
     drop_frozen(places)
     drop_frozen(leaves)
-    del leaves, places, kin, family, late, copies
+    del leaves, places, kin, family, first, late, copies
     release(docs.sparkSession)
     return found.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
@@ -299,21 +322,39 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
-    """(row_no, doc_id, n_bytes, n_removed, n_spans, kept_sha256, clean) for each row of docs (row_no, doc_id, text).
+def remove_repeats(docs: DataFrame, least: int = MIN_BYTES, most: int = FAMILY, part: int = PART) -> DataFrame:
+    """(row_no, doc_id, n_bytes, n_removed, n_spans, kept_sha256, clean) for each row of docs (row_no, doc_id, text), row_no stored with it.
 
     Texts are UTF-8 bytes (null: empty); every byte that a `least`-byte string covers which
     also starts earlier goes, judged on the input. Matches never cross rows. clean: the
     remaining bytes as text, null where nothing went; halves of a character that a cut leaves
     are not part of it (kept_sha256 is over the bytes themselves). A null doc_id comes before
-    all others; rows of one doc_id count in the order of row_no. No rows give no rows.
+    all others; rows of one doc_id count in the order of row_no. Repeated rows repeat each
+    other's text. A very long text is handled in parts of PART bytes that overlap, with the
+    same result. Other columns are not looked at. No rows give no rows.
     """
-    spans = repeated_spans(docs, least)
+    spans = repeated_spans(docs, least, most, part)
     cut = docs.select("row_no", "doc_id", "text").join(spans, "row_no", "left")
     return cut.mapInArrow(_cut, "row_no long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean string")
 
 
-def deduplicate_documents(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
-    """remove_repeats() of (doc_id, text), with a number for each row of the table."""
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return remove_repeats(rows, least)
+def deduplicate_documents(docs: DataFrame, least: int = MIN_BYTES, most: int = FAMILY, part: int = PART) -> DataFrame:
+    """remove_repeats() of (doc_id, text), with a stored number for each row of the table."""
+    rows = frozen(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
+    return remove_repeats(rows, least, most, part)
+
+
+def without_repeats(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
+    """docs with all its columns and rows, repeats taken out of text; n_chars, where there is one, follows the text.
+
+    remove_repeats() says what goes. A text that is cut down to nothing stays as an empty one;
+    a null text stays null. The row travels as one struct, so columns may have any names.
+    """
+    rows = frozen(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_no", F.monotonically_increasing_id()))
+    found = remove_repeats(rows.select("row_no", "doc_id", "text"), least)
+    cut = frozen(found.where("n_removed > 0").select("row_no", "clean"))
+    row, hit = F.col("row"), F.col("clean").isNotNull()
+    row = row.withField("text", F.when(hit, F.col("clean")).otherwise(F.col("row.text").cast("string")))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(hit, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return rows.select("row_no", "row").join(cut, "row_no", "left").select(row.alias("row")).select("row.*")
