@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_frozen, frozen, passes, utf8
+from .common import bounded_batches, drop_frozen, frozen, passes, utf8
 from .tokens import encoder, with_end
 
 ROOM = 1024
 END = 2
+#: Bytes of text encoded at once; a longer document is a pass of its own.
+TEXT_BYTES = 8 << 20
 #: Parts of one length whose pieces are numbered in one task each.
 PARTS = 4096
 
@@ -70,7 +72,7 @@ def _pieces(path: str, room: int):
         enc = encoder(path, spaced=True)
         for batch in batches:
             _, off = utf8(batch.column("text"))
-            for i, j in passes(off, 8 << 20):
+            for i, j in passes(off, TEXT_BYTES):
                 ids, n = with_end(*enc.column(batch.column("text").slice(i, j - i)), END)
                 ids, ends = np.ascontiguousarray(ids.astype("<u4")), np.cumsum(n)
                 number = -(-n // room)
@@ -105,6 +107,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFra
     An empty table gives no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = frozen(
         docs.mapInArrow(_pieces(tokenizer, room), "doc_id long, piece long, start long, length long, ids_crc32 long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 
@@ -10,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that one Python worker remembers before it starts afresh.
-KNOWN = 500_000
+#: Bytes, about, of words and ids that an encoder remembers before it starts afresh, and what a word takes beside its text.
+KNOWN_BYTES, PER_WORD = 64 << 20, 200
 #: White space and controls on which libraries may differ; a text with one is encoded as a whole.
 _ODD = "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}]"
 #: Latin letters and closing marks: a pre-token, and one more for the marks (any marks but an apostrophe would do).
@@ -31,30 +32,47 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """Ids as `Tokenizer.encode(text, add_special_tokens=False)` gives them, special strings being ordinary text.
+    """Ids as `Tokenizer.encode(text, add_special_tokens=False)` of the file's tokenizer gives them.
+
+    Known words are remembered, in KNOWN_BYTES at most; beyond, those stay that are met again.
 
     spaced: a word keeps the space before it (byte-level vocabularies). White space then only
     ever ends a pre-token before a space or is one itself, so a text may be cut before each
     single space between words; without `spaced`, white space is dropped and is a cut anywhere.
-    A text where that is not plain (a space beside other white space, odd controls) is encoded
-    as a whole.
+    A text where that is not plain (a space beside other white space, odd controls, a special
+    string of the vocabulary such as an end mark) is encoded as a whole.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, limit: int = KNOWN_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced = spaced
+        self.spaced, self.limit = spaced, limit
         self.simple = f"^{_SIMPLE}$"
-        self.odd = _ODD + ("|\\s |^ | \\s| $" if spaced else "")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.odd = "|".join([_ODD, *(["\\s |^ | \\s| $"] if spaced else []), *(re.escape(t.content) for t in added)])
+        if any(t.normalized for t in added):  # found in the normalised text only
+            self.odd = "(?s)^.*$"
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.ids, self.start = array("I"), array("q", [0])
 
+    def keep(self, words: list[str]) -> None:
+        """Forgets all but `words`."""
+        known, ids, start = self.known, self.ids, self.start
+        self.forget()
+        for w in words:
+            k = known[w]
+            self._keep(w, ids[start[k] : start[k + 1]])
+
+    def size(self) -> int:
+        """Bytes remembered, about."""
+        return self.letters + PER_WORD * len(self.known) + 4 * len(self.ids)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -75,10 +93,11 @@ class Encoder:
             k = self._keep(x, got)
         return k
 
-    def _keep(self, word: str, ids: list[int]) -> int:
+    def _keep(self, word: str, ids: list[int] | array) -> int:
         self.ids.extend(ids)
         self.start.append(len(self.ids))
         self.known[word] = k = len(self.start) - 2
+        self.letters += len(word)
         return k
 
     def _learn(self, word: str) -> int:
@@ -111,12 +130,14 @@ class Encoder:
                 ids.extend([t.id for t in tokenize(x)])
                 start.append(len(ids))
                 known[stem] = k
+                self.letters += len(stem)
             if len(stem) != len(word):
                 tail = word[len(stem) :]
                 t = known[tail] if tail in known else self._part(tail)
                 ids.extend(ids[start[k] : start[k + 1]] + ids[start[t] : start[t + 1]])
                 start.append(len(ids))
                 known[word] = len(start) - 2
+                self.letters += len(word)
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row); null is the empty text."""
@@ -139,12 +160,15 @@ class Encoder:
             code = np.where(first, code + len(names), code)
             firsts = set(code[first].tolist())
             names = [" " + w for w in names] + [w if i in firsts else "" for i, w in enumerate(names, len(names))]
-        if len(self.known) > KNOWN:
-            self.forget()
+        index = list(map(self.known.get, names))
+        if self.size() > self.limit:
+            # What these texts use again is worth keeping; most words come once.
+            self.keep([w for w, k in zip(names, index, strict=True) if k is not None])
+            index = list(map(self.known.get, names))
         known, learn = self.known, self._learn
         if "" not in known:
             self._keep("", [])
-        index = list(map(known.get, names))
+            index = list(map(known.get, names))
         new = [i for i, k in enumerate(index) if k is None]
         # `simple` is as long as the different words; after these come a row's first words, without a space.
         self._learn_simple([names[i] for i in new if i < len(simple) and simple[i]])
@@ -161,8 +185,9 @@ class Encoder:
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """The one encoder of this process for a vocabulary."""
+    """The one encoder of this process, for the vocabulary asked for last: a Python worker runs many tasks, and words known from one serve the next."""
     if (path, spaced) not in _open:
+        _open.clear()
         _open[path, spaced] = Encoder(path, spaced)
     return _open[path, spaced]
 
@@ -170,6 +195,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
 def with_end(ids: np.ndarray, count: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """`end` after the ids of each row."""
     out = np.full(len(ids) + len(count), end, np.uint32)
-    row = np.repeat(np.arange(len(count)), count)
-    out[np.arange(len(ids)) + row] = ids
+    mine = np.ones(len(out), bool)
+    mine[np.cumsum(count + 1) - 1] = False
+    out[mine] = ids
     return out, count + 1
