@@ -9,15 +9,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import SpanHash, mix, passes, utf8
+from .common import SpanHash, bounded_batches, mix, passes, utf8
 
 #: Hashed features. What is broadcast has at most that many weights, and L1 leaves few of them.
 BITS = 20
 #: Labelled rows that the classifier is fitted on, at most about: those of smallest hash of doc_id.
 SAMPLE = 12_000
+#: Features of all sampled rows together, at most: what the one training task holds (4 bytes each).
+MOST_FEATURES = 32_000_000
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2; passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 10.0, 1.0, 6
+#: Intercept without examples of both kinds.
+NO_EXAMPLES = -5.0
 #: Words between the two of a skip-gram.
 SKIP = 1
 _WORD = np.zeros(256, bool)
@@ -91,14 +96,19 @@ def fit_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of all examples, which are bounded in number: the intercept, then each weight."""
     ids, toxic, examples = [], [], []
+    room = MOST_FEATURES
     for b in batches:
         lists = b.column("features")
         edge, values = np.asarray(lists.offsets), np.asarray(lists.values)
-        examples += [values[i:j] for i, j in zip(edge, edge[1:], strict=False)]
-        ids.append(b.column("doc_id").to_numpy())
-        toxic.append(b.column("toxic").to_numpy() > 0)
+        fits = int(np.searchsorted(edge - edge[0], room, "right")) - 1
+        room -= int(edge[fits] - edge[0])
+        examples += [values[i:j] for i, j in zip(edge[:fits], edge[1 : fits + 1], strict=True)]
+        ids.append(b.column("doc_id").to_numpy()[:fits])
+        toxic.append(b.column("toxic").to_numpy()[:fits] > 0)
+        if fits < b.num_rows:
+            room = 0
     labels = np.concatenate([*toxic, np.zeros(0, bool)]).astype(float)
-    kept, values, bias = np.zeros(0, np.int64), np.zeros(0, np.float32), -5.0
+    kept, values, bias = np.zeros(0, np.int64), np.zeros(0, np.float32), NO_EXAMPLES
     if len(set(labels.tolist())) == 2:
         # An order that depends on the rows alone.
         ids = np.concatenate(ids)
@@ -112,11 +122,13 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """A model from labels (doc_id, toxic) and docs (doc_id, text), on rows whose crc32(doc_id) mod 5 is not 0.
 
-    At most about `sample` labelled rows are used, chosen by a hash of doc_id; a doc_id
+    At most about `sample` labelled rows are used, chosen by a hash of doc_id, and of these, in
+    the order of that hash, as many as have MOST_FEATURES features together; a doc_id
     labelled twice counts as toxic if one row says so; null labels and doc_ids are left out.
     The sample is trained on in one task, and only weights come to the driver.
     Without examples of both kinds the model has no weights.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
     ).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -125,7 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     # A bounded set of ids, so that texts needn't be shuffled to find them.
     chosen = F.broadcast(known.where(f"pmod(xxhash64(doc_id), {1 << 20}) < {share}"))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    rows = found.mapInArrow(_examples, "doc_id long, toxic int, features array<int>").repartition(1).mapInArrow(_train, "feature int, weight float, intercept double").collect()
+    rows = found.mapInArrow(_examples, "doc_id long, toxic int, features array<int>").repartition(1).sortWithinPartitions(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id", F.xxhash64("features")).mapInArrow(_train, "feature int, weight float, intercept double").collect()
+    if not rows:  # nothing to learn from
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), NO_EXAMPLES
     return np.array([r["feature"] for r in rows[1:]], np.int64), np.array([r["weight"] for r in rows[1:]], np.float32), rows[0]["intercept"]
 
 
@@ -165,15 +179,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that score below 0.5, with all their columns."""
+    """The rows of docs that score below 0.5, with all their columns.
+
+    score_toxicity() says how rows score. Columns may have any names: the row travels as one
+    struct beside its text.
+    """
     model = fit(docs, labels, sample)
-    given = docs.withColumn("text_", F.col("text").cast("string"))
+    given = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([batch.column("text_")], ["text"])
-            (scored,) = _scorer(model)(iter([texts]))
-            keep = pc.less(scored.column("score"), 0.5)
-            yield batch.drop_columns(["text_"]).filter(keep)
+            (scored,) = _scorer(model)(iter([batch.select(["text"])]))
+            yield batch.select(["row"]).filter(pc.less(scored.column("score"), 0.5))
 
-    return given.mapInArrow(rows, docs.schema)
+    return given.mapInArrow(rows, StructType([StructField("row", docs.schema, False)])).select("row.*")
