@@ -25,7 +25,7 @@ BAND_ROWS = 4
 #: Documents and shingles, about, of a bucket that one verification task holds at once, a side.
 CHUNK, CHUNK_SHINGLES = 512, 1 << 19
 #: Members and shingles, about, of a star that are verified together.
-STAR, STAR_SHINGLES = 2048, 1 << 20
+STAR, STAR_SHINGLES = 256, 1 << 18
 WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -77,7 +77,7 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
 
 def bands(sketch: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     """A 64-bit key a band, which also holds the band's number."""
-    parts = sketch.reshape(len(sketch), -1, rows)
+    parts = sketch.reshape(len(sketch), sketch.shape[1] // rows, rows)
     key = np.tile(np.arange(parts.shape[1], dtype=np.uint64), (len(sketch), 1))
     with np.errstate(over="ignore"):
         for k in range(rows):
