@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, numbered
+from .common import frozen, global_prefix_sums, numbered
 
 #: Weights by a source's place in code point order, repeated.
 WEIGHTS = (5, 2, 1)
@@ -13,8 +13,6 @@ WEIGHTS = (5, 2, 1)
 SHARE, REPEATS = 1.5, 2
 #: A source's weight runs over training from TREND[k][0] to TREND[k][1] times its mean.
 TREND = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-#: Parts of a source that are summed up before its documents are laid out.
-PARTS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -45,15 +43,14 @@ def source_targets(docs: DataFrame) -> DataFrame:
         .withColumn("slope", F.col("cap") / F.col("weight"))
     )
     # The level is between two slopes; what caps and weights below each slope add up to tells which.
+    # Sums run over ranges of slopes first, so no task sees all sources.
     steps = weighed.groupBy("slope").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"))
-    steps = steps.selectExpr(
-        "slope",
-        "sum(cap) over (order by slope) as full",
-        "sum(weight) over (order by slope desc rows between unbounded preceding and 1 preceding) as open",
-    )
+    steps = global_prefix_sums(steps, ["slope"], {"below": "cap", "lighter": "weight"})
+    everything = weighed.agg(F.sum("weight").alias("all_weight"))
+    steps = steps.crossJoin(F.broadcast(everything)).selectExpr("slope", "below + cap as full", "all_weight - lighter - weight as open")
     demand = weighed.agg((F.sum("source_size") * F.lit(SHARE)).alias("demand"))
     # The least slope s with sum(min(cap, weight * s)) >= demand bounds the level from above.
-    level = steps.crossJoin(F.broadcast(demand)).where("full + coalesce(open, 0) * slope >= demand").agg(F.min("slope").alias("upper"))
+    level = steps.crossJoin(F.broadcast(demand)).where("full + open * slope >= demand").agg(F.min("slope").alias("upper"))
     known = weighed.crossJoin(F.broadcast(level)).crossJoin(F.broadcast(demand))
     level = known.agg(
         F.max("demand").alias("demand"),
@@ -67,13 +64,15 @@ def source_targets(docs: DataFrame) -> DataFrame:
 
 
 def schedule(rows: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(row_no, copy, taken, position, source_size, target) from rows (row_no, source, size, order_key): each copy that the mix takes.
-
-    A source's documents follow each other in the order of order_key, again and again, until
-    its target is used up; the last one is cut there. A source's demand up to time t in [0, 1]
-    is the integral of its weight, target * (a * t + (b - a) * t * t / 2); position is the time
-    at which demand reaches the place where the copy starts, the integral inverted. Offsets
-    are sums over (source, part) and then within a part, so that no source meets in one task.
+    """rows (row_no, source, size, order_key, ...) with copy, taken, position, source_size and target: each copy that the mix takes.
+
+    A source's documents follow each other in the order of order_key, ties by row_no, again and
+    again, until its target is used up; the last one is cut there. A source's demand up to time
+    t in [0, 1] is the integral of its weight, target * (a * t + (b - a) * t * t / 2); position
+    is the time at which demand reaches the place where the copy starts, the integral inverted.
+    Offsets are sums over (source, part) and then within a part, so that no source meets in one
+    task; what is known of a source comes with the sums of its parts. Other columns of rows are
+    passed on: they move once, to their part.
     """
     targets = frozen(source_targets(rows)) if targets is None else targets
     rows = rows.withColumn("part", F.substring("order_key", 1, 3))
@@ -81,11 +80,11 @@ def schedule(rows: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     before = parts.selectExpr(
         "source as s", "part", "coalesce(sum(n) over (partition by source order by part rows between unbounded preceding and 1 preceding), 0) as base"
     )
-    placed = rows.join(before, rows.source.eqNullSafe(before.s) & (rows.part == before.part)).drop(before.part).drop("s")
+    before = before.join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("part", "p")
+    placed = rows.join(before, rows.source.eqNullSafe(before.s) & (rows.part == before.p)).drop("s", "p")
     placed = placed.withColumn(
         "begin", F.expr("base + coalesce(sum(size) over (partition by source, part order by order_key, row_no rows between unbounded preceding and 1 preceding), 0)")
     )
-    placed = placed.join(targets.withColumnRenamed("source", "s"), placed.source.eqNullSafe(F.col("s"))).drop("s")
     copies = placed.withColumn("copy", F.explode(F.array(*map(F.lit, range(REPEATS)))))
     copies = copies.withColumn("start", F.col("begin") + F.col("copy") * F.col("source_size")).withColumn(
         "taken", F.greatest(F.lit(0), F.least("size", F.round("target").cast("long") - F.col("start"))).cast("long")
@@ -94,7 +93,7 @@ def schedule(rows: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     a, b = (F.element_at(F.array(*(F.lit(t[k]) for t in TREND)), F.col("trend") + 1) for k in (0, 1))
     half = (b - a) / 2
     time = F.when(half == 0, share / a).otherwise((F.sqrt(a * a + 4 * half * share) - a) / (2 * half))
-    return copies.select("row_no", "copy", "taken", F.when(F.col("target") > 0, time).otherwise(1.0).alias("position"), "source_size", "target")
+    return copies.withColumn("position", F.when(F.col("target") > 0, time).otherwise(1.0)).drop("part", "base", "begin", "start", "trend")
 
 
 def in_order(copies: DataFrame) -> DataFrame:
@@ -107,9 +106,14 @@ def training_plan(rows: DataFrame, targets: DataFrame | None = None) -> DataFram
     return frozen(in_order(schedule(rows, targets).where("taken > 0").select("row_no", "copy", "taken", "position")))
 
 
+def _order_key(doc_id: str) -> Column:
+    """A digest of doc_id that every engine gives alike (null: of the empty string)."""
+    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+
 def prepared(docs: DataFrame) -> DataFrame:
-    """docs with row_no, size, and order_key: a digest of doc_id that every engine gives alike (null: of the empty string)."""
-    return numbered(docs).withColumn("size", word_count(F.col("text"))).withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    """docs with row_no, size, and order_key."""
+    return numbered(docs).withColumn("size", word_count(F.col("text"))).withColumn("order_key", _order_key("doc_id"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -132,15 +136,23 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def curriculum(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, a row for each copy, range-sorted by training position.
 
-    Columns are those of docs; a copy that the mix cuts has the first words of its text, with
-    the white space between them. n_chars, where there is one, is that of the text.
+    Columns are those of docs, whatever their names: the row travels as one struct. A copy that
+    the mix cuts has the first words of its text, with the white space between them; n_chars,
+    where there is one, is that of the text then. A document without words (null or empty
+    text) has nothing to take and isn't part of the mix; repeated rows each count; an empty
+    table gives no rows.
     """
-    rows = prepared(docs)
-    plan = schedule(rows.select("row_no", "source", "size", "order_key")).where("taken > 0").select("row_no", "copy", "taken", "position")
-    got = rows.join(plan, "row_no")
-    words = F.split("text", "(?<=[^ \\t\\n\\x0b\\f\\r])(?=[ \\t\\n\\x0b\\f\\r])")
+    row, text = F.struct("*").alias("row"), F.col("text").cast("string")
+    rows = docs.select(
+        row, F.col("source").cast("string").alias("source"), word_count(text).alias("size"), _order_key("doc_id").alias("order_key"), F.xxhash64("doc_id", text).alias("row_no")
+    )
+    # Rows are scanned for sizes, for sums of parts and for texts; each time a row has the same key and tie, a hash of what it holds.
+    got = schedule(rows, frozen(source_targets(rows.select("source", "size")))).where("taken > 0")
+    text = F.col("row.text").cast("string")
+    words = F.split(text, "(?<=[^ \\t\\n\\x0b\\f\\r])(?=[ \\t\\n\\x0b\\f\\r])")
     short = F.array_join(F.slice(words, 1, F.col("taken").cast("int")), "")
-    got = got.withColumn("text", F.when(F.col("taken") < F.col("size"), short).otherwise(F.col("text")))
+    cut = F.col("taken") < F.col("size")
+    row = F.col("row").withField("text", F.when(cut, short).otherwise(text))
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return in_order(got).select(*docs.columns)
+        row = row.withField("n_chars", F.when(cut, F.length(short).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return in_order(got.select(row.alias("row"), "position", "row_no", "copy")).select("row.*")
