@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses
+from .align import alignment_links
 from .common import new_folder, table
 from .html_text import extract_text
 from .mixing import REPEATS, SHARE, mix_documents
@@ -17,7 +18,9 @@ from .store import stored_documents, write_store
 from .tokens import vocabulary
 from .topk import exact_topk
 from .toxicity import score_toxicity
+from .variants import document_words, spelling_variants
 from .vector_dedup import embedding_duplicates
+from .warc import read_archives, resolved_pages, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +31,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    manifest = write_archives(table(spark, sf_dir, "pages"), folder)
+    return resolved_pages(read_archives(manifest, folder, payloads=False))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda s, d: score_toxicity(table(s, d, "documents"), table(s, d, "labels")),
@@ -40,6 +49,9 @@ def queries() -> dict[str, Query]:
         "op8_token_store": op8,
         "op9_licenses": lambda s, d: licenses.scan_licenses(table(s, d, "documents")),
         "op10_suffix_dedup": lambda s, d: deduplicate_documents(table(s, d, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"),
+        "op11_token_alignment": lambda s, d: alignment_links(table(s, d, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")),
+        "op12_spelling_variants": lambda s, d: spelling_variants(document_words(table(s, d, "documents"), drop_one_in=31)),
+        "op13_warc": op13,
     }
 
 
@@ -149,4 +161,14 @@ select doc_id, size, source_size, target,
        cast(greatest(0, least(size, round(target) - begin_)) + greatest(0, least(size, round(target) - begin_ - source_size)) as bigint) as taken
 from p""",
         "op9_licenses": _licence_sql(),
+        "op13_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+w as (
+  select page_id, cast(strlen(html) as bigint) as payload_bytes, sha256(html) as payload_digest,
+         row_number() over (partition by html order by page_id) as rn, min(page_id) over (partition by html) as first_page
+  from p
+)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and rn > 1 then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and rn > 1 then first_page end as refers_to
+from w""",
     }
