@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, frozen, join_salted
+from .common import bounded_batches, drop_frozen, frozen, join_salted
 
 #: Payloads below this many bytes are never told as revisits.
 LEAST_PAYLOAD = 100
@@ -271,13 +271,18 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     """
     bounded_batches(pages.sparkSession, 500)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("html"))
-    rows = rows.withColumn("row_no", F.monotonically_increasing_id()).withColumn("digest", F.sha2("html", 256))
-    short = rows.where(F.octet_length("html") >= least).select("page_id", "row_no", "digest")
+    # Stored once, as rows are read twice and have to keep their numbers.
+    rows = frozen(rows.withColumn("row_no", F.monotonically_increasing_id()).withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html")))
+    short = rows.where(F.col("bytes") >= least).select("page_id", "row_no", "digest")
     order = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("row_no"))
     firsts = short.groupBy("digest").agg(F.min(order).alias("x"), F.count("*").alias("uses")).where("uses > 1").select("digest", F.col("x.page_id").alias("first_page"), F.col("x.row_no").alias("first_row"), "uses")
-    revisits = join_salted(short.select("row_no", "digest"), frozen(firsts), ["digest"], "uses", ["row_no"]).where("row_no <> first_row").drop("digest")
+    firsts = frozen(firsts)
+    revisits = join_salted(short.select("row_no", "digest"), firsts, ["digest"], "uses", ["row_no"]).where("row_no <> first_row").drop("digest")
     dealt = rows.join(revisits, "row_no", "left").select("page_id", "row_no", "url", "html", "digest", "first_page", "first_row")
-    return frozen(dealt.mapInArrow(_written(folder, date, limit), "archive string, records long, bytes long"))
+    manifest = frozen(dealt.mapInArrow(_written(folder, date, limit), "archive string, records long, bytes long"))
+    drop_frozen(rows)
+    drop_frozen(firsts)
+    return manifest
 
 
 RECORD = "archive string, at long, record_type string, record_id string, page_id long, url string, date string, payload_bytes long, payload_digest string, refers_to_record string, payload binary"
