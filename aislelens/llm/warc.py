@@ -119,7 +119,7 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 
 class ArchiveWriter:
-    """Frames of one task's records. `records` yields (headers, block) pairs; finished archives are in `done`."""
+    """Frames of one task's records, in archives of about `limit` bytes; finished ones are in `done` as (name, records, bytes)."""
 
     def __init__(self, folder: str, name: str, limit: int = ARCHIVE_BYTES):
         self.folder, self.name, self.limit = folder, name, limit
@@ -151,7 +151,7 @@ class ArchiveWriter:
             storage, root = _storage(self.folder)
             storage.create_dir(root, recursive=True)
             self.archive = f"{self.name}-{len(self.done):05d}.warc.zst"
-            self.out, self.size, self.count = storage.open_output_stream(f"{root}/{self.archive}"), 0, 0
+            self.out, self.size, self.count = storage.open_output_stream(f"{root}/{self.archive}", compression=None), 0, 0
             if self.dictionary:
                 packed = zstandard.ZstdCompressor(level=19).compress(self.dictionary)
                 self._put(DICTIONARY_FRAME.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
@@ -297,7 +297,7 @@ def _read(folder: str, payloads: bool):
         for batch in batches:
             for archive, records in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 out, size, seen = [], 0, 0
-                with storage.open_input_stream(f"{root}/{archive}") as stream:
+                with storage.open_input_stream(f"{root}/{archive}", compression=None) as stream:
                     for at, raw in read_frames(stream, archive):
                         what = f"{archive} at {at}"
                         headers, block = parse_record(raw, what)
