@@ -18,9 +18,11 @@ from .common import bounded_batches, frozen, join_salted, passes, utf8
 from .tokens import _NAMES, _ODD
 
 #: Bytes of text in a block of documents; a longer document is a block of its own.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: Bytes, about, of words that a worker remembers before it starts afresh, and what a word takes beside its text.
-KNOWN_BYTES, PER_WORD = 80 << 20, 220
+KNOWN_BYTES, PER_WORD = 64 << 20, 220
+#: Words encoded at once, as the library's results are large beside the ids.
+LEARN = 2000
 #: Links that are expanded at once.
 EXPAND = 1 << 21
 _ALONE = f"{_ODD}|\\s | \\s|^\\s|\\s$|▁"
@@ -60,7 +62,7 @@ class TokenPair:
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
         """(ids of A for space and text, ids of B for the text, do both give back space and text)."""
         spaced = [" " + t for t in texts]
-        for t, x, b in zip(spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
+        for t, x, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
             a, raw = x.ids, t.encode()
             yield a, b, b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
 
@@ -92,7 +94,9 @@ class TokenPair:
         names, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
         if self.letters + PER_WORD * len(self.known) > self.limit:
             self.forget()
-        self.learn([w for w in names if w not in self.known])
+        new = [w for w in names if w not in self.known]
+        for k in range(0, len(new), LEARN):
+            self.learn(new[k : k + LEARN])
         which = np.array([self.known[w] for w in names], np.int64)[code] if len(code) else code
         ids, n, cut = [], [], np.cumsum(per_row)
         for store, start in zip(self.ids, self.start, strict=True):
