@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir, so that partition numbers and random order stay as they are.
-
-    Where the setting is missing, a master on one machine gets a temporary folder; on a cluster it is an error.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if known is None and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where the setting is missing, a master on one machine gets a temporary folder; on a cluster it is an error."""
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        known = sc._jsc.sc().getCheckpointDir().get()
+    if known is None:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(known or f"file://{tempfile.mkdtemp(prefix='checkpoint')}")
-    return df.checkpoint()
+        known = f"file://{tempfile.mkdtemp(prefix='checkpoint')}"
+        sc.setCheckpointDir(known)
+    return known.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read again, so that partition numbers and random order stay as they are and lost executors are harmless."""
+    folder = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def time_ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

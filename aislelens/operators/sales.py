@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .asof import nearest
 from .ordered import chains, ranked, settled
 
 
@@ -94,14 +95,13 @@ def link_sequential(billing: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def nearest_order(billing: DataFrame, tx: DataFrame, window_s: int = 3600) -> DataFrame:
-    """The nearest order of each track within the window, orders not being used up: a band join on time buckets. (J-05, pure form)"""
-    t = tx.where("status = 'completed'").select("store_id", "transaction_id", F.unix_micros(F.col("occurred_at").cast("timestamp")).alias("tt"))
-    us = F.unix_micros(F.col("billing_at").cast("timestamp"))
+    """The nearest order of each track within the window, orders not being used up, by an as-of join. (J-05, pure form)"""
+    us = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
     width = window_s * 1_000_000
-    b = billing.withColumn("bt", us).withColumn("slot", F.explode(F.array(*(F.floor(us / width) + k for k in (-1, 0, 1)))))
-    near = b.join(t.withColumn("slot", F.floor(F.col("tt") / width)), ["store_id", "slot"]).where(F.abs(F.col("bt") - F.col("tt")) <= width)
-    best = near.groupBy("store_id", "external_track_id").agg(F.min(F.struct(F.abs(F.col("bt") - F.col("tt")).alias("d"), "transaction_id")).alias("m"))
-    return best.select("store_id", "external_track_id", "m.transaction_id", (F.col("m.d") / 1e6).alias("delta_s"), F.round(F.greatest(F.lit(0.0), 1 - F.col("m.d") / width), 3).alias("confidence"))
+    t = tx.where("status = 'completed'").select("store_id", "transaction_id", us("occurred_at").alias("tt"))
+    b = billing.select("store_id", "external_track_id", us("billing_at").alias("bt"))
+    best = nearest(b, t, ["store_id"], "bt", "tt", ["transaction_id"], width).where("hit is not null")
+    return best.select("store_id", "external_track_id", "hit.transaction_id", (F.col("hit.distance") / 1e6).alias("delta_s"), F.round(F.greatest(F.lit(0.0), 1 - F.col("hit.distance") / width), 3).alias("confidence"))
 
 
 def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 1200, offset_s: int = 0, mode: str = "AUTO") -> DataFrame:

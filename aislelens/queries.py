@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import identity, ingest, metrics, sales, visits, zones
+from .operators import geometry, identity, ingest, metrics, moves, sales, visits, zones
 from .plans import dashboard
 from .sources import adapter, readers
+from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -769,6 +770,129 @@ def idempotent_insert(s, d):
     return readers.split_new_events(b, stored).select("idx", "outcome")
 
 
+# ------------------------------------------------------------ foot points, zones and lines
+def _zone(zid, zone_type, points, **more):
+    return {"zone_id": zid, "zone_type": zone_type, "points": [list(p) for p in points], **more}
+
+
+#: Zones of the queries: several polygons a camera, concave and overlapping ones, a hidden part, lines of a door, and zones that two cameras see.
+ZONES = {
+    "CAM1": [
+        _zone("door", "entry_threshold", [(0.1, 0.5), (0.9, 0.5)], kind="line"), _zone("entrance", "entrance", [(0.2, 0.2), (0.8, 0.25), (0.7, 0.6), (0.25, 0.7)], dedupe_after_zone_types=["entry_threshold"]),
+        _zone("mirror", "ignore", [(0.0, 0.9), (0.3, 0.9), (0.3, 1.0), (0.0, 1.0)], exclude_detections=True),
+    ],
+    "CAM2": [_zone("shelf-a", "browse", [(0.05, 0.05), (0.55, 0.05), (0.55, 0.3), (0.3, 0.3), (0.3, 0.8), (0.05, 0.8)]), _zone("shelf-b", "browse", [(0.5, 0.2), (0.95, 0.5), (0.5, 0.9)]), _zone("walk", "aisle", [(0.0, 0.0), (1.0, 0.0), (1.0, 0.12), (0.0, 0.12)])],
+    "CAM3": [
+        _zone("island", "promo_island", [(0.5, 0.1), (0.6, 0.4), (0.9, 0.5), (0.6, 0.6), (0.5, 0.9), (0.4, 0.6), (0.1, 0.5), (0.4, 0.4)]),
+        _zone("gate", "aisle", [(0.5, 0.0), (0.5, 1.0)], kind="line", direction_normal=[1.0, 0.2]), _zone("count", "aisle", [(0.2, 0.0), (0.2, 1.0)], kind="line", counting_only=True),
+    ],
+    "CAM4": [_zone("queue", "billing_queue", [(0.1, 0.1), (0.6, 0.1), (0.6, 0.7), (0.1, 0.7)]), _zone("till", "checkout", [(0.4, 0.4), (0.95, 0.4), (0.95, 0.95), (0.4, 0.95)], require_prior_zone_types=["billing_queue"], dedupe_after_zone_types=["consultation"], dedupe_after_seconds=8)],
+    "CAM5": [_zone("queue", "billing_queue", [(0.3, 0.0), (1.0, 0.3), (0.3, 0.6)]), _zone("desk", "consultation", [(0.0, 0.5), (0.45, 0.5), (0.45, 1.0), (0.0, 1.0)]), _zone("door", "entry_threshold", [(0.0, 0.3), (1.0, 0.45)], kind="line")],
+}
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else f"cast({v!r} as double)" if isinstance(v, float) else str(v) if isinstance(v, (int, list)) else f"'{v}'"
+    return f"{name}({columns}) as (select * from (values {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}))"
+
+
+def _edge_rows(name: str, zones: dict[str, list[dict]], keep, shape=lambda p: p) -> str:
+    rows = []
+    for cam, zs in zones.items():
+        for z in filter(keep, zs):
+            p = shape(z["points"])
+            rows += [(cam, z["zone_id"], *map(float, (*a, *b))) for a, b in zip(p, [p[-1], *p[:-1]], strict=True)]
+    return _values(name, "camera_id, zone_id, ax, ay, zx, zy", rows)
+
+
+ODD = "count(*) filter ((ay > foot_y) <> (zy > foot_y) and foot_x < (zx - ax) * (foot_y - ay) / (zy - ay + 1e-9) + ax) % 2 = 1"
+_is_polygon = lambda z: z.get("kind", "polygon") == "polygon"
+
+
+@query(f"with recursive {adapter.SQL}, {_edge_rows('ed', ZONES, _is_polygon)} select event_id, store_id, camera_id, zone_id from (select event_id, store_id, camera_id, zone_id, {ODD} as inside from fr join ed using (camera_id) group by 1, 2, 3, 4) where inside")
+def zone_membership(s, d):
+    polygons = {cam: [z for z in zs if _is_polygon(z)] for cam, zs in ZONES.items()}
+    return geometry.zone_membership(adapter.frames(s, d), readers.zones_frame(s, polygons)).select("event_id", "store_id", "camera_id", "zone_id")
+
+
+def _moves_sql() -> str:
+    """The zone machine as a recursion over sights (a frame and a zone) in order: `ms` holds moves."""
+    numbered, zone_rows = moves.numbered_zones(ZONES), []
+    for cam, zs in numbered.items():
+        for z in zs:
+            line, at = not _is_polygon(z), lambda names: [z["types"].index(t) + 1 for t in names or ()]  # noqa: B023
+            unit = C.line_normal(tuple(z["points"][0]), tuple(z["points"][1]), tuple(z["direction_normal"]) if z.get("direction_normal") else None) if line else (None, None)
+            normal = z.get("direction_normal") or unit
+            zone_rows.append((
+                cam, z["zone_id"], z["zone_type"], z["place"] + 1, len(zs), z["type_place"] + 1, len(z["types"]), line, at(z.get("require_prior_zone_types")), at(z.get("dedupe_after_zone_types")), int(1000 * z.get("dedupe_after_seconds", jobs.AFTER_S)),
+                *(float(v) if line else None for v in ((*z["points"][0], *normal, *unit) if line else (None,) * 6)),
+            ))
+    put = lambda xs, i, v, n: f"[case when k = {i} then {v} else {xs}[k] end for k in range(1, {n} + 1)]"
+    return f"""with recursive {adapter.SQL}, {_edge_rows('full_', ZONES, lambda z: _is_polygon(z) and not z.get('exclude_detections'))}, {_edge_rows('core_', ZONES, lambda z: _is_polygon(z) and not z.get('exclude_detections'), lambda p: jobs.shrunk(p, jobs.POLYGON_SLACK))}, {_edge_rows('mask_', ZONES, lambda z: z.get('exclude_detections'))},
+{_values('zs', 'camera_id, zone_id, zone_type, place, places, tplace, tplaces, line, prior, later, wait, px, py, nx, ny, ux, uy', zone_rows)},
+hidden as (select event_id from (select event_id, zone_id, {ODD} as inside from qf join mask_ using (camera_id) group by 1, 2) where inside),
+vis as (select *, epoch_us(ts) // 1000 as at_, lag(foot_x) over w as last_x, lag(foot_y) over w as last_y from qf where event_id not in (select event_id from hidden) window w as (partition by store_id, camera_id, local_track_id order by ts, foot_x, foot_y)),
+inn as (select event_id, zone_id, {ODD} as inside from qf join full_ using (camera_id) group by 1, 2), cor as (select event_id, zone_id, {ODD} as inside from qf join core_ using (camera_id) group by 1, 2),
+el as (
+  select v.store_id, v.camera_id, v.local_track_id, v.at_, z.*exclude (camera_id, px, py, nx, ny, ux, uy), i.inside, c.inside as core,
+    case when (foot_x - px) * nx + (foot_y - py) * ny > {jobs.LINE_SLACK} then 1 when (foot_x - px) * nx + (foot_y - py) * ny < -{jobs.LINE_SLACK} then -1 else 0 end as sign,
+    coalesce(abs((foot_x - last_x) * ux + (foot_y - last_y) * uy) >= {jobs.LEAST_WAY}, true) as wide,
+    row_number() over (partition by v.store_id, v.camera_id, v.local_track_id order by v.ts, v.foot_x, v.foot_y, z.place) as n
+  from vis v join zs z on z.camera_id = v.camera_id left join inn i on i.event_id = v.event_id and i.zone_id = z.zone_id left join cor c on c.event_id = v.event_id and c.zone_id = z.zone_id
+),
+st as (
+  select store_id, camera_id, local_track_id, cast(0 as bigint) as n, cast(null as bigint) as at_, cast(null as integer) as place, [cast(null as bigint) for k in range(1, max(places) + 1)] as since, [0 for k in range(1, max(places) + 1)] as side, [cast(null as bigint) for k in range(1, max(places) + 1)] as crossed,
+    [cast(null as bigint) for k in range(1, max(tplaces) + 1)] as entered, cast(null as varchar) as kind, cast(null as varchar) as direction, cast(null as bigint) as dwell_ms from el group by 1, 2, 3
+  union all
+  select store_id, camera_id, local_track_id, n, at_, place,
+    {put('since', 'place', 'case when goes then null when comes then at_ else since[k] end', 'places')}, {put('side', 'place', 'case when line and sign <> 0 and (not turned or soon or over_) then sign else side[k] end', 'places')},
+    {put('crossed', 'place', 'case when over_ then at_ else crossed[k] end', 'places')}, {put('entered', 'tplace', "case when told or counted then at_ else entered[k] end", 'tplaces')},
+    case when told or counted then 'enter' when goes then 'exit' end, case when counted then case when inward then 'in' else 'out' end end, case when goes then at_ - since[place] end
+  from (select *, over_ and not (inward and again) as counted, comes and not blocked and not again as told from (
+    select *, turned and not soon and wide as over_ from (
+    select el.*, st.since, st.side, st.crossed, st.entered,
+      not line and st.since[el.place] is not null and not core and el.at_ - st.since[el.place] >= {jobs.LEAST_DWELL_MS} as goes,
+      not line and st.since[el.place] is null and inside and (len(prior) = 0 or len([1 for t in prior if st.entered[t] is not null]) > 0) as comes,
+      len([1 for t in later if el.at_ - st.entered[t] <= wait]) > 0 as blocked, coalesce(el.at_ - st.entered[tplace] <= {int(1000 * jobs.SAME_TYPE_S)}, false) as again,
+      line and st.side[el.place] * sign < 0 as turned, coalesce(el.at_ - st.crossed[el.place] < {int(1000 * jobs.LINE_S)}, false) as soon, sign > st.side[el.place] as inward
+    from st join el on el.store_id = st.store_id and el.camera_id = st.camera_id and el.local_track_id = st.local_track_id and el.n = st.n + 1)))
+),
+ms as (select st.store_id, st.camera_id, st.local_track_id, epoch_ms(st.at_) as ts, zs.zone_id, zs.zone_type, kind, direction, dwell_ms from st join zs on zs.camera_id = st.camera_id and zs.place = st.place where kind is not null)"""
+
+
+def _moves(s, d):
+    return moves.zone_moves(adapter.quick_frames(s, d), ZONES).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(_moves_sql() + " select store_id, camera_id, local_track_id, ts, zone_id, zone_type from ms where kind = 'enter' and direction is null")
+def zone_enters(s, d):
+    return _moves(s, d).where("kind = 'enter' and direction is null").select("store_id", "camera_id", "local_track_id", "ts", "zone_id", "zone_type")
+
+
+@query(_moves_sql() + " select store_id, camera_id, local_track_id, ts, zone_id, dwell_ms from ms where kind = 'exit'")
+def zone_exits(s, d):
+    return _moves(s, d).where("kind = 'exit'").select("store_id", "camera_id", "local_track_id", "ts", "zone_id", "dwell_ms")
+
+
+@query(_moves_sql() + " select store_id, camera_id, local_track_id, ts, zone_id, direction from ms where direction is not null")
+def line_crossings(s, d):
+    return _moves(s, d).where("direction is not null").select("store_id", "camera_id", "local_track_id", "ts", "zone_id", "direction")
+
+
+@query(_moves_sql() + f""",
+pe as (select *, row_number() over (partition by store_id, local_track_id, zone_id, direction is null order by ts, camera_id) as n from ms where kind = 'enter'),
+db(store_id, local_track_id, zone_id, area, n, ts, told, kept) as (
+  select store_id, local_track_id, zone_id, direction is null, n, ts, ts, true from pe where n = 1
+  union all
+  select pe.store_id, pe.local_track_id, pe.zone_id, db.area, pe.n, pe.ts, case when pe.ts - db.told > to_seconds(case when area then {int(jobs.SAME_TYPE_S)} else {int(jobs.LINE_S)} end) then pe.ts else db.told end, pe.ts - db.told > to_seconds(case when area then {int(jobs.SAME_TYPE_S)} else {int(jobs.LINE_S)} end)
+  from db join pe on pe.store_id = db.store_id and pe.local_track_id = db.local_track_id and pe.zone_id = db.zone_id and (pe.direction is null) = db.area and pe.n = db.n + 1
+)
+select store_id, local_track_id, zone_id, area, count(*) as enters, max(ts) as last_at from db where kept group by 1, 2, 3, 4""")
+def person_enters(s, d):
+    told = moves.debounced(_moves(s, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("global_id", F.col("local_track_id"))).where("kind = 'enter'")
+    return told.groupBy("store_id", "local_track_id", "zone_id", F.col("direction").isNull().alias("area")).agg(F.count("*").alias("enters"), F.max("ts").cast("timestamp_ntz").alias("last_at"))
+
+
 # ------------------------------------------------------------ dashboard
 DASH = f"""with recursive {adapter.SQL}, {HEAT}, hc as ({HEAT_CONF}), ek as ({EVENT_KPIS}), sk as ({SESSION_KPIS}),
 tk as (select store_id, cast(sum(case when status = 'completed' then amount else 0 end) as double) as revenue, count(*) filter (status = 'completed') as purchases, count(*) filter (status = 'completed' and external_track_id is not null) as linked from tx group by 1),

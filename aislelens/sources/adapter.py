@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: 2024-01-01 in microseconds.
+START_US = 1_704_067_200_000_000
 CAMERAS = ["CAM1", "CAM2", "CAM3", "CAM4", "CAM5"]
 
 
@@ -83,6 +85,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quick_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frames() at 36,000 times the speed, so that a track's frames are seconds apart."""
+    return frames(spark, sf_dir).withColumn("ts", F.timestamp_micros(F.expr(f"{START_US} + (unix_micros(cast(ts as timestamp)) - {START_US}) div 36000")))
+
+
 def pos_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type")
@@ -125,6 +132,7 @@ fr as (
     user_id || '-' || strftime(ts, '%m%d') as global_id, k / 100 as foot_x, (event_id * 37 % 100) / 100 as foot_y, 0.5 + k / 200 as confidence, user_id % 50 = 0 as is_staff
   from (select *, coalesce(try_cast(json_extract_string(props, '$.k') as integer), 0) as k from events)
 ),
+qf as (select * replace (make_timestamp(1704067200000000 + cast(floor((epoch_us(ts) - 1704067200000000) / 36000) as bigint)) as ts) from fr),
 pos as (
   select l_orderkey as order_id, l_linenumber as line_no, p_brand as brand_name, p_type as category, cast(trunc(l_quantity) as integer) as qty,
     cast(l_extendedprice as decimal(12,2)) as gmv, cast(floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 as decimal(12,2)) as nmv, l_shipdate as shipped_at
