@@ -7,11 +7,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import columns as C
+from ..operators.ordered import ranked
 
 
 def deduplicated(events: DataFrame, delay: str = "24 hours") -> DataFrame:
@@ -37,25 +38,31 @@ def upsert_each_batch(write: Callable[[DataFrame, int], None]):
 
 #: A stream forgets a track without frames after this long.
 FORGET_MS = 60_000
-SESSION = "external_track_id string, session_no long, started_at timestamp, ended_at timestamp, n_events long, is_reentry boolean"
+SESSION = "store_id string, external_track_id string, session_no long, started_at timestamp, ended_at timestamp, n_events long, is_reentry boolean"
 
 
 def live_sessions(events: DataFrame, cooldown_s: int = 1800) -> DataFrame:
-    """Sessions of a track that close after `cooldown_s` without events. (ST-04, ST-10, ST-12)
+    """Sessions of a store's track that close after `cooldown_s` without events. (ST-04, ST-10)
 
-    State is three numbers a track, and an event-time timeout closes it.
+    State is four numbers a track; an event-time timeout closes the session, and a second one,
+    as long again, forgets the track. Sessions by doors are in sessions.py.
     """
+    wait_ms = cooldown_s * 1000
 
-    def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, start, end, n = state.get if state.exists else (0, None, None, 0)
         closed = []
 
         def close() -> None:
-            closed.append((key[0], number, pd.Timestamp(start, unit="us"), pd.Timestamp(end, unit="us"), n, number > 1))
+            closed.append((*key, number, pd.Timestamp(start, unit="us"), pd.Timestamp(end, unit="us"), n, number > 1))
 
         if state.hasTimedOut:
-            close()
-            state.update((number, None, None, 0))
+            if end is None:
+                state.remove()
+            else:
+                close()
+                state.update((number, None, None, 0))
+                state.setTimeoutTimestamp(max(end // 1000 + 2 * wait_ms, state.getCurrentWatermarkMs() + 1))
         else:
             times = sorted(int(t.value // 1000) for f in frames for t in f["occurred_at"])
             for t in times:
@@ -69,10 +76,10 @@ def live_sessions(events: DataFrame, cooldown_s: int = 1800) -> DataFrame:
             at = (end + cooldown_s * 1_000_000) // 1000 + 1
             if at > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(at)
-        yield pd.DataFrame(closed, columns=["external_track_id", "session_no", "started_at", "ended_at", "n_events", "is_reentry"])
+        yield pd.DataFrame(closed, columns=["store_id", "external_track_id", "session_no", "started_at", "ended_at", "n_events", "is_reentry"])
 
     return (
-        events.withWatermark("occurred_at", "10 minutes").groupBy("external_track_id")
+        events.withWatermark("occurred_at", "10 minutes").groupBy("store_id", "external_track_id")
         .applyInPandasWithState(step, SESSION, "number long, start long, end long, n long", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
@@ -199,12 +206,13 @@ def track_step(s: dict, zones: list[dict], role: str, ms: int, x: float, y: floa
     return found
 
 
-def zone_moves(frames: DataFrame, zones: dict[str, list[dict]], roles: dict[str, str] | None = None) -> DataFrame:
+def zone_moves(frames: DataFrame, zones: dict[str, list[dict]], roles: dict[str, str] | None = None, signs: bool = False) -> DataFrame:
     """Zone enters, exits and crossings of frame tracks (store_id, camera_id, local_track_id, ts, foot_x, foot_y, perhaps run, dark_ratio), keyed by track. (ST-05..ST-07, ST-09)
 
     A batch runs each track in time order; a stream keeps the state of a track, a few numbers,
     and forgets it when no frame came for a while. Frames inside zones marked
     exclude_detections are left out. A stream gives what the batch gives if frames come in order.
+    signs: a row of kind staff tells when behaviour first says that a track is staff.
     """
     roles = roles or {}
     masks = {cam: [z["points"] for z in zs if z.get("exclude_detections")] for cam, zs in zones.items()}
@@ -217,8 +225,11 @@ def zone_moves(frames: DataFrame, zones: dict[str, list[dict]], roles: dict[str,
         for r in rows.sort_values("ts", kind="stable").itertuples():
             if any(inside(m, r.foot_x, r.foot_y) for m in masks.get(key[1], ())):
                 continue
-            for move in track_step(state, use.get(key[1], []), roles.get(key[1], ""), int(r.ts.value // 1_000_000), float(r.foot_x), float(r.foot_y), float(r.dark_ratio or 0)):
-                out.append((key[0], key[1], int(key[2]), int(key[3]), r.ts, *move, state["staff"] is not None, state["staff"]))
+            was = state["staff"]
+            found = track_step(state, use.get(key[1], []), roles.get(key[1], ""), int(r.ts.value // 1_000_000), float(r.foot_x), float(r.foot_y), float(r.dark_ratio or 0))
+            if signs and state["staff"] and not was:
+                found = [(None, None, "staff", None, None), *found]
+            out += [(key[0], key[1], int(key[2]), int(key[3]), r.ts, *move, state["staff"] is not None, state["staff"]) for move in found]
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in MOVES.split(", ")])
         return frame.astype({"dwell_ms": "Int64"})
 
@@ -245,6 +256,6 @@ def snapshot_every(df: DataFrame, write: Callable[[DataFrame, int], None], secon
 
 
 def emitted_frames(frames: DataFrame, every: int = 30) -> DataFrame:
-    """Every n-th sampled frame of a camera gives a frame event. (ST-14)"""
-    w = Window.partitionBy("store_id", "camera_id", F.floor(F.col("frame_index") / 100_000)).orderBy("frame_index")
-    return frames.select("store_id", "camera_id", "frame_index", "ts").dropDuplicates(["store_id", "camera_id", "frame_index"]).withColumn("n", F.row_number().over(w) - 1).where(F.col("n") % every == 0).drop("n")
+    """Every n-th sampled frame of a camera gives a frame event; frames are numbered in time ranges. (ST-14)"""
+    seen = frames.select("store_id", "camera_id", "frame_index", "ts").dropDuplicates(["store_id", "camera_id", "frame_index"])
+    return ranked(seen, ["store_id", "camera_id"], ["frame_index"], "n").where((F.col("n") - 1) % every == 0).drop("n")

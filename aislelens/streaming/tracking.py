@@ -1,8 +1,9 @@
 """From frame tracks to events, as Spark stages keyed ever more finely.
 
 1. segments(): a local track's unbroken run of frames, one row each (windows over one track);
-2. resolve_identities(): who each segment is, in time order (one group a store, of segments, not of frames);
+2. resolve_identities(): who each segment is, in time order (a store is cut where nothing begins or ends for so long that nobody is remembered);
 3. zone_moves() in jobs: enters, exits, crossings and staff signs (one group a segment);
+   a run's staff sign comes from here, so this goes before identities where signs matter;
 4. person_events(): overlap suppression and sessions (one group a person);
 5. envelopes(): events to ingest, as columns.
 """
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.ordered import chains, settled
+from .sessions import GAP_S, Rules, nobody, sessions_by_doors, visit_step
 
 # Gates, thresholds and times of identity matching.
 COSINE_GATE, SAME_CAMERA_GATE, THRESHOLD, THRESHOLD_BLIND, TTL_S, BLEND = 0.55, 0.40, 0.68, 0.58, 2700.0, 0.35
 RECOVERY_S, RECOVERY_FOOT, RECOVERY_SCORE, BLIND_COSINE = 20.0, 0.18, 0.52, 0.45
 APPAREL_BINS = 48
-SESSION_GAP_S, MERGE_S = 1800.0, 45.0
 _SPACE = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -141,29 +143,46 @@ IDENTITIES = "store_id string, camera_id string, local_track_id int, run long, g
 
 
 def resolve_identities(runs: DataFrame, edges: dict[tuple[str, str], str], roles: dict[str, str] | None = None) -> DataFrame:
-    """Global id of each of segments(). (ST-01..ST-03, ST-13)
+    """Global id of each of segments(), which may have staff_at, when behaviour told that it is staff. (ST-01..ST-03, ST-09, ST-13)
 
-    Each decision depends on those before it in the store, so a store is a group; what it holds
-    is a row for a segment, not for a frame, and people are forgotten after TTL_S.
+    Each decision depends on those before it in the store, as far as somebody is remembered.
+    People are forgotten after TTL_S, so where nothing begins or ends for longer a store is cut
+    (in time ranges, so that no task sees a store), and the pieces are decided side by side. A
+    row is a begin, an end or a sign of a segment, not a frame.
+
+    From the sign on a person is staff: no visitor is matched with them, they are not the one
+    visitor at hand, and their lost track is not looked for.
     """
     roles = roles or {}
+    runs = runs if "staff_at" in runs.columns else runs.withColumn("staff_at", F.lit(None).cast("timestamp"))
+    keys = ["store_id", "camera_id", "local_track_id", "run"]
+    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    what = lambda order, at, x, y, emb: F.struct(F.lit(order).alias("order"), sec(at).alias("at"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(emb).alias("emb"))
+    told = F.array(what(0, "left", "x1", "y1", "emb1"), what(1, "began", "x0", "y0", "emb0"), what(2, "staff_at", "x0", "y0", "emb0"))
+    events = runs.select(*keys, (F.col("began") != F.col("left")).alias("lasts"), F.col("staff_at").isNotNull().alias("signed"), F.explode(told).alias("e")).select(*keys, "lasts", "signed", "e.*").where("at is not null")
+    parts = chains(events, ["store_id"], "at", ["order", "camera_id", "local_track_id", "run"], TTL_S)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         known, out, names = Identities(edges, roles), [], {}
-        begins = [(r.began.value, 1, r.camera_id, r.local_track_id, r) for r in pdf.itertuples()]
-        ends = [(r.left.value, 0, r.camera_id, r.local_track_id, r) for r in pdf.itertuples()]
-        for at, is_begin, camera, track, r in sorted(begins + ends, key=lambda e: (e[0], e[4].began.value != e[0] if not e[1] else True, *e[1:4])):
-            vector = r.emb0 if is_begin else r.emb1
-            emb = None if vector is None else np.asarray(vector, float)
-            if is_begin:
-                gid, how, score = known.resolve(camera, int(track), at / 1e9, r.x0, r.y0, emb, roles.get(camera) == "backroom")
-                names[camera, track, r.run] = gid
-                out.append((key[0], camera, int(track), int(r.run), gid, how, score))
-            elif roles.get(camera) != "backroom" and (camera, track, r.run) in names:
-                known.lost.append((at / 1e9, names[camera, track, r.run], camera, r.x1, r.y1, emb))
+        # At one time ends come first, then begins, then signs; a segment of one frame never gets lost.
+        for e in sorted(pdf.itertuples(index=False), key=lambda e: (e.at, bool(e.lasts) if e.order == 0 else True, e.order, e.camera_id, e.local_track_id, e.run)):
+            name = (e.camera_id, e.local_track_id, e.run)
+            emb = None if e.emb is None else np.asarray(e.emb, float)
+            if e.order == 1:
+                gid, how, score = known.resolve(e.camera_id, int(e.local_track_id), e.at, e.x, e.y, emb, roles.get(e.camera_id) == "backroom")
+                names[name] = gid
+                out.append((key[0], e.camera_id, int(e.local_track_id), int(e.run), gid, how, score))
+                continue
+            person = known.people.get(names.get(name))
+            if person is None or e.at - person.at > TTL_S:
+                continue
+            if e.order == 2:
+                person.staff = True
+            elif roles.get(e.camera_id) != "backroom" and not person.staff and not e.signed:
+                known.lost.append((e.at, names[name], e.camera_id, e.x, e.y, emb))
         return pd.DataFrame(out, columns=["store_id", "camera_id", "local_track_id", "run", "global_id", "how", "score"])
 
-    return runs.groupBy("store_id").applyInPandas(run, IDENTITIES)
+    return parts.groupBy("store_id", "chain").applyInPandas(run, IDENTITIES)
 
 
 # ------------------------------------------------------------ persons: overlap and sessions
@@ -173,44 +192,23 @@ PERSON = (
 )
 
 
-def person_events(moves: DataFrame, rules: list[dict] | None = None, roles: dict[str, str] | None = None, cooldown_s: float = SESSION_GAP_S) -> DataFrame:
+def person_events(moves: DataFrame, rules: list[dict] | None = None, roles: dict[str, str] | None = None, cooldown_s: float = GAP_S) -> DataFrame:
     """moves (store_id, global_id, camera_id, local_track_id, ts, zone_id, zone_type, kind, direction, dwell_ms, is_staff), with sessions, and enters that another camera tells already. (ST-04, ST-08, ST-12)
 
     rules: {suppress_camera, suppress_zone_types, active_camera, active_zone_types, within_seconds}.
-    A session begins when someone comes in over the threshold, or enters a door zone of an entry
-    camera; it ends when they go out, resumes within the cooldown, and is a re-entry after it.
+    kind: enter, exit, recovered (a track of somebody known begins) or staff (a sign). A session
+    begins, resumes and ends as visit_step() says; the event that ends one still belongs to it.
     """
-    rules, roles = rules or [], roles or {}
+    know = Rules(rules, roles, cooldown_s)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, active, number, began, ended, running = [], {}, 0, None, None, False
-        for r in pdf.sort_values(["ts", "camera_id", "zone_id"], kind="stable").itertuples():
-            at, enter, staff = r.ts.value / 1e9, r.kind == "enter", bool(r.is_staff)
-            spot = (r.camera_id, r.zone_type)
-            hidden = enter and any(
-                r.camera_id == rule["suppress_camera"] and r.zone_type in rule["suppress_zone_types"]
-                and any(c == rule["active_camera"] and z in rule["active_zone_types"] and at - since <= rule["within_seconds"] for (c, z), times in active.items() for since in times)
-                for rule in rules
-            )
-            again = out_door = False
-            if not hidden:
-                if enter:
-                    active.setdefault(spot, []).append(at)
-                elif r.kind == "exit":
-                    active.pop(spot, None)
-                comes = enter and r.zone_type == "entry_threshold" and r.direction == "in"
-                door = enter and not running and roles.get(r.camera_id) == "entry" and r.zone_type in ("entrance", "entry_threshold") and r.direction != "out"
-                out_door = enter and r.zone_type == "entry_threshold" and r.direction == "out" and not staff
-                if staff and running and r.zone_type != "staff_only":
-                    running, ended = False, at
-                elif not staff and (comes or door) and not running:
-                    running = True
-                    if ended is None or at - ended > cooldown_s:
-                        again, number, began = number > 0, number + 1, r.ts
-                elif out_door and running:
-                    running, ended = False, at
-            session = number if running or out_door and number else None
-            out.append((*key, r.camera_id, r.local_track_id, r.ts, r.zone_id, r.zone_type, r.kind, r.direction, r.dwell_ms, staff, hidden, session, again, out_door, began if session else None))
+        out, state = [], nobody()
+        clean = pdf.astype(object).where(pdf.notna(), None)
+        for r in clean.sort_values(["ts", "camera_id", "zone_id"], kind="stable", na_position="first").itertuples():
+            staff = bool(r.is_staff)
+            _, told = visit_step(state, know, r.ts.value // 1000, r.camera_id, r.zone_type, r.kind, r.direction, staff)
+            began = None if told["began"] is None else pd.Timestamp(told["began"], unit="us")
+            out.append((*key, r.camera_id, r.local_track_id, r.ts, r.zone_id, r.zone_type, r.kind, r.direction, r.dwell_ms, staff, told["hidden"], told["session"], told["again"], told["out"], began))
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in PERSON.split(", ")])
         return frame.astype({"dwell_ms": "Int64", "session_no": "Int32"})
 
@@ -218,16 +216,17 @@ def person_events(moves: DataFrame, rules: list[dict] | None = None, roles: dict
 
 
 def session_rows(persons: DataFrame) -> DataFrame:
-    """Sessions of person_events(): start, end, re-entry. (ST-04, K-06's input)"""
+    """Sessions of person_events(): start, end if the last event ended it, re-entry, staff. (ST-04, K-06's input)"""
     s = persons.where("session_no is not null")
+    closes = F.coalesce(F.col("is_store_exit") | (F.col("is_staff") & (F.coalesce("zone_type", F.lit("")) != "staff_only")), F.lit(False))
     return s.groupBy("store_id", F.col("global_id").alias("external_track_id"), "session_no").agg(
-        F.min("session_started").alias("started_at"), F.max("ts").alias("last_at"), F.max(F.when(F.col("is_store_exit"), F.col("ts"))).alias("ended_at"), F.bool_or("is_reentry").alias("is_reentry"), F.bool_or("is_staff").alias("staff")
+        F.min("session_started").alias("started_at"), F.max("ts").alias("last_at"), F.max_by(F.when(closes, F.col("ts")), F.struct("ts", closes)).alias("ended_at"), F.bool_or("is_reentry").alias("is_reentry"), F.bool_or(F.col("is_staff") & closes).alias("staff")
     )
 
 
 def envelopes(persons: DataFrame, tenant_id: str, correlation_id: str, detector_mode: str = "yolo") -> DataFrame:
     """Events to ingest of what person_events() lets pass, with keys that a rerun gives again. (ST-15, P-21, P-22)"""
-    e = persons.where(~F.col("suppressed") & C.emitted("zone_type", "is_staff"))
+    e = persons.where(F.col("kind").isin("enter", "exit") & ~F.col("suppressed") & C.emitted("zone_type", "is_staff"))
     kind = F.when(F.col("kind") == "enter", C.ENTERED).otherwise(C.EXITED)
     who = F.concat_ws(":", "store_id", "global_id")
     key = F.concat_ws("-", kind, who, "zone_id", F.unix_millis("ts").cast("string"))
@@ -244,15 +243,35 @@ def envelopes(persons: DataFrame, tenant_id: str, correlation_id: str, detector_
     )
 
 
-def track_store(frames: DataFrame, zones: dict[str, list[dict]], edges: dict[tuple[str, str], str], roles: dict[str, str], rules: list[dict] | None = None, step: int = 1, cooldown_s: float = SESSION_GAP_S) -> DataFrame:
-    """Frame tracks to person events, stage by stage. (ST-11)"""
+def store_moves(frames: DataFrame, zones: dict[str, list[dict]], edges: dict[tuple[str, str], str], roles: dict[str, str], step: int = 1) -> DataFrame:
+    """Frame tracks to moves of persons, staff signs and tracks found again, stage by stage. (ST-11)
+
+    Moves and staff signs are told by the segment alone, so they come first, and identities know
+    who is staff from when. A segment of somebody known takes up a session ended just before.
+    """
     from .jobs import zone_moves
 
     runs = segments(frames, step)
-    who = resolve_identities(runs, edges, roles)
     keys = ["store_id", "camera_id", "local_track_id"]
-    spans = runs.select(*keys, "run", "first_frame", "last_frame").join(who, [*keys, "run"])
     # Each local track has few runs; a frame belongs to the one around it.
-    named = frames.join(spans, keys).where("frame_index between first_frame and last_frame").select(*(frames[c] for c in frames.columns), "global_id", "run")
-    moves = zone_moves(named, zones, roles)
-    return person_events(moves.join(who.select(*keys, "run", "global_id"), [*keys, "run"]), rules, roles, cooldown_s)
+    spans = runs.select(*keys, "run", "first_frame", "last_frame")
+    named = frames.join(spans, keys).where("frame_index between first_frame and last_frame").select(*(frames[c] for c in frames.columns), "run")
+    moves = settled(zone_moves(named, zones, roles, signs=True))
+    signs = moves.where("kind = 'staff'").groupBy(*keys, "run").agg(F.min("ts").alias("staff_at"))
+    runs = runs.join(signs, [*keys, "run"], "left")
+    who = settled(resolve_identities(runs, edges, roles))
+    known = who.where("how <> 'new'").join(runs.select(*keys, "run", F.col("began").alias("ts")), [*keys, "run"])
+    none = {"zone_id": "string", "zone_type": "string", "direction": "string", "dwell_ms": "long"}
+    begins = known.select(*keys, "global_id", "ts", F.lit("recovered").alias("kind"), F.lit(False).alias("is_staff"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    told = moves.join(who.select(*keys, "run", "global_id"), [*keys, "run"])
+    return told.select(*begins.columns).unionByName(begins)
+
+
+def track_store(frames: DataFrame, zones: dict[str, list[dict]], edges: dict[tuple[str, str], str], roles: dict[str, str], rules: list[dict] | None = None, step: int = 1, cooldown_s: float = GAP_S) -> DataFrame:
+    """Enters and exits of persons with their sessions, from frame tracks. (ST-11)"""
+    return person_events(store_moves(frames, zones, edges, roles, step), rules, roles, cooldown_s).where(F.col("kind").isin("enter", "exit"))
+
+
+def store_sessions(frames: DataFrame, zones: dict[str, list[dict]], edges: dict[tuple[str, str], str], roles: dict[str, str], rules: list[dict] | None = None, step: int = 1, cooldown_s: float = GAP_S) -> DataFrame:
+    """Sessions of persons, from frame tracks; signs of staff end them even where nothing moves. (ST-04, ST-11)"""
+    return sessions_by_doors(store_moves(frames, zones, edges, roles, step), Rules(rules, roles, cooldown_s))

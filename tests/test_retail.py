@@ -205,6 +205,8 @@ def test_store_of_frames(spark):
     assert len({r["global_id"] for r in who.collect()}) == 1
     ses = {r["session_no"]: (r["is_reentry"], str(r["ended_at"])) for r in tracking.session_rows(who).collect()}
     assert ses[1][0] is False and ses[1][1] != "None" and ses[2] == (True, "None")
+    doors = tracking.store_sessions(f, {"A": [line], "B": [queue], "C": [shelf]}, {("A", "B"): "P0", ("B", "C"): "P0", ("C", "A"): "P0"}, {"A": "entry", "B": "billing"}, rules, 5, 60)
+    assert {r["session_no"]: (r["is_reentry"], str(r["ended_at"])) for r in doors.collect()} == ses
     e = {(r["idempotency_key"].split("-")[0], json.loads(r["payload"])["camera_id"]): (r, json.loads(r["payload"])) for r in tracking.envelopes(who.where("session_no = 1 and camera_id <> 'A' or is_store_exit or not is_reentry and direction = 'in'"), "t", "c").collect()}
     row, body = next(v for v in e.values() if v[1]["camera_id"] == "B")
     assert row["event_id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, row["idempotency_key"])) and body["external_track_id"].startswith("s:") and row["occurred_at"].endswith("Z") and not any(k[1] == "C" for k in e)
@@ -243,8 +245,8 @@ def test_stream_jobs(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     src = str(tmp_path / "in")
-    spark.createDataFrame([("1", at(m)) for m in (0, 5, 50, 51, 200)], "external_track_id string, occurred_at timestamp").write.parquet(src)
-    stream = spark.readStream.schema("external_track_id string, occurred_at timestamp").parquet(src)
+    spark.createDataFrame([("s", "1", at(m)) for m in (0, 5, 50, 51, 200)], "store_id string, external_track_id string, occurred_at timestamp").write.parquet(src)
+    stream = spark.readStream.schema("store_id string, external_track_id string, occurred_at timestamp").parquet(src)
     q = jobs.live_sessions(stream).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["session_no"], r["n_events"]) for r in spark.table("live").orderBy("session_no").collect()][:2] == [(1, 2), (2, 2)]

@@ -98,3 +98,61 @@ def test_of_nothing(spark):
     assert sessions.sessions_by_doors(none, sessions.Rules()).count() == 0
     assert sessions.sessions_by_doors(none.unionByName(spark.createDataFrame([(*move(0, direction="in")[:1], None, *move(0)[2:])], MOVE)), sessions.Rules()).count() == 0
     assert sessions.sessions_by_doors(none.withColumn("x", F.lit(1)), sessions.Rules()).columns == [x.split()[0] for x in sessions.SESSION.split(", ")]
+
+
+# ------------------------------------------------------------ tracking: staff by signs, pieces of a store
+def segments(spark, rows):
+    schema = "store_id string, camera_id string, local_track_id int, run long, began timestamp, left timestamp, x0 double, y0 double, x1 double, y1 double, emb0 array<double>, emb1 array<double>, staff_at timestamp"
+    sec = lambda s: None if s is None else T0 + timedelta(seconds=s)
+    return spark.createDataFrame([("s", cam, t, 1, sec(b), sec(e), 0.4, 0.4, 0.4, 0.4, emb, emb, sec(staff)) for cam, t, b, e, emb, staff in rows], schema)
+
+
+def who(spark, rows, edges=None):
+    from aislelens.streaming import tracking
+
+    return {(r["camera_id"], r["local_track_id"]): (r["global_id"], r["how"]) for r in tracking.resolve_identities(segments(spark, rows), edges or {}).collect()}
+
+
+def test_staff_by_signs_are_nobody_elses(spark):
+    a, edge = [1.0, 0.0], {("A", "B"): "P0"}
+    free = who(spark, [("A", 1, 0, 10, a, None), ("B", 7, 30, 40, a, None)], edge)
+    assert free["B", 7] == (free["A", 1][0], "matched")
+    signed = who(spark, [("A", 1, 0, 10, a, 5), ("B", 7, 30, 40, a, None)], edge)
+    assert signed["B", 7][1] == "new"  # no visitor is matched with staff, nor the one at hand
+    lost = who(spark, [("A", 1, 0, 10, a, None), ("A", 9, 15, 20, [0.9, 0.1], None)])
+    assert lost["A", 9] == (lost["A", 1][0], "recovered")
+    assert who(spark, [("A", 1, 0, 10, a, 5), ("A", 9, 15, 20, [0.9, 0.1], None)])["A", 9][1] == "new"
+    late = who(spark, [("A", 1, 0, 10, a, None), ("B", 7, 30, 60, a, 50), ("A", 3, 70, 80, a, None)], edge)
+    assert late["B", 7][0] == late["A", 1][0] and late["A", 3][1] == "new"
+
+
+def test_store_in_pieces_equals_the_store_whole(spark, monkeypatch):
+    from aislelens.streaming import tracking
+
+    rng = np.random.default_rng(3)
+    faces, t, rows = rng.normal(size=(5, 8)), 0.0, []
+    for k in range(120):
+        t += float(rng.choice([1, 10, 60, 3000]))
+        rows.append((str(rng.choice(["A", "B", "C"])), k, t, t + float(rng.choice([0, 5, 4000], p=[0.2, 0.7, 0.1])), [float(x) for x in faces[rng.integers(5)] + rng.normal(0, 0.3, 8)], t + 1 if rng.random() < 0.1 else None))
+    edges = {("A", "B"): "P0", ("B", "C"): "P1"}
+    pieces = who(spark, rows, edges)
+    whole = tracking.chains
+    monkeypatch.setattr(tracking, "chains", lambda df, by, at, ties, gap: whole(df, by, at, ties, 1e12))
+    assert who(spark, rows, edges) == pieces and len({g for g, _ in pieces.values()}) < 120
+
+
+def test_person_events_of_staff(spark):
+    from aislelens.streaming import tracking
+
+    rows = [("s", "p", "A", 1, T0 + timedelta(minutes=m), z, z, k, d, None, st) for m, z, k, d, st in ((0, "entry_threshold", "enter", "in", False), (5, "browse", "enter", None, False), (20, "browse", "enter", None, True), (25, "browse", "exit", None, True))]
+    df = spark.createDataFrame(rows, "store_id string, global_id string, camera_id string, local_track_id int, ts timestamp, zone_id string, zone_type string, kind string, direction string, dwell_ms long, is_staff boolean")
+    (s,) = tracking.session_rows(tracking.person_events(df)).collect()
+    assert s["staff"] is True and s["ended_at"] == T0 + timedelta(minutes=20) and s["started_at"] == T0
+
+
+def test_frames_are_counted_on(spark):
+    from aislelens.streaming import jobs
+
+    f = spark.range(0, 250_001, 7).select(F.lit("s").alias("store_id"), F.lit("A").alias("camera_id"), F.col("id").alias("frame_index"), F.lit(T0).alias("ts"))
+    got = sorted(r["frame_index"] for r in jobs.emitted_frames(f, 30).collect())
+    assert got == list(range(0, 250_001, 7 * 30))
