@@ -6,6 +6,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ class TokenPair:
             self.bytes_a[i] = bytes(_BYTES[c] for c in name) if all(c in _BYTES for c in name) else name.encode()
         pieces = ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
+        self.table_a, self.table_b = (pa.array(known, pa.large_binary()) for known in (self.bytes_a, self.bytes_b))
         self.len_a, self.len_b = (np.array([len(x) for x in known], np.int64) for known in (self.bytes_a, self.bytes_b))
         self.forget()
 
@@ -67,13 +69,25 @@ class TokenPair:
             yield a, b, b"".join([self.bytes_a[i] for i in a]) == raw == b"".join([self.bytes_b[i] for i in b])
 
     def learn(self, words: list[str]) -> None:
-        for w, (a, b, same) in zip(words, self.encode(words), strict=True):
-            for ids, start, got in zip(self.ids, self.start, (a, b), strict=True):
-                ids.extend(got)
-                start.append(len(ids))
-            self.same.append(same)
-            self.known[w] = len(self.same) - 1
-            self.letters += len(w)
+        """Encodes words that are not known, with the space before each."""
+        spaced = [" " + w for w in words]
+        got = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(words, num_threads=1)
+        raw = [w.encode() for w in spaced]
+        size, whole, same = np.array([len(r) for r in raw], np.int64), b"".join(raw), np.ones(len(words), bool)
+        for ids, start, per_word, table, lens in zip(self.ids, self.start, got, (self.table_a, self.table_b), (self.len_a, self.len_b), strict=True):
+            flat, n = np.fromiter(chain.from_iterable(per_word), np.int32), np.array([len(x) for x in per_word], np.int64)
+            start.frombytes((len(ids) + np.cumsum(n)).tobytes())
+            ids.frombytes(flat.tobytes())
+            ends = np.concatenate([[0], np.cumsum(lens[flat])])[np.concatenate([[0], np.cumsum(n)])]
+            # As a rule all bytes are given back; where they aren't, words are looked at one by one.
+            _, off, data = table.take(pa.array(flat)).buffers()
+            back = data.to_pybytes()[: int(ends[-1])] if len(flat) else b""
+            if back != whole or (np.diff(ends) != size).any():
+                same &= np.array([back[b:e] == r for b, e, r in zip(ends[:-1].tolist(), ends[1:].tolist(), raw, strict=True)], bool)
+        first = len(self.same)
+        self.same.frombytes(same.astype(np.int8).tobytes())
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.letters += sum(map(len, words))
 
     def column(self, texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """([ids of A, of B], [how many of each row], rows whose bytes both give back). Null is the empty text, which has none."""
@@ -128,7 +142,9 @@ def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
     All ends together cut the bytes into elementary intervals. An interval lies in one token of
     each side, so it is one overlap, and one that ends where both owners end closes a group.
     """
-    edges = np.union1d(ends_a, ends_b)
+    edges = np.concatenate([ends_a, ends_b])
+    edges.sort(kind="stable")  # two sorted runs: union1d by merging
+    edges = edges[np.append(edges[1:] != edges[:-1], True)] if len(edges) else edges
     own_a, own_b = np.searchsorted(ends_a, edges), np.searchsorted(ends_b, edges)
     closes = (ends_a[own_a] == edges) & (ends_b[own_b] == edges)
     group = np.cumsum(closes) - closes
