@@ -83,3 +83,19 @@ def summary(statuses: DataFrame) -> DataFrame:
     """Counts and the response code of a batch. (V-08, V-09, K-05)"""
     ok, no, twice = (F.count_if(x) for x in (F.col("status") == "accepted", F.col("status") == "rejected", F.col("status") == "duplicate"))
     return statuses.agg(ok.alias("accepted"), no.alias("rejected"), twice.alias("duplicate"), F.when(no == 0, 202).when(ok + twice == 0, 422).otherwise(207).alias("code"))
+
+
+# ------------------------------------------------------------ payloads as VARIANT
+def parsed(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """events whose JSON payload is a VARIANT: parsed once, whatever is read from it. Text that is no JSON is null. (V-10)"""
+    return events.withColumn(payload, F.try_parse_json(payload))
+
+
+def payload_field(path: str, kind: str, payload: str = "payload") -> Column:
+    """A field of a parsed payload as `kind`, null where it is missing or is something else. (F-14, F-16)"""
+    return F.try_variant_get(payload, path, kind)
+
+
+def payload_items(path: str, payload: str = "payload") -> Column:
+    """Length of a list in a parsed payload; 0 where there is none. (F-15)"""
+    return F.coalesce(F.size(F.try_variant_get(payload, path, "array<variant>")), F.lit(0))

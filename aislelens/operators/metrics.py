@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .ingest import parsed, payload_items
+from .ranks import percentiles
 
 
 def _per_hour(df: DataFrame, ts: str = "occurred_at", value=None) -> DataFrame:
@@ -196,9 +198,8 @@ def totals(**frames: DataFrame) -> DataFrame:
 
 def detections_total(events: DataFrame, start: str, end: str) -> DataFrame:
     """Frames in a period and the detections that their payloads list. (A-49)"""
-    e = events.where((F.col("event_type") == C.FRAME) & C.in_period("occurred_at", start, end))
-    listed = F.when(C.has_key("payload", "detections"), C.json_items("payload", "detections")).otherwise(0)
-    return e.groupBy("store_id").agg(F.count("*").alias("frames"), F.sum(listed).alias("detections"))
+    e = parsed(events.where((F.col("event_type") == C.FRAME) & C.in_period("occurred_at", start, end)))
+    return e.groupBy("store_id").agg(F.count("*").alias("frames"), F.sum(payload_items("$.detections")).alias("detections"))
 
 
 def events_since(events: DataFrame, since: str) -> DataFrame:
@@ -280,7 +281,9 @@ def health(events: DataFrame, as_of: str, stale_minutes: float = 15, stores: Dat
 
 def value_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Average, largest and 95th percentile of people a sample, and the traffic class by them. (A-57)"""
-    got = df.groupBy(by).agg(F.avg(value).alias("avg_value"), F.max(value).alias("max_value"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    got = df.groupBy(by).agg(F.avg(value).alias("avg_value"), F.max(value).alias("max_value"))
+    p = percentiles(df, [by], value, {"p95": 0.95}).withColumnRenamed(by, "by_")
+    got = got.join(p, F.col(by).eqNullSafe(F.col("by_")), "left").drop("by_")
     traffic = F.when((F.col("avg_value") >= 8) | (F.col("p95") >= 15), "HIGH").when((F.col("avg_value") >= 3) | (F.col("p95") >= 6), "MEDIUM").when(F.col("avg_value") >= 0.5, "LOW").otherwise("VERY_LOW")
     return got.withColumn("traffic", traffic)
 

@@ -4,27 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..streaming import jobs
+from .ordered import settled
 
 TRACK = ["store_id", "camera_id", "local_track_id", "run"]
 #: No time: before all others, and still safe to subtract.
 NEVER = -(10**15)
 
 
-def _polygon(points: list[list[float]]) -> Column:
-    return F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
+def _inside(points: list[list[float]]) -> str:
+    """The even-odd rule for a known polygon, written out edge by edge: columns.in_polygon() without arrays."""
+    known = [[float(v) for v in p] for p in points]
+    edges = (
+        f"cast(({ay!r}D > foot_y) <> ({by!r}D > foot_y) and foot_x < {bx - ax!r}D * (foot_y - {ay!r}D) / {by - ay + 1e-9!r}D + {ax!r}D as int)"
+        for (ax, ay), (bx, by) in zip(known, [known[-1], *known[:-1]], strict=True)
+    )
+    return f"(({' + '.join(edges)}) % 2 = 1)" if len(points) >= 3 else "false"
 
 
-def _by_camera(parts: dict[str, Column], default: Column) -> Column:
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _by_camera(parts: dict[str, str], default: str) -> str:
     """The expression of the row's camera."""
-    out = default
-    for cam, x in parts.items():
-        out = F.when(F.col("camera_id") == cam, x).otherwise(out)
-    return out
+    return f"case camera_id {' '.join(f'when {_text(cam)} then {x}' for cam, x in parts.items())} else {default} end" if parts else default
 
 
 def numbered_zones(zones: dict[str, list[dict]]) -> dict[str, list[dict]]:
@@ -40,26 +48,26 @@ def numbered_zones(zones: dict[str, list[dict]]) -> dict[str, list[dict]]:
 SIGHT = "place int, line boolean, inside boolean, core boolean, sign int, way double"
 
 
-def _sights(zs: list[dict]) -> Column:
+def _sights(zs: list[dict]) -> str:
     """What a frame sees of each zone of its camera: inside, well inside; for lines the side, and the way across since the frame before."""
-    none = F.lit(None)
     out = []
     for z in zs:
         if z.get("kind", "polygon") == "line":
-            (a, b), normal = (tuple(p) for p in z["points"][:2]), z.get("direction_normal")
+            (a, b), normal = (tuple(map(float, p)) for p in z["points"][:2]), z.get("direction_normal")
             unit = C.line_normal(a, b, tuple(normal) if normal else None)
-            sign = C.side_sign(C.line_side("foot_x", "foot_y", a, b, tuple(normal) if normal else None), jobs.LINE_SLACK)
-            way = F.abs((F.col("foot_x") - F.col("last_x")) * F.lit(unit[0]) + (F.col("foot_y") - F.col("last_y")) * F.lit(unit[1]))
-            seen = (F.lit(True), none, none, sign, way)
+            nx, ny = map(float, normal or unit)
+            side = f"((foot_x - {a[0]!r}D) * {nx!r}D + (foot_y - {a[1]!r}D) * {ny!r}D)"
+            sign = f"case when {side} > {jobs.LINE_SLACK!r}D then 1 when {side} < -{jobs.LINE_SLACK!r}D then -1 else 0 end"
+            seen = ("true", "null", "null", sign, f"abs((foot_x - last_x) * {float(unit[0])!r}D + (foot_y - last_y) * {float(unit[1])!r}D)")
         else:
-            core = jobs.shrunk(z["points"], jobs.POLYGON_SLACK)
-            seen = (F.lit(False), C.in_polygon("foot_x", "foot_y", _polygon(z["points"])), C.in_polygon("foot_x", "foot_y", _polygon(core)), none, none)
-        out.append(F.struct(F.lit(z["place"]).alias("place"), *(v.cast(t).alias(n) for v, (n, t) in zip(seen, (x.split() for x in SIGHT.split(", ")[1:]), strict=True))))
-    return F.array(*out)
+            seen = ("false", _inside(z["points"]), _inside(jobs.shrunk(z["points"], jobs.POLYGON_SLACK)), "null", "null")
+        fields = ", ".join(f"{n!r}, cast({v} as {t})" for v, (n, t) in zip(seen, (x.split() for x in SIGHT.split(", ")[1:]), strict=True))
+        out.append(f"named_struct('place', {z['place']}, {fields})")
+    return f"array({', '.join(out)})"
 
 
 def changes_of_sight(frames: DataFrame, zones: dict[str, list[dict]]) -> DataFrame:
-    """(store_id, camera_id, local_track_id, run, at, place, line, inside, core, sign, way): the frames of a track that can change what is known of a zone, `at` in ms.
+    """(store_id, camera_id, local_track_id, run, frame_no, at, place, line, inside, core, sign, way): the frames of a track that can change what is known of a zone, `at` in ms.
 
     Islands are frames in a row with equal membership. Of a polygon's island those count within
     the least dwell of its begin and the one after them, as an exit may wait for that long, and
@@ -67,79 +75,69 @@ def changes_of_sight(frames: DataFrame, zones: dict[str, list[dict]]) -> DataFra
     enter waits for another zone's. Of a line's the first one on a side and the first one after
     a way long enough. All other frames leave the state as it is.
     """
-    use = numbered_zones(zones)
+    use = {cam: zs for cam, zs in numbered_zones(zones).items() if zs}
     masks = {cam: [z["points"] for z in zs if z.get("exclude_detections")] for cam, zs in zones.items()}
     if "run" not in frames.columns:
         frames = frames.withColumn("run", F.lit(0).cast("long"))
-    hidden = _by_camera({cam: F.array_max(F.array(*(C.in_polygon("foot_x", "foot_y", _polygon(m)) for m in ms))) for cam, ms in masks.items() if ms}, F.lit(False))
-    w = Window.partitionBy(*TRACK).orderBy("ts", "foot_x", "foot_y")
-    f = frames.where(~hidden).select(*TRACK, "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "foot_x", "foot_y")
-    f = f.withColumn("last_x", F.lag("foot_x").over(w)).withColumn("last_y", F.lag("foot_y").over(w)).withColumn("frame_no", F.row_number().over(w))
-    nothing = F.array().cast(f"array<struct<{', '.join(x.replace(' ', ': ') for x in SIGHT.split(', '))}>>")
-    seen = f.withColumn("x", F.explode(_by_camera({cam: _sights(zs) for cam, zs in use.items() if zs}, nothing))).select(*TRACK, "at", "frame_no", "x.*").where("not line or sign <> 0")
-    zone = [*TRACK, "place"]
-    o = Window.partitionBy(*zone).orderBy("frame_no")
-    what = F.struct("inside", "core", "sign")
-    seen = seen.withColumn("island", F.sum(F.when(F.lag(what).over(o).eqNullSafe(what), 0).otherwise(1)).over(o.rowsBetween(Window.unboundedPreceding, 0)))
-    i = Window.partitionBy(*zone, "island").orderBy("frame_no")
-    begun, before = F.first("at").over(i.rowsBetween(Window.unboundedPreceding, 0)), F.lag("at").over(i)
-    wide = F.coalesce(F.col("way") >= jobs.LEAST_WAY, F.lit(False)).cast("int")
-    waits = _by_camera({cam: F.col("place").isin([z["place"] for z in zs if z.get("require_prior_zone_types")] or [-1]) for cam, zs in use.items()}, F.lit(False))
-    seen = seen.withColumn("first", F.row_number().over(i) == 1).withColumn("soon", F.coalesce(before - begun < jobs.LEAST_DWELL_MS, F.lit(True)))
-    seen = seen.withColumn("wides", F.sum(wide).over(i.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = F.when(F.col("line"), F.col("first") | ((wide == 1) & (F.col("wides") == 1))).otherwise(F.col("soon") | (F.col("inside") & ~F.col("core")) | (F.col("inside") & waits))
-    return seen.where(kept).select(*TRACK, "frame_no", "at", "place", "line", "inside", "core", "sign", "way")
+    hidden = _by_camera({cam: " or ".join(map(_inside, ms)) for cam, ms in masks.items() if ms}, "false")
+    nothing = f"cast(array() as array<struct<{', '.join(x.replace(' ', ': ') for x in SIGHT.split(', '))}>>)"
+    places = {cam: [str(z["place"]) for z in zs if z.get("require_prior_zone_types")] for cam, zs in use.items()}
+    waits = _by_camera({cam: f"place in ({', '.join(ks)})" for cam, ks in places.items() if ks}, "false")
+    track, zone = ", ".join(TRACK), ", ".join([*TRACK, "place"])
+    w = f"over (partition by {track} order by ts, foot_x, foot_y)"
+    f = frames.where(f"not ({hidden})").selectExpr(*TRACK, "unix_millis(cast(ts as timestamp)) as at", "foot_x", "foot_y", f"lag(foot_x) {w} as last_x", f"lag(foot_y) {w} as last_y", f"row_number() {w} as frame_no")
+    sights = _by_camera({cam: _sights(zs) for cam, zs in use.items()}, nothing)
+    seen = f.selectExpr(*TRACK, "at", "frame_no", f"explode({sights}) as x").selectExpr(*TRACK, "at", "frame_no", "x.*").where("not line or sign <> 0")
+    what = "struct(inside, core, sign)"
+    seen = seen.selectExpr("*", f"case when lag({what}) over (partition by {zone} order by frame_no) <=> {what} then 0 else 1 end as begins")
+    seen = seen.selectExpr("*", f"sum(begins) over (partition by {zone} order by frame_no rows unbounded preceding) as island")
+    i, wide = f"over (partition by {zone}, island order by frame_no rows unbounded preceding)", f"coalesce(way >= {jobs.LEAST_WAY!r}D, false)"
+    kept = seen.selectExpr("*", f"coalesce(lag(at) over (partition by {zone}, island order by frame_no) - first(at) {i} < {jobs.LEAST_DWELL_MS}, true) as soon", f"{wide} as wide", f"count_if({wide}) {i} as wides")
+    kept = kept.where(f"case when line then begins = 1 or (wide and wides = 1) else soon or (inside and not core) or (inside and {waits}) end")
+    return kept.select(*TRACK, "frame_no", "at", "place", "line", "inside", "core", "sign", "way")
 
 
 MOVE = "at: bigint, place: int, kind: string, direction: string, dwell_ms: bigint"
 
 
-def _fold(zs: list[dict]) -> Callable[[Column, Column], Column]:
-    """The step of aggregate() for a camera's zones: (state, sight) -> state."""
-    polygons = {z["place"]: z for z in zs if z.get("kind", "polygon") != "line"}
-    put = lambda xs, place, value: F.transform(xs, lambda v, k: F.when(k == place, value).otherwise(v))
-
-    def case(of: Callable[[dict], Column], x: Column, over: list[dict], default: Column) -> Column:
-        out = default
-        for z in over:
-            out = F.when(x["place"] == z["place"], of(z)).otherwise(out)
-        return out
-
-    def step(s: Column, x: Column) -> Column:
-        at, place = x["at"], x["place"]
-        since, side, cross, entered = (s[c] for c in ("since", "side", "cross", "entered"))
-        type_place = case(lambda z: F.lit(z["type_place"]), x, zs, F.lit(0))
-        mine, kind_at = F.get(since, place), F.get(entered, type_place)
-        # Polygons: out beyond the core after the least dwell; in at the edge, told unless a like enter was just told.
-        stays = mine != NEVER
-        goes = stays & ~x["core"] & (at - mine >= jobs.LEAST_DWELL_MS)
-        ready = case(lambda z: F.exists(F.array(*(F.get(entered, F.lit(z["types"].index(t))) for t in z["require_prior_zone_types"])), lambda t: t != NEVER) if z.get("require_prior_zone_types") else F.lit(True), x, list(polygons.values()), F.lit(True))
-        comes = ~stays & x["inside"] & ready
-        after = case(
-            lambda z: F.exists(F.array(*(F.get(entered, F.lit(z["types"].index(t))) for t in z["dedupe_after_zone_types"])), lambda t: at - t <= int(1000 * z.get("dedupe_after_seconds", jobs.AFTER_S))) if z.get("dedupe_after_zone_types") else F.lit(False),
-            x, list(polygons.values()), F.lit(False),
-        )
-        again = at - kind_at <= int(1000 * jobs.SAME_TYPE_S)
-        told = comes & ~after & ~again
-        # Lines: another side, not just crossed, with a way across.
-        was = F.get(side, place)
-        turned = was * x["sign"] < 0
-        soon = (F.get(cross, place) != NEVER) & (at - F.get(cross, place) < int(1000 * jobs.LINE_S))
-        over = turned & ~soon & F.coalesce(x["way"] >= jobs.LEAST_WAY, F.lit(True))
-        inward = x["sign"] > was
-        counted = over & ~(inward & again)
-        line = x["line"]
-        kind = F.when(line & counted, "enter").when(~line & told, "enter").when(~line & goes, "exit")
-        move = F.struct(at.alias("at"), place.alias("place"), kind.alias("kind"), F.when(line, F.when(inward, "in").otherwise("out")).alias("direction"), F.when(~line & goes, at - mine).alias("dwell_ms"))
-        return F.struct(
-            F.when(line, since).otherwise(F.when(goes, put(since, place, F.lit(NEVER))).when(comes, put(since, place, at)).otherwise(since)).alias("since"),
-            F.when(line & (~turned | soon | over), put(side, place, x["sign"])).otherwise(side).alias("side"),
-            F.when(line & over, put(cross, place, at)).otherwise(cross).alias("cross"),
-            F.when(kind == "enter", put(entered, type_place, at)).otherwise(entered).alias("entered"),
-            F.when(kind.isNotNull(), F.array_append(s["moves"], move)).otherwise(s["moves"]).alias("moves"),
-        )
-
-    return step
+def _fold(zs: list[dict]) -> str:
+    """aggregate() over the sights of a track of one camera: its moves in order."""
+
+    def by_zone(of: Callable[[dict], str | None], default: str) -> str:
+        parts = [f"when {z['place']} then {x}" for z in zs if (x := of(z)) is not None]
+        return f"case x.place {' '.join(parts)} else {default} end" if parts else default
+
+    def one_of(test: str, names: str) -> Callable[[dict], str | None]:
+        """Whether `test` holds for the last enter of one of a zone's listed types."""
+        return lambda z: "(" + " or ".join(test.format(at=f"s.entered[{z['types'].index(t)}]", wait=int(1000 * z.get("dedupe_after_seconds", jobs.AFTER_S))) for t in z[names]) + ")" if z.get(names) else None
+
+    def put(xs: str, place: str, value: str) -> str:
+        return f"transform(s.{xs}, (v, k) -> case when k = {place} then {value} else v end)"
+
+    type_place = by_zone(lambda z: str(z["type_place"]), "0")
+    again = f"(x.at - s.entered[{type_place}] <= {int(1000 * jobs.SAME_TYPE_S)})"
+    # Polygons: out beyond the core after the least dwell; in at the edge, told unless a like enter was just told.
+    since = "s.since[x.place]"
+    goes = f"(not x.line and {since} <> {NEVER} and not x.core and x.at - {since} >= {jobs.LEAST_DWELL_MS})"
+    ready = by_zone(one_of(f"{{at}} <> {NEVER}", "require_prior_zone_types"), "true")
+    after = by_zone(one_of("x.at - {at} <= {wait}", "dedupe_after_zone_types"), "false")
+    comes = f"(not x.line and {since} = {NEVER} and x.inside and {ready})"
+    told = f"({comes} and not {after} and not {again})"
+    # Lines: another side, not just crossed, with a way across.
+    turned, soon = "(s.side[x.place] * x.sign < 0)", f"(s.cross[x.place] <> {NEVER} and x.at - s.cross[x.place] < {int(1000 * jobs.LINE_S)})"
+    over = f"(x.line and {turned} and not {soon} and coalesce(x.way >= {jobs.LEAST_WAY!r}D, true))"
+    inward = "(x.sign > s.side[x.place])"
+    counted = f"({over} and not ({inward} and {again}))"
+    kind, way, dwell = f"case when {goes} then 'exit' else 'enter' end", f"case when x.line then case when {inward} then 'in' else 'out' end end", f"case when {goes} then x.at - {since} end"
+    step = f"""named_struct(
+        'since', case when {goes} then {put('since', 'x.place', f'{NEVER}L')} when {comes} then {put('since', 'x.place', 'x.at')} else s.since end,
+        'side', case when x.line and (not {turned} or {soon} or {over}) then {put('side', 'x.place', 'x.sign')} else s.side end,
+        'cross', case when {over} then {put('cross', 'x.place', 'x.at')} else s.cross end,
+        'entered', case when {told} or {counted} then {put('entered', type_place, 'x.at')} else s.entered end,
+        'moves', case when {told} or {counted} or {goes} then array_append(s.moves, named_struct('at', x.at, 'place', x.place, 'kind', {kind}, 'direction', {way}, 'dwell_ms', {dwell})) else s.moves end)"""
+    never = lambda n: f"array_repeat({NEVER}L, {n})"
+    start = f"named_struct('since', {never(len(zs))}, 'side', array_repeat(0, {len(zs)}), 'cross', {never(len(zs))}, 'entered', {never(len(zs[0]['types']))}, 'moves', cast(array() as array<struct<{MOVE}>>))"
+    return f"aggregate(sights, {start}, (s, x) -> {step}, s -> s.moves)"
 
 
 def zone_moves(frames: DataFrame, zones: dict[str, list[dict]]) -> DataFrame:
@@ -152,17 +150,15 @@ def zone_moves(frames: DataFrame, zones: dict[str, list[dict]]) -> DataFrame:
     """
     use = {cam: zs for cam, zs in numbered_zones(zones).items() if zs}
     sights = F.array_sort(F.collect_list(F.struct("frame_no", "place", "at", "line", "inside", "core", "sign", "way")))
-    tracks = changes_of_sight(frames, zones).groupBy(*TRACK).agg(sights.alias("sights"))
+    tracks = settled(changes_of_sight(frames, zones).groupBy(*TRACK).agg(sights.alias("sights")))  # read once a camera
+    if not use:
+        raise ValueError("no camera has zones")
     out = None
     for cam, zs in use.items():
-        never = lambda n: F.array(*([F.lit(NEVER).cast("long")] * n))
-        start = F.struct(never(len(zs)).alias("since"), F.array(*([F.lit(0)] * len(zs))).alias("side"), never(len(zs)).alias("cross"), never(len(zs[0]["types"])).alias("entered"), F.array().cast(f"array<struct<{MOVE}>>").alias("moves"))
-        moved = tracks.where(F.col("camera_id") == cam).select(*TRACK, F.explode(F.aggregate("sights", start, _fold(zs), lambda s: s["moves"])).alias("m"))
-        names = F.create_map(*(v for z in zs for v in (F.lit(z["place"]), F.struct(F.lit(z["zone_id"]).alias("zone_id"), F.lit(z["zone_type"]).alias("zone_type")))))
-        got = moved.withColumn("z", names[F.col("m.place")]).select(*TRACK, F.timestamp_millis("m.at").alias("ts"), "z.zone_id", "z.zone_type", "m.kind", "m.direction", "m.dwell_ms")
+        known = ", ".join(f"named_struct('zone_id', {_text(z['zone_id'])}, 'zone_type', {_text(z['zone_type'])})" for z in zs)
+        got = tracks.where(F.col("camera_id") == cam).selectExpr(*TRACK, f"explode({_fold(zs)}) as m").selectExpr(*TRACK, "m", f"array({known})[m.place] as z")
+        got = got.selectExpr(*TRACK, "timestamp_millis(m.at) as ts", "z.zone_id", "z.zone_type", "m.kind", "m.direction", "m.dwell_ms")
         out = got if out is None else out.unionByName(got)
-    if out is None:
-        raise ValueError("no camera has zones")
     return out
 
 

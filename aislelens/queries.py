@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import geometry, identity, ingest, metrics, moves, sales, visits, zones
+from .operators import bitmaps, geometry, identity, ingest, metrics, moves, sales, visits, zones
+from .operators.ordered import settled, shared_folder
 from .plans import dashboard
-from .sources import adapter, readers
+from .sources import adapter, batches, pages, readers, versioned
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -770,6 +772,61 @@ def idempotent_insert(s, d):
     return readers.split_new_events(b, stored).select("idx", "outcome")
 
 
+# ------------------------------------------------------------ stored tables
+def _folder(s, what: str) -> str:
+    return f"{shared_folder(s)}/{what}-{uuid.uuid4().hex}"
+
+
+@query(ROLLUP)
+def metric_upsert_replayed(s, d):
+    """Thirds of the period as batches of a stream, the first one wrong at first and one delivered twice."""
+    m = metrics.rollup(metrics.footfall(ev(s, d)), "footfall").withColumn("day", F.to_date("bucket_start"))
+    table = versioned.VersionedTable(s, _folder(s, "metrics"), ["store_id", "metric_name", "bucket_start", "granularity"], "day")
+    third = F.col("bucket_start") < F.lit(START).cast("timestamp_ntz"), F.col("bucket_start") < F.lit(MIDDLE).cast("timestamp_ntz")
+    table.upsert(m.where(third[0]).withColumn("value", F.lit(-1.0)), "footfall", 0)
+    table.upsert(m.where(third[1]), "footfall", 1)
+    table.upsert(m.where(third[1]).withColumn("value", F.lit(-2.0)), "footfall", 1)
+    table.upsert(m.where(~third[1]), "footfall", 2)
+    return table.read().drop("day")
+
+
+@query(f"select store_id, cast(date_trunc('day', occurred_at) as timestamp) as period_start, count(distinct external_track_id) as visitors from ev where event_type = 'vision.zone.entered' and {CUST} and external_track_id is not null group by 1, 2 union all select store_id, null, count(distinct external_track_id) from ev where event_type = 'vision.zone.entered' and {CUST} and external_track_id is not null group by 1")
+def visitors_by_period(s, d):
+    """From stored bitmaps by hour, written in two batches; no event is read for the days or the whole."""
+    e = ev(s, d).where((F.col("event_type") == C.ENTERED) & C.is_customer_event()).select("store_id", C.hour("occurred_at").alias("bucket_start"), F.col("external_track_id").alias("track"))
+    first = e.where(F.col("bucket_start") < F.lit(MIDDLE).cast("timestamp_ntz"))
+    numbers = settled(bitmaps.numbers_of(first))
+    stored = settled(bitmaps.hourly_bitmaps(first, numbers))
+    later = e.where(F.col("bucket_start") >= F.lit(MIDDLE).cast("timestamp_ntz"))
+    stored = settled(bitmaps.merged_bitmaps(stored, bitmaps.hourly_bitmaps(later, settled(bitmaps.numbers_of(later, numbers)))))
+    return bitmaps.visitors_by(stored, "day").union(bitmaps.visitors_by(stored))
+
+
+@query("select event_id, occurred_at, external_track_id from (select * from ev where store_id = 'store-1' order by occurred_at desc, event_id limit 500 offset 1000)")
+def deep_page(s, d):
+    table = pages.PagedTable(s, _folder(s, "pages"), "store_id", [("occurred_at", True), ("event_id", False)])
+    table.write(ev(s, d))
+    return table.page("store-1", 1000, 500).select("event_id", "occurred_at", "external_track_id")
+
+
+@query(f"with recursive {adapter.SQL}, {BATCH} select 'all' as tally, cast(count(*) as bigint) as events, count(*) filter (event_type <> 'bad.type') as accepted, count(*) filter (event_type = 'bad.type') as rejected, cast(0 as bigint) as duplicate from bt")
+def batch_tally(s, d):
+    """Events handed over in batches of at most 500 by the sink, and its tallies summed up."""
+    batches.register(s)
+    folder = _folder(s, "sent")
+    status = F.when(F.col("event_type") == "bad.type", "rejected").otherwise("accepted")
+    _batch(s, d).withColumn("status", status).write.format("event_batches").mode("append").option("batch_size", 500).save(folder)
+    t = s.read.schema("batch string, events long, accepted long, duplicate long, rejected long").json(f"{folder}/tallies")
+    return t.agg(F.lit("all").alias("tally"), *(F.sum(c).alias(c) for c in ("events", "accepted", "rejected", "duplicate")))
+
+
+@query("select event_id, try_cast(json_extract_string(props, '$.k') as integer) as k, case when try_cast(json_extract_string(props, '$.k') as integer) % 2 = 0 then json_extract_string(props, '$.k') end as even, cast(null as varchar) as missing from events")
+def payload_fields(s, d):
+    raw = s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("props").alias("payload"))
+    e = ingest.parsed(raw).select("event_id", ingest.payload_field("$.k", "int").alias("k"), ingest.payload_field("$.k", "string").alias("even"), ingest.payload_field("$.no", "string").alias("missing"))
+    return e.withColumn("even", F.when(F.col("k") % 2 == 0, F.col("even")))
+
+
 # ------------------------------------------------------------ foot points, zones and lines
 def _zone(zid, zone_type, points, **more):
     return {"zone_id": zid, "zone_type": zone_type, "points": [list(p) for p in points], **more}
