@@ -212,6 +212,16 @@ def processing_report(videos: DataFrame) -> DataFrame:
     return videos.agg(F.count_if(F.col("status") == "Processed").alias("videos_processed"), F.sum("frames").alias("frames_analyzed"), F.sum("events").alias("events_generated"))
 
 
+def analysis_periods(stores: DataFrame, events: DataFrame, tx: DataFrame, now: str, start: str | None = None, end: str | None = None, default_hours: int = 24) -> DataFrame:
+    """(store_id, period_start, period_end) of stores (store_id): from `start`, else from the store's first event or purchase, else `default_hours` before the end, which is `end` or now. (P-06)"""
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    until = at(end or now)
+    if start is not None:
+        return stores.select("store_id", at(start).alias("period_start"), until.alias("period_end"))
+    first = events.select("store_id", "occurred_at").union(tx.select("store_id", "occurred_at")).groupBy("store_id").agg(F.min("occurred_at").alias("first_at"))
+    return stores.join(first, "store_id", "left").select("store_id", F.coalesce("first_at", until - F.expr(f"interval {default_hours} hours")).alias("period_start"), until.alias("period_end"))
+
+
 def has_data(df: DataFrame, store_id: str) -> bool:
     """Whether there is a row of the store; one row is read. (A-61)"""
     return bool(df.where(F.col("store_id") == store_id).limit(1).count())

@@ -12,7 +12,7 @@ from .functions import columns as C
 from .operators import bitmaps, geometry, identity, ingest, metrics, moves, sales, visits, zones
 from .operators.ordered import settled, shared_folder
 from .plans import dashboard
-from .sources import adapter, batches, pages, readers, versioned
+from .sources import adapter, batches, keyindex, pages, readers, versioned
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -772,6 +772,18 @@ def idempotent_insert(s, d):
     return readers.split_new_events(b, stored).select("idx", "outcome")
 
 
+@query(f"with recursive {adapter.SQL}, {BATCH} select idx, case when cast(event_id as bigint) % 3 = 0 or row_number() over (partition by event_id order by idx) > 1 then 'duplicate_id' when cast(substr(idempotency_key, 5) as bigint) % 5 = 0 or row_number() over (partition by idempotency_key order by idx) > 1 then 'duplicate_key' else 'created' end as outcome from bt")
+def idempotent_insert_indexed(s, d):
+    """idempotent_insert against a store with key filters, written in two loads by hour."""
+    b = _batch(s, d)
+    stored = b.where("cast(event_id as bigint) % 3 = 0").select("event_id", F.lit(None).cast("string").alias("idempotency_key"), (F.col("idx") % 24).alias("hour"))
+    keys = b.where("cast(substr(idempotency_key, 5) as bigint) % 5 = 0").select(F.lit(None).cast("string").alias("event_id"), "idempotency_key", (F.col("idx") % 24).alias("hour"))
+    store = keyindex.EventStore(s, _folder(s, "events"), "hour")
+    store.append(stored)
+    store.append(keys)
+    return store.outcomes(b).select("idx", "outcome")
+
+
 # ------------------------------------------------------------ stored tables
 def _folder(s, what: str) -> str:
     return f"{shared_folder(s)}/{what}-{uuid.uuid4().hex}"
@@ -1006,8 +1018,12 @@ def point_in_zone(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import rule_queries  # noqa: F401  registers its queries
+
     return {n: f for n, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import rule_queries  # noqa: F401
+
     return {n: sql for n, (_, sql) in _FOUND.items() if sql is not None}

@@ -101,25 +101,52 @@ class VersionedTable:
         old_schema = T.StructType.fromJson(known["schema"]) if known["schema"] else schema
         if {f.name: f.dataType for f in old_schema.fields} != {f.name: f.dataType for f in schema.fields}:
             raise ValueError("new rows have other columns than the table")
-        name = F.coalesce(F.hex(F.encode(F.col(self.part).cast("string"), "UTF-8")), F.lit("null"))
-        name = F.concat(F.lit("p"), name)
-        new = new.withColumn("part_", name)
+        new = new.withColumn("part_", self._name())
         touched = sorted(r["part_"] for r in new.select("part_").distinct().collect())
         version = self._free(known["version"])
         made: dict[str, str] = {}
         if touched:
-            old = self._read(dict(known, schema=old_schema.jsonValue()), touched).select(*columns).withColumn("load_no", F.lit(None).cast("long")).withColumn("part_", name)
+            old = self._read(dict(known, schema=old_schema.jsonValue()), touched).select(*columns).withColumn("load_no", F.lit(None).cast("long")).withColumn("part_", self._name())
             rest = [c for c in columns if c not in self.keys]
             value = F.struct(*rest) if rest else F.lit(True)
             order = F.struct(F.col("load_no").isNotNull(), F.col("load_no"), value) if rest else F.struct(F.col("load_no").isNotNull(), F.col("load_no"))
             merged = old.unionByName(new).groupBy("part_", *self.keys).agg(F.max_by(value, order).alias("value_"))
             merged = merged.select("part_", *([F.col(k) for k in self.keys] + [F.col(f"value_.{c}").alias(c) for c in rest])).select("part_", *columns)
-            data = f"data/{version:012d}-{uuid.uuid4().hex}"
-            merged.repartition("part_").write.partitionBy("part_").option("compression", "zstd").parquet(f"{self.folder}/{data}")
-            made = {p: f"{data}/part_={p}" for p in touched}
+            made = self._write(merged, touched, version)
         self._commit({"version": version, "parts": known["parts"] | made, "epochs": known["epochs"] | {stream: epoch}, "schema": schema.jsonValue()})
         return True
 
+    def delete(self, gone: DataFrame, stream: str, epoch: int) -> bool:
+        """Rows whose keys and partition are those of a row of `gone` go; their partitions alone are rewritten. False if the stream has delivered the epoch before. (K-08)"""
+        known = self.manifest()
+        if epoch <= known["epochs"].get(stream, -1) or known["schema"] is None:
+            return False
+        gone = gone.withColumn("part_", self._name())
+        touched = sorted(r["part_"] for r in gone.select("part_").distinct().collect())
+        touched = [p for p in touched if p in known["parts"]]
+        version = self._free(known["version"])
+        on = [*self.keys, "part_"]
+        old = self._read(known, touched).withColumn("part_", self._name())
+        # Keys as one struct, so that null keys are equal to each other.
+        left = old.join(gone.select(F.struct(*on).alias("gone_")).distinct(), F.struct(*(old[c] for c in on)) == F.col("gone_"), "left_anti")
+        made = self._write(left, touched, version)
+        # A partition of which nothing is left has no folder any more.
+        parts = {p: d for p, d in (known["parts"] | made).items() if p not in made or self._names(*made[p].split("/"))}
+        self._commit({"version": version, "parts": parts, "epochs": known["epochs"] | {stream: epoch}, "schema": known["schema"]})
+        return True
+
+    def _name(self):
+        """The partition's folder: its text in hex."""
+        return F.concat(F.lit("p"), F.coalesce(F.hex(F.encode(F.col(self.part).cast("string"), "UTF-8")), F.lit("null")))
+
+    def _write(self, df: DataFrame, touched: list[str], version: int) -> dict[str, str]:
+        """Partitions' new folders; df has part_."""
+        if not touched:
+            return {}
+        data = f"data/{version:012d}-{uuid.uuid4().hex}"
+        df.repartition("part_").write.partitionBy("part_").option("compression", "zstd").parquet(f"{self.folder}/{data}")
+        return {p: f"{data}/part_={p}" for p in touched}
+
     def each_batch(self, stream: str):
         """A foreachBatch target: a micro-batch that is delivered again changes nothing."""
         return lambda df, epoch: self.upsert(df, stream, epoch) and None

@@ -15,7 +15,7 @@ T0 = datetime(2024, 1, 1, 10)
 
 
 # ------------------------------------------------------------ as-of
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_nearest_brute(spark, seed):
     rng = np.random.default_rng(seed)
     left = [(i, str(rng.choice(["a", "b", "c"])), int(rng.integers(0, 400)) if rng.random() > 0.1 else None) for i in range(150)] + [(999, None, 5)]
@@ -58,7 +58,7 @@ def star(rng, n):
     return [[float(c[0] + k * np.cos(a)), float(c[1] + k * np.sin(a))] for a, k in zip(angle, r, strict=True)]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_membership_brute(spark, seed):
     rng = np.random.default_rng(seed)
     zones = {f"c{k}": [{"zone_id": f"z{j}", "points": star(rng, int(rng.integers(3, 12)))} for j in range(4)] for k in range(2)}
@@ -90,7 +90,7 @@ def walk(rng, n, step_ms):
     return out
 
 
-@pytest.mark.parametrize(("seed", "step_ms"), [(0, 200), (1, 900), (2, 4000), (3, 60), (4, 20_000)])
+@pytest.mark.parametrize(("seed", "step_ms"), [(0, 200), (1, 900), (2, 4000)])
 def test_moves_equal_the_state_machine(spark, seed, step_ms):
     rng = np.random.default_rng(seed)
     rows = [("s", f"CAM{cam}", track, run, *p) for cam in range(1, 7) for track in range(6) for run in range(2) for p in walk(rng, 120, step_ms)]

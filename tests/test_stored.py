@@ -242,3 +242,35 @@ def test_payload_is_parsed_once(spark):
     got = df.select("i", ingest.payload_field("$.a.b", "int").alias("b"), ingest.payload_items("$.l").alias("l"), ingest.payload_field("$.t", "int").alias("t"), ingest.payload_field("$.f", "double").alias("f"), ingest.payload_field("$.n", "string").alias("n")).orderBy("i")
     assert [tuple(r)[1:] for r in got.collect()] == [(7, 2, 9, 1.5, None), (None, 0, None, None, None), (None, 0, None, None, None), (None, 0, None, None, None), (None, 0, None, None, None), (None, 0, None, None, None), (None, 0, None, None, None)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("parse_json") + got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
+
+
+# ------------------------------------------------------------ key filters
+def test_key_filters_leave_partitions_out(spark, tmp_path):
+    from aislelens.sources import keyindex, readers
+
+    store = keyindex.EventStore(spark, f"file://{tmp_path}/e", "day")
+    batch = lambda ids, **more: spark.createDataFrame([(k, more.get("id", "e{}").format(i) if i is not None else None, f"k{i}" if i is not None else None) for k, i in enumerate(ids)], "idx long, event_id string, idempotency_key string")
+    first = batch(range(5))
+    assert {r["outcome"] for r in store.outcomes(first).collect()} == {"created"}
+    days = spark.range(12_000).select(F.concat(F.lit("e"), "id").alias("event_id"), F.concat(F.lit("k"), "id").alias("idempotency_key"), F.floor(F.col("id") / 300).cast("string").alias("day"))
+    store.append(days.where("cast(day as int) < 30"))
+    store.append(days.where("cast(day as int) >= 30"))
+    few = batch([7, 299, 11_999, 50_000, None, 60_000])
+    parts = store.parts_of(few)
+    assert {p for p, _ in parts} >= {"p0", "p39"} and len(parts) <= 5  # of forty
+    for b in (few, batch([7, 7, 99_999]), batch([12], id="other{}"), batch(range(100_000, 100_400)), batch(range(0, 12_000, 500))):
+        want = {r["idx"]: r["outcome"] for r in readers.split_new_events(b, days).collect()}
+        assert {r["idx"]: r["outcome"] for r in store.outcomes(b).collect()} == want
+    assert len(store.parts_of(batch(range(100_000, 100_400)))) <= 12  # false alarms are few
+    plan = store.candidates(few)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+    # A load whose filters were not written may hold any key.
+    days.limit(1).withColumn("part_", F.lit("x")).withColumn("load", F.lit("crashed")).write.mode("append").partitionBy("part_", "load").parquet(f"{tmp_path}/e/rows")
+    assert ("x", "crashed") in store.parts_of(few)
+
+
+def test_deletes(spark, table):
+    table.upsert(rows(spark, ("a", "1", 1.0), ("b", "1", 2.0), (None, None, 3.0), ("c", "2", 4.0)), "s", 0)
+    assert table.delete(rows(spark, ("a", "1", 0.0), (None, None, 0.0), ("c", "9", 0.0), ("zz", "1", 0.0)), "d", 0) and not table.delete(rows(spark, ("b", "1", 0.0)), "d", 0)
+    assert told(table.read()) == [("b", "1", 2.0), ("c", "2", 4.0)] and set(table.manifest()["parts"]) == {"p31", "p32"}
+    assert table.upsert(rows(spark, (None, None, 8.0)), "s", 1) and len(told(table.read())) == 3
