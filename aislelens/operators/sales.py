@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .asof import nearest
-from .ordered import chains, ranked, settled
+from .ordered import chains, ranked, settled, time_ranges
 
 
 def parse_pos(lines: DataFrame, store_code: str) -> DataFrame:
@@ -104,13 +104,78 @@ def nearest_order(billing: DataFrame, tx: DataFrame, window_s: int = 3600) -> Da
     return best.select("store_id", "external_track_id", "hit.transaction_id", (F.col("hit.distance") / 1e6).alias("delta_s"), F.round(F.greatest(F.lit(0.0), 1 - F.col("hit.distance") / width), 3).alias("confidence"))
 
 
-def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 1200, offset_s: int = 0, mode: str = "AUTO") -> DataFrame:
+LINKS = "store_id string, external_track_id string, transaction_key string, method string, confidence double"
+#: Rows of a chain that one task links; longer ones are linked in ranges.
+MOST_IN_A_TASK = 200_000
+
+
+def _matched(pdf: pd.DataFrame, window_s: int) -> list[tuple]:
+    """(track, order, confidence): tracks (kind b) in order of time take the nearest order (t) left within the window, the earlier of two as near; orders of kind u are gone."""
+    bills, sold = (pdf[pdf.kind == k].sort_values(["at", "key"]) for k in ("b", "t"))
+    times, keys, free, out = sold["at"].to_numpy(), sold["key"].to_numpy(), ~sold["key"].isin(pdf[pdf.kind == "u"]["key"]).to_numpy(), []
+    for at, key in zip(bills["at"], bills["key"], strict=True):
+        lo, hi = np.searchsorted(times, at - window_s, "left"), np.searchsorted(times, at + window_s, "right")
+        near = np.flatnonzero(free[lo:hi]) + lo
+        if len(near):
+            k = near[np.abs(times[near] - at).argmin()]
+            free[k] = False
+            out.append((key, keys[k], round(max(0.0, 1 - abs(times[k] - at) / window_s), 3)))
+    return out
+
+
+def link_in_ranges(rows: DataFrame, window_s: int) -> DataFrame:
+    """Links of rows (store_id, chain, kind, key, at) of chains of any length, as one loop over each would give. (J-07)
+
+    A chain is cut into time ranges, which are linked side by side as if no order were taken
+    before; each sees its tracks and all orders within their reach. Then a range is told which of
+    its orders ranges before it have taken, and those that hear something new are linked again,
+    until none does. The first range is right at once, and each round makes the next one right,
+    but as a rule few orders are taken over an edge and two or three rounds are enough.
+    """
+    group = ["store_id", "chain"]
+    part = time_ranges(rows.select(*group, "kind", "key", "at"), group, ["at", "kind", "key"])
+    bills = part.where("kind = 'b'")
+    slot = lambda x: F.floor(x / window_s)
+    spans = bills.groupBy(*group, "range_no").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).withColumn("slot", F.explode(F.sequence(slot(F.col("lo") - window_s), slot(F.col("hi") + window_s))))
+    sold = part.where("kind = 't'").select(*group, "kind", "key", "at", slot(F.col("at")).alias("slot"))
+    reach = sold.join(spans, [*group, "slot"]).where("at >= lo - {0} and at <= hi + {0}".format(window_s))
+    work = settled(bills.select(*group, "range_no", "kind", "key", "at").union(reach.select(*group, "range_no", "kind", "key", "at")))
+    orders_ = work.where("kind = 't'").select(*group, "range_no", "key")
+
+    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *m) for m in _matched(pdf, window_s)], columns=["store_id", "chain", "range_no", "track", "key", "confidence"])
+
+    schema = "store_id string, chain long, range_no int, track string, key string, confidence double"
+    place = [*group, "range_no"]
+    links, heard = None, None
+    while True:
+        if links is None:
+            todo, taken = work, work.where("false").select(*place, "key")
+        else:
+            used = links.select(*group, F.col("range_no").alias("by_range"), "key")
+            taken = settled(orders_.join(used, [*group, "key"]).where("range_no > by_range").select(*place, "key").distinct())
+        news = settled(taken.groupBy(*place).agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("mark")))
+        if links is not None:
+            before = heard.withColumnRenamed("n", "n_").withColumnRenamed("mark", "mark_")
+            new = news.join(before, place, "full").where(~(F.col("n").eqNullSafe(F.col("n_")) & F.col("mark").eqNullSafe(F.col("mark_")))).select(*place)
+            new = settled(new)
+            if new.isEmpty():
+                break
+            todo = work.join(new, place, "left_semi").union(taken.join(new, place, "left_semi").select(*place, F.lit("u").alias("kind"), "key", F.lit(None).cast("double").alias("at")))
+        again = todo.groupBy(*place).applyInPandas(match, schema)
+        links = settled(again if links is None else links.join(new, place, "left_anti").union(again))
+        heard = news
+    return links.select("store_id", F.col("track").alias("external_track_id"), F.col("key").alias("transaction_key"), F.lit("TIME_WINDOW").alias("method"), "confidence")
+
+
+def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 1200, offset_s: int = 0, mode: str = "AUTO", most: int = MOST_IN_A_TASK) -> DataFrame:
     """Greedy one-to-one matching in time order, leftovers paired in sequence. (J-05, J-07, U-04)
 
     A track takes the nearest order left within the window, the earlier of two as near; tracks
     go in the order of time. A choice depends on those before it only through orders within
     reach, so times more than a window apart never touch: stores are cut at such gaps into
-    chains, and a chain is a task. Gaps are found by time ranges, so no task sees a store.
+    chains, and a chain of at most `most` rows is a task; a longer one is linked in ranges, with
+    the same result. Gaps are found by time ranges, so no task sees a store.
     """
     us = lambda x, more=0: F.unix_micros(F.col(x).cast("timestamp")) / 1e6 + more
     t = tx.where("status = 'completed'").select("store_id", F.lit("t").alias("kind"), F.col("transaction_id").cast("string").alias("key"), us("occurred_at", offset_s).alias("at"))
@@ -118,21 +183,16 @@ def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 1200, offset_
     both = chains(b.unionByName(t), ["store_id"], "at", ["kind", "key"], window_s)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        bills, sold = (pdf[pdf.kind == k].sort_values(["at", "key"]) for k in ("b", "t"))
-        times, keys, free, out = sold["at"].to_numpy(), sold["key"].to_numpy(), np.ones(len(sold), bool), []
-        for at, key in zip(bills["at"], bills["key"], strict=True):
-            lo, hi = np.searchsorted(times, at - window_s, "left"), np.searchsorted(times, at + window_s, "right")
-            near = np.flatnonzero(free[lo:hi]) + lo
-            if len(near):
-                k = near[np.abs(times[near] - at).argmin()]
-                free[k] = False
-                out.append((pdf["store_id"].iloc[0], key, keys[k], "TIME_WINDOW", round(max(0.0, 1 - abs(times[k] - at) / window_s), 3)))
-        return pd.DataFrame(out, columns=["store_id", "external_track_id", "transaction_key", "method", "confidence"])
-
-    schema = "store_id string, external_track_id string, transaction_key string, method string, confidence double"
+        found = [(pdf["store_id"].iloc[0], track, key, "TIME_WINDOW", confidence) for track, key, confidence in _matched(pdf, window_s)]
+        return pd.DataFrame(found, columns=[x.split()[0] for x in LINKS.split(", ")])
+
     # Most chains hold one kind alone and have nothing to match.
-    pairs = both.groupBy("store_id", "chain").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("lo < hi").select("store_id", "chain")
-    timed = both.join(pairs, ["store_id", "chain"], "left_semi").groupBy("store_id", "chain").applyInPandas(match, schema)
+    pairs = both.groupBy("store_id", "chain").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    short = pairs.where(F.col("n") <= most).select("store_id", "chain")
+    timed = both.join(short, ["store_id", "chain"], "left_semi").groupBy("store_id", "chain").applyInPandas(match, LINKS)
+    long_ = pairs.where(F.col("n") > most).select("store_id", "chain")
+    if not long_.isEmpty():
+        timed = timed.union(link_in_ranges(both.join(long_, ["store_id", "chain"], "left_semi"), window_s))
     if mode == "TIME_WINDOW":
         return timed
     named = lambda df: df.select("store_id", "external_track_id", F.col("transaction_id").cast("string").alias("transaction_key"), "method", "confidence")

@@ -51,6 +51,33 @@ def test_nearest_order_multiplies_no_row(spark):
     assert plan.count("Join") == 1 and "range_no" in next(x for x in plan.split("\n") if "Join" in x)
 
 
+# ------------------------------------------------------------ links of a store that never rests
+def test_links_in_ranges_equal_the_loop(spark):
+    rng = np.random.default_rng(4)
+    bills = [(str(s), f"t{k:05d}", T0 + timedelta(seconds=float(x))) for s in "ab" for k, x in enumerate(np.sort(rng.uniform(0, 20_000, 700)))]
+    sold = [(k, str(s), "completed", T0 + timedelta(seconds=round(float(x), 1))) for s, o in (("a", 0), ("b", 1)) for k, x in enumerate(rng.uniform(0, 20_000, 650), 1000 * o)]
+    b = spark.createDataFrame(bills, "store_id string, external_track_id string, billing_at timestamp_ntz")
+    t = spark.createDataFrame(sold, "transaction_id long, store_id string, status string, occurred_at timestamp_ntz")
+    got = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most in (100, 1_000_000):
+            got[most] = sorted((r["store_id"], r["external_track_id"], r["transaction_key"], r["confidence"]) for r in sales.link_orders(b, t, 300, mode="TIME_WINDOW", most=most).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for s in "ab":
+        left = sorted(((at - T0).total_seconds(), str(k)) for k, x, _, at in sold if x == s)
+        for _, track, at in sorted((r for r in bills if r[0] == s), key=lambda r: (r[2], r[1])):
+            at = (at - T0).total_seconds()
+            near = [(abs(o - at), o, k) for o, k in left if abs(o - at) <= 300]
+            if near:
+                d, o, k = min(near)
+                left.remove((o, k))
+                want.append((s, track, k, round(1 - d / 300, 3)))
+    assert got[100] == sorted(want) == got[1_000_000] and len(want) > 1000
+
+
 # ------------------------------------------------------------ polygons
 def star(rng, n):
     angle = np.sort(rng.uniform(0, 2 * np.pi, n))
