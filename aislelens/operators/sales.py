@@ -188,6 +188,7 @@ def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 1200, offset_
 
     # Most chains hold one kind alone and have nothing to match.
     pairs = both.groupBy("store_id", "chain").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    pairs = settled(pairs)  # a row a chain, read three times
     short = pairs.where(F.col("n") <= most).select("store_id", "chain")
     timed = both.join(short, ["store_id", "chain"], "left_semi").groupBy("store_id", "chain").applyInPandas(match, LINKS)
     long_ = pairs.where(F.col("n") > most).select("store_id", "chain")

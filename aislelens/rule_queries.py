@@ -8,7 +8,7 @@ from .functions import columns as C
 from .operators import identity, metrics, sales, visits
 from .queries import CUST, MIDDLE, VIS, ZONES, _edge_rows, _folder, ev, query, tx  # noqa: F401  (the SQL below is built of these)
 from .sources import adapter, readers, versioned
-from .streaming import jobs
+from .streaming import events, jobs, tracking
 
 A, B, NORMAL = (0.1, 0.4), (0.9, 0.6), (0.3, 1.0)
 STORES = "st as (select distinct 'store-' || (c_custkey % 5) as store_id from customer)"
@@ -274,3 +274,26 @@ def rollup_after_deletes(s, d):
     table.delete(m.where("value = 2").select("store_id", "bucket_start", "day"), "gone", 0)
     return table.read().drop("day")
 
+
+# ------------------------------------------------------------ events of frames and tracks
+@query("""select idempotency_key, people, staff, occurred_at from (
+  select 'frame-' || camera_id || '-' || frame_index || '-run1' as idempotency_key, count(*) as people, count(*) filter (is_staff) as staff, min(ts) as occurred_at, row_number() over (partition by store_id, camera_id order by frame_index) - 1 as n from fr group by store_id, camera_id, frame_index
+) where n % 30 = 0""")
+def frame_events(s, d):
+    """(ST-14, ST-15)"""
+    e = events.frame_events(adapter.frames(s, d), "run1", "tenant-1", "c")
+    people = F.from_json("payload", "detections array<struct<class_external_id: string>>, tracks array<struct<state: string>>")
+    return e.select("idempotency_key", people.alias("p"), C.from_iso("occurred_at").alias("occurred_at")).select(
+        "idempotency_key", F.size("p.tracks").cast("long").alias("people"), F.size(F.filter("p.detections", lambda x: x["class_external_id"] == "staff")).cast("long").alias("staff"), "occurred_at")
+
+
+@query("""with recursive """ + adapter.SQL + """, sg as (select *, sum(new_) over (partition by store_id, camera_id, local_track_id order by frame_index, event_id rows unbounded preceding) as run from (select *, case when frame_index - lag(frame_index) over (partition by store_id, camera_id, local_track_id order by frame_index, event_id) <= 24 then 0 else 1 end as new_ from fr))
+select 'track-ended-' || store_id || ':' || local_track_id || '-' || camera_id || '-' || local_track_id || case when run > 1 then '-' || run else '' end as idempotency_key, min(ts) as first_seen, max(ts) as last_seen, case when bool_or(is_staff) then 'staff' else 'visitor' end as class_label
+from sg group by store_id, camera_id, local_track_id, run""")
+def track_ended_events(s, d):
+    """Ends of segments of frames at most a day apart. (ST-10, ST-15)"""
+    f = adapter.frames(s, d).withColumn("embedding", F.lit(None).cast("array<double>"))
+    runs = tracking.segments(f, 24).withColumn("global_id", F.col("local_track_id").cast("string")).withColumn("is_staff", F.col("local_track_id") % 50 == 0)
+    told = F.from_json("payload", "first_seen string, last_seen string, class_label string")
+    e = events.track_ended_events(runs, "tenant-1", "c").select("idempotency_key", told.alias("p"))
+    return e.select("idempotency_key", C.from_iso("p.first_seen").alias("first_seen"), C.from_iso("p.last_seen").alias("last_seen"), "p.class_label")

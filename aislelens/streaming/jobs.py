@@ -85,7 +85,7 @@ def live_sessions(events: DataFrame, cooldown_s: int = 1800) -> DataFrame:
 
 
 # ------------------------------------------------------------ per-track zones, the same code for batch and stream
-MOVES = "store_id string, camera_id string, local_track_id int, run long, ts timestamp, zone_id string, zone_type string, kind string, direction string, dwell_ms long, is_staff boolean, staff_reason string"
+MOVES = "store_id string, camera_id string, local_track_id int, run long, ts timestamp, zone_id string, zone_type string, kind string, direction string, dwell_ms long, is_staff boolean, staff_reason string, foot_x double, foot_y double"
 # Slack of polygons and lines, and times of debouncing, in the frame's units and seconds.
 POLYGON_SLACK, LINE_SLACK, LEAST_WAY, LEAST_DWELL_MS, SAME_TYPE_S, LINE_S, AFTER_S = 0.012, 0.008, 0.015, 500, 3.0, 2.0, 15.0
 # Signs of staff.
@@ -229,7 +229,7 @@ def zone_moves(frames: DataFrame, zones: dict[str, list[dict]], roles: dict[str,
             found = track_step(state, use.get(key[1], []), roles.get(key[1], ""), int(r.ts.value // 1_000_000), float(r.foot_x), float(r.foot_y), float(r.dark_ratio or 0))
             if signs and state["staff"] and not was:
                 found = [(None, None, "staff", None, None), *found]
-            out += [(key[0], key[1], int(key[2]), int(key[3]), r.ts, *move, state["staff"] is not None, state["staff"]) for move in found]
+            out += [(key[0], key[1], int(key[2]), int(key[3]), r.ts, *move, state["staff"] is not None, state["staff"], float(r.foot_x), float(r.foot_y)) for move in found]
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in MOVES.split(", ")])
         return frame.astype({"dwell_ms": "Int64"})
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators.ordered import chains, settled
+from .events import zone_events
 from .sessions import GAP_S, Rules, nobody, sessions_by_doors, visit_step
 
 # Gates, thresholds and times of identity matching.
@@ -188,7 +189,7 @@ def resolve_identities(runs: DataFrame, edges: dict[tuple[str, str], str], roles
 # ------------------------------------------------------------ persons: overlap and sessions
 PERSON = (
     "store_id string, global_id string, camera_id string, local_track_id int, ts timestamp, zone_id string, zone_type string, kind string, direction string, dwell_ms long, "
-    "is_staff boolean, suppressed boolean, session_no int, is_reentry boolean, is_store_exit boolean, session_started timestamp"
+    "is_staff boolean, suppressed boolean, session_no int, is_reentry boolean, is_store_exit boolean, session_started timestamp, foot_x double, foot_y double"
 )
 
 
@@ -200,6 +201,8 @@ def person_events(moves: DataFrame, rules: list[dict] | None = None, roles: dict
     begins, resumes and ends as visit_step() says; the event that ends one still belongs to it.
     """
     know = Rules(rules, roles, cooldown_s)
+    for c in ("foot_x", "foot_y"):
+        moves = moves if c in moves.columns else moves.withColumn(c, F.lit(None).cast("double"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, state = [], nobody()
@@ -208,7 +211,7 @@ def person_events(moves: DataFrame, rules: list[dict] | None = None, roles: dict
             staff = bool(r.is_staff)
             _, told = visit_step(state, know, r.ts.value // 1000, r.camera_id, r.zone_type, r.kind, r.direction, staff)
             began = None if told["began"] is None else pd.Timestamp(told["began"], unit="us")
-            out.append((*key, r.camera_id, r.local_track_id, r.ts, r.zone_id, r.zone_type, r.kind, r.direction, r.dwell_ms, staff, told["hidden"], told["session"], told["again"], told["out"], began))
+            out.append((*key, r.camera_id, r.local_track_id, r.ts, r.zone_id, r.zone_type, r.kind, r.direction, r.dwell_ms, staff, told["hidden"], told["session"], told["again"], told["out"], began, r.foot_x, r.foot_y))
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in PERSON.split(", ")])
         return frame.astype({"dwell_ms": "Int64", "session_no": "Int32"})
 
@@ -224,23 +227,9 @@ def session_rows(persons: DataFrame) -> DataFrame:
     )
 
 
-def envelopes(persons: DataFrame, tenant_id: str, correlation_id: str, detector_mode: str = "yolo") -> DataFrame:
-    """Events to ingest of what person_events() lets pass, with keys that a rerun gives again. (ST-15, P-21, P-22)"""
-    e = persons.where(F.col("kind").isin("enter", "exit") & ~F.col("suppressed") & C.emitted("zone_type", "is_staff"))
-    kind = F.when(F.col("kind") == "enter", C.ENTERED).otherwise(C.EXITED)
-    who = F.concat_ws(":", "store_id", "global_id")
-    key = F.concat_ws("-", kind, who, "zone_id", F.unix_millis("ts").cast("string"))
-    flag = lambda x: F.when(x, F.lit(True))
-    payload = F.to_json(F.struct(
-        "zone_id", "zone_type", "camera_id", who.alias("external_track_id"), F.when(F.col("is_staff"), "staff").otherwise("visitor").alias("class_label"), "direction", "dwell_ms",
-        flag(F.col("is_reentry")).alias("is_reentry"), flag(F.col("is_store_exit")).alias("is_store_exit"), flag(C.store_entry("direction", "zone_type")).alias("is_store_entry"),
-        F.lit(detector_mode).alias("detector_mode"), "store_id",
-    ))
-    space = str(uuid.NAMESPACE_URL)
-    return e.select(
-        C.uuid5(space, key).alias("event_id"), kind.alias("event_type"), F.lit("1.0.0").alias("schema_version"), F.lit(tenant_id).alias("tenant_id"), "store_id", C.iso_utc("ts").alias("occurred_at"),
-        F.lit(correlation_id).alias("correlation_id"), key.alias("idempotency_key"), F.struct(F.lit("zone").alias("type"), C.uuid5(space, F.col("zone_id")).alias("id")).alias("aggregate"), payload.alias("payload"),
-    )
+def envelopes(persons: DataFrame, tenant_id: str, correlation_id: str, detector_mode: str = "yolo", names: dict[str, str] | None = None) -> DataFrame:
+    """Zone events to ingest of person_events(). (ST-15)"""
+    return zone_events(persons, tenant_id, correlation_id, detector_mode, names)
 
 
 def store_moves(frames: DataFrame, zones: dict[str, list[dict]], edges: dict[tuple[str, str], str], roles: dict[str, str], step: int = 1) -> DataFrame:
@@ -261,7 +250,7 @@ def store_moves(frames: DataFrame, zones: dict[str, list[dict]], edges: dict[tup
     runs = runs.join(signs, [*keys, "run"], "left")
     who = settled(resolve_identities(runs, edges, roles))
     known = who.where("how <> 'new'").join(runs.select(*keys, "run", F.col("began").alias("ts")), [*keys, "run"])
-    none = {"zone_id": "string", "zone_type": "string", "direction": "string", "dwell_ms": "long"}
+    none = {"zone_id": "string", "zone_type": "string", "direction": "string", "dwell_ms": "long", "foot_x": "double", "foot_y": "double"}
     begins = known.select(*keys, "global_id", "ts", F.lit("recovered").alias("kind"), F.lit(False).alias("is_staff"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
     told = moves.join(who.select(*keys, "run", "global_id"), [*keys, "run"])
     return told.select(*begins.columns).unionByName(begins)

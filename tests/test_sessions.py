@@ -156,3 +156,24 @@ def test_frames_are_counted_on(spark):
     f = spark.range(0, 250_001, 7).select(F.lit("s").alias("store_id"), F.lit("A").alias("camera_id"), F.col("id").alias("frame_index"), F.lit(T0).alias("ts"))
     got = sorted(r["frame_index"] for r in jobs.emitted_frames(f, 30).collect())
     assert got == list(range(0, 250_001, 7 * 30))
+
+
+def test_events_of_tracks_and_zones(spark):
+    import json
+    import uuid
+
+    from aislelens.streaming import events, tracking
+
+    rows = [("s", "p", "A", 1, T0, "door", "entry_threshold", "enter", "in", None, False, 0.25, 0.5), ("s", "p", "A", 1, T0 + timedelta(seconds=5), "hid", "ignore", "enter", None, None, False, 0.3, 0.5)]
+    df = spark.createDataFrame(rows, "store_id string, global_id string, camera_id string, local_track_id int, ts timestamp, zone_id string, zone_type string, kind string, direction string, dwell_ms long, is_staff boolean, foot_x double, foot_y double")
+    (e,) = tracking.envelopes(tracking.person_events(df), "t", "c", names={"door": "Main door"}).collect()
+    body = json.loads(e["payload"])
+    assert body["zone_name"] == "Main door" and body["position"] == {"x": 0.25, "y": 0.5, "space": "normalized"} and body["session_id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "session:s:p:1")) and body["is_store_entry"] is True
+    runs = segments(spark, [("A", 1, 0, 10, [1.0], None)]).withColumn("global_id", F.lit("p")).withColumn("is_staff", F.lit(True)).withColumn("session_no", F.lit(2))
+    (e,) = events.track_ended_events(runs, "t", "c").collect()
+    body = json.loads(e["payload"])
+    assert e["event_type"] == "vision.track.ended" and e["idempotency_key"] == "track-ended-s:p-A-1" and e["event_id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, e["idempotency_key"])) and e["occurred_at"] == "2024-01-01T10:00:10Z"
+    assert (body["first_seen"], body["last_seen"], body["class_label"], body["session_id"]) == ("2024-01-01T10:00:00Z", "2024-01-01T10:00:10Z", "staff", str(uuid.uuid5(uuid.NAMESPACE_URL, "session:s:p:2")))
+    f = spark.createDataFrame([("s", "A", k, T0 + timedelta(seconds=k), t, f"g{t}", (0.1,), 0.9, t == 2) for k in range(7) for t in (1, 2)], "store_id string, camera_id string, frame_index long, ts timestamp, local_track_id int, global_id string, bbox struct<x: double>, confidence double, is_staff boolean")
+    got = {r["idempotency_key"]: json.loads(r["payload"]) for r in events.frame_events(f, "run", "t", "c", 3).collect()}
+    assert set(got) == {f"frame-A-{k}-run" for k in (0, 3, 6)} and [t["external_track_id"] for t in got["frame-A-3-run"]["tracks"]] == ["s:g1", "s:g2"] and got["frame-A-3-run"]["detections"][1] == {"detection_id": got["frame-A-3-run"]["tracks"][1]["detection_id"], "class_external_id": "staff", "bbox": {"x": 0.1}, "confidence": 0.9}
