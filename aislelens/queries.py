@@ -1010,11 +1010,13 @@ def ready_for_review(s, d):
     return dashboard.ready_for_review(_proof(s, d))
 
 
-@query("with t as (select * from (values ('a', 0.5, 0.5), ('b', 0.95, 0.5), ('c', 0.2, 0.2)) v(name, x, y)) select name, x between 0.1 and 0.9 and y between 0.1 and 0.9 as inside from t")
+_BOX = {"any": [_zone("box", "browse", [(0.1, 0.1), (0.9, 0.1), (0.9, 0.9), (0.1, 0.9)])]}
+
+
+@query(f"with recursive {adapter.SQL}, {_edge_rows('ed', _BOX, _is_polygon)} select event_id, {ODD} as inside from fr cross join ed group by 1")
 def point_in_zone(s, d):
-    z = readers.zones_frame(s, {"CAM1": [{"zone_id": "z", "points": [[0.1, 0.1], [0.9, 0.1], [0.9, 0.9], [0.1, 0.9]]}]})
-    p = s.createDataFrame([("a", 0.5, 0.5), ("b", 0.95, 0.5), ("c", 0.2, 0.2)], "name string, x double, y double")
-    return p.crossJoin(F.broadcast(z.select("points"))).select("name", C.in_polygon("x", "y", "points").alias("inside"))
+    z = readers.zones_frame(s, _BOX)  # one row
+    return adapter.frames(s, d).crossJoin(F.broadcast(z.select("points"))).select("event_id", C.in_polygon("foot_x", "foot_y", "points").alias("inside"))
 
 
 def queries() -> dict[str, Query]:
