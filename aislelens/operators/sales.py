@@ -180,7 +180,7 @@ def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 1200, offset_
     us = lambda x, more=0: F.unix_micros(F.col(x).cast("timestamp")) / 1e6 + more
     t = tx.where("status = 'completed'").select("store_id", F.lit("t").alias("kind"), F.col("transaction_id").cast("string").alias("key"), us("occurred_at", offset_s).alias("at"))
     b = billing.select("store_id", F.lit("b").alias("kind"), F.col("external_track_id").alias("key"), us("billing_at").alias("at"))
-    both = chains(b.unionByName(t), ["store_id"], "at", ["kind", "key"], window_s)
+    both = settled(chains(b.unionByName(t), ["store_id"], "at", ["kind", "key"], window_s))  # read several times
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [(pdf["store_id"].iloc[0], track, key, "TIME_WINDOW", confidence) for track, key, confidence in _matched(pdf, window_s)]
@@ -188,7 +188,6 @@ def link_orders(billing: DataFrame, tx: DataFrame, window_s: int = 1200, offset_
 
     # Most chains hold one kind alone and have nothing to match.
     pairs = both.groupBy("store_id", "chain").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    pairs = settled(pairs)  # a row a chain, read three times
     short = pairs.where(F.col("n") <= most).select("store_id", "chain")
     timed = both.join(short, ["store_id", "chain"], "left_semi").groupBy("store_id", "chain").applyInPandas(match, LINKS)
     long_ = pairs.where(F.col("n") > most).select("store_id", "chain")
