@@ -18,7 +18,7 @@ MIN_BYTES = 100
 GRAM = 32
 #: Bytes of one document handled at once; the next part starts MIN_BYTES - 1 bytes earlier.
 PART = 1 << 22
-#: Distinct contexts of one anchor that one suffix array is built of; beyond, an anchor's windows are dealt to several by their bytes.
+#: Distinct contexts of one anchor that one suffix array is built of; beyond, an anchor's windows are counted by their bytes.
 FAMILY = 4096
 
 
@@ -156,7 +156,7 @@ def _contexts(least: int):
 
 def _families(least: int):
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Repeats among the contexts of whole slices of anchors; what of each context's first place repeats earlier text."""
+        """Repeats among the contexts of whole anchors; what of each context's first place repeats earlier text."""
         pdf = pdf.sort_values(["doc_id", "row_no", "spot"], na_position="first", kind="stable", ignore_index=True)
         size = pdf["bytes"].str.len().to_numpy()
         joined = b"".join(pdf["bytes"])
@@ -193,9 +193,9 @@ def _families(least: int):
         for pdf in frames:
             if not len(pdf):
                 continue
-            last = (pdf["h"] == pdf["h"].iloc[-1]) & (pdf["slice"] == pdf["slice"].iloc[-1])
+            last = pdf["h"] == pdf["h"].iloc[-1]
             cut = int(np.flatnonzero(~last.to_numpy())[-1]) + 1 if not last.all() else 0
-            same = kept and kept[-1]["h"].iloc[-1] == pdf["h"].iloc[-1] and kept[-1]["slice"].iloc[-1] == pdf["slice"].iloc[-1]
+            same = kept and kept[-1]["h"].iloc[-1] == pdf["h"].iloc[-1]
             if cut == 0 and (not kept or same):
                 kept.append(pdf)
                 continue
@@ -207,21 +207,18 @@ def _families(least: int):
     return whole_anchors
 
 
-def _sliced(least: int, most: int):
+def _windows(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts of an anchor that has few of them as they are; of any other, each window by itself, in a slice that its bytes name."""
+        """Each window of each context by itself."""
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("h", "slice", "bytes", "doc_id", "row_no", "spot")}
-            for h, text, doc, row, spot, leaves in zip(*(batch.column(k).to_pylist() for k in ("h", "bytes", "doc_id", "row_no", "spot", "leaves")), strict=True):
-                slices = -(-leaves // most)
-                windows = [(0, text)] if slices == 1 else [(k, text[k : k + least]) for k in range(len(text) - least + 1)]
-                for k, w in windows:
-                    out["h"].append(h)
-                    out["slice"].append(0 if slices == 1 else 1 + int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") % (slices * (least - GRAM)))
-                    out["bytes"].append(w)
-                    out["doc_id"].append(doc)
-                    out["row_no"].append(row)
-                    out["spot"].append(spot if slices == 1 else (spot >> 16) + k << 16)
+            out: dict[str, list] = {k: [] for k in ("h", "bytes", "doc_id", "row_no", "spot")}
+            for h, text, doc, row, spot in zip(*(batch.column(k).to_pylist() for k in ("h", "bytes", "doc_id", "row_no", "spot")), strict=True):
+                n = len(text) - least + 1
+                out["h"] += [h] * n
+                out["bytes"] += [text[k : k + least] for k in range(n)]
+                out["doc_id"] += [doc] * n
+                out["row_no"] += [row] * n
+                out["spot"] += [(spot >> 16) + k << 16 for k in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()], list(out))
 
     return rows
@@ -261,6 +258,21 @@ def _leaves(places: DataFrame) -> DataFrame:
     return frozen(leaves.select("h", "ctx", "bytes", "at.*", "places"))
 
 
+def _later_windows(leaves: DataFrame, wide: DataFrame, least: int) -> DataFrame:
+    """(row_no, a, b): windows of the anchors `wide` (h, uses) that also start earlier.
+
+    Such an anchor has too many contexts for one suffix array. Its windows are merged like
+    contexts: equal ones to their least place by a pre-aggregated minimum, and each other
+    place is joined with that one, in parts where a window has very many places.
+    """
+    found = join_salted(leaves.select("h", "bytes", "doc_id", "row_no", "spot"), wide, ["h"], "uses", ["row_no", "spot"])
+    windows = frozen(found.mapInArrow(_windows(least), "h long, bytes binary, doc_id long, row_no long, spot long"))
+    first = frozen(windows.groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "row_no", "spot")).alias("at"), F.count("*").alias("places")).where("places > 1"))
+    first = first.select("h", "bytes", F.col("at.row_no").alias("r0"), F.col("at.spot").alias("s0"), "places")
+    late = join_salted(windows.select("h", "bytes", "row_no", "spot"), first, ["h", "bytes"], "places", ["row_no", "spot"])
+    return late.where("row_no <> r0 or spot <> s0").selectExpr("row_no", "shiftright(spot, 16) as a", f"shiftright(spot, 16) + {least} as b")
+
+
 def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, most: int = FAMILY, part: int = PART) -> DataFrame:
     """(row_no, spans): for rows of docs (row_no, doc_id, text), the byte ranges that `least`-byte strings cover which also start earlier.
 
@@ -269,10 +281,10 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, most: int = FAMILY,
     bytes belongs to one content-chosen anchor gram. Anchors seen once are done after one
     count; for the rest only the bytes around the anchor travel. Equal contexts are one leaf of
     the suffix array with its earliest place, found by a pre-aggregated minimum, so a passage
-    that a third of all rows share is one leaf too. An anchor with more than `most` different
-    contexts has its windows dealt to slices by a hash of their bytes, which windows that
-    repeat agree on; each slice is a suffix array of its own. Joins on anchors and on contexts
-    split keys of very many rows.
+    that a third of all rows share is one leaf too. A suffix array holds the contexts of one
+    anchor, `most` at most; the windows of an anchor with more are counted one by one
+    (_later_windows), with the same result. Joins on anchors, contexts and windows split keys of very
+    many rows.
     """
     bounded_batches(docs.sparkSession)
     hits = _hits(docs, least, part)
@@ -282,17 +294,20 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, most: int = FAMILY,
     release(docs.sparkSession)
     leaves = _leaves(places)
     release(docs.sparkSession)
-    kin = leaves.groupBy("h").agg(F.count("*").alias("uses")).where("uses > 1").withColumn("leaves", F.col("uses"))
-    family = join_salted(leaves.select("h", "bytes", "doc_id", "row_no", "spot"), kin, ["h"], "uses", ["row_no", "spot"], leaves.count())
-    family = family.mapInArrow(_sliced(least, most), "h long, slice long, bytes binary, doc_id long, row_no long, spot long")
-    late = family.repartition("h", "slice").sortWithinPartitions("h", "slice").mapInPandas(_families(least), "row_no long, a long, b long")
+    kin = frozen(leaves.groupBy("h").agg(F.count("*").alias("uses")).where("uses > 1"))
+    family = leaves.select("h", "bytes", "doc_id", "row_no", "spot").join(kin.where(F.col("uses") <= most).select("h"), "h")
+    late = family.repartition("h").sortWithinPartitions("h").mapInPandas(_families(least), "row_no long, a long, b long")
+    wide = kin.where(F.col("uses") > most)
+    if not wide.isEmpty():
+        late = late.union(_later_windows(leaves, wide, least))
     first = leaves.where("places > 1").select("h", "ctx", F.col("row_no").alias("r0"), F.col("spot").alias("s0"), "places")
     copies = join_salted(places.select("h", "ctx", "row_no", "spot"), first, ["h", "ctx"], "places", ["row_no", "spot"], places.count())
     copies = copies.where("row_no <> r0 or spot <> s0").selectExpr("row_no", "shiftright(spot, 16) as a", f"shiftright(spot, 16) + (shiftright(spot, 8) & 255) + {least} as b")
     found = frozen(late.union(copies))
     drop_frozen(places)
     drop_frozen(leaves)
-    del leaves, places, kin, family, first, late, copies
+    drop_frozen(kin)
+    del leaves, places, kin, family, wide, first, late, copies
     release(docs.sparkSession)
     return found.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 

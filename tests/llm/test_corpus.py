@@ -90,6 +90,19 @@ def test_repeats_in_small_parts(spark, limits):
     assert got == want
 
 
+def test_repeats_of_one_passage_in_many_surroundings(spark, monkeypatch):
+    """A passage whose anchor has many contexts: its windows are merged and joined in parts, none is sorted with all others."""
+    rng = np.random.default_rng(8)
+    passage = "".join(rng.choice(list("klmnop"), 130))
+    rows = [(k, "".join(rng.choice(list("abcdefgh"), 90)) + passage + "".join(rng.choice(list("abcdefgh"), 90))) for k in range(3000)]
+    joined, plain = [], repeats.join_salted
+    monkeypatch.setattr(repeats, "join_salted", lambda left, right, keys, *rest: joined.append(keys) or plain(left, right, keys, *rest))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.deduplicate_documents(spark.createDataFrame(rows, "doc_id long, text string"), most=16).collect()}
+    assert ["h", "bytes"] in joined and len(got) == 3000
+    for (k, text), (n, removed, digest) in zip(rows, brute_repeats([(k, t.encode()) for k, t in rows]), strict=True):
+        assert got[k] == (removed, int(removed > 0), digest) and n == len(text)
+
+
 def test_repeats(docs, none):
     rows = sorted((r for r in ROWS), key=lambda r: (r[0] is not None, r[0]))
     want = collections.Counter((i, *x) for (i, *_), x in zip(rows, brute_repeats([(i, (t or "").encode()) for i, t, _ in rows]), strict=True))
