@@ -107,6 +107,11 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str) -> None:
     and so on up to one root. Names are digests of bytes, so the root stands for all ids.
 
     One scan encodes, and one exchange by key brings equal chunks together: bytes move once.
+
+    A null text is an empty one, which has the end id alone; a very long text is encoded as a
+    pass of its own. Repeated rows are documents of their own that share all chunks; a null
+    doc_id comes first. Other columns are not looked at, whatever their names. No rows give
+    empty tables, whose root is the digest of the empty string.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 5000)
@@ -227,7 +232,8 @@ def stored_documents(spark: SparkSession, folder: str) -> DataFrame:
     the tree over them has to be the manifest. A chunk of very many places is
     joined in parts.
     start: ids of all documents before, by (doc_id, row_no). Raises Damaged if a chunk is
-    changed or missing, or a recipe row is changed, lost or added.
+    changed or missing, or a recipe row is changed, lost or added. Each row written, repeated
+    ones and ones with null or empty texts too, is a row here; a store of no rows gives none.
     """
     crc = frozen(spark.read.parquet(f"{folder}/chunks").select("key", "width", "uses", "data").mapInArrow(_chunk_crc, "key binary, uses long, crc long"))
     recipes = spark.read.parquet(f"{folder}/recipes")
@@ -244,7 +250,10 @@ def stored_documents(spark: SparkSession, folder: str) -> DataFrame:
     again = new_folder(spark, "tree")
     _write_tree(docs.select("no", "digest"), again)
     now, then = spark.read.parquet(again), spark.read.parquet(f"{folder}/manifest")
-    if not now.exceptAll(then).isEmpty() or not then.exceptAll(now).isEmpty():
-        raise Damaged("chunks and recipes do not give the manifest")
+    now._folder = again
+    same = now.exceptAll(then).isEmpty() and then.exceptAll(now).isEmpty()
+    drop_frozen(now)
     drop_frozen(crc)
+    if not same:
+        raise Damaged("chunks and recipes do not give the manifest")
     return docs.select("doc_id", "row_no", "start", "n_tokens", "ids_crc32")
