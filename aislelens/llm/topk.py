@@ -206,7 +206,9 @@ def _exchanged(vectors: DataFrame, k: int, every: int, block: int, shard: int, b
     drop_frozen(placed)
     total = blocks.groupBy("dim").agg(F.count("*").alias("blocks"), F.sum("asked").alias("all_asked"))
     total = F.broadcast(total.selectExpr("dim", f"ceil(blocks / {shard}D) as shards", f"ceil(all_asked / {batch}D) as batches"))
-    blocks = frozen(blocks.join(total, "dim").where("batches > 0").withColumn("shard", F.expr("pmod(xxhash64(block), shards)")))
+    built = blocks
+    blocks = frozen(built.join(total, "dim").where("batches > 0").withColumn("shard", F.expr("pmod(xxhash64(block), shards)")))
+    drop_frozen(built)
     bounds = blocks.select("dim", "block", "low", "high", "shard", F.expr("explode(sequence(0L, batches - 1))").alias("batch"))
     # Queries near one point are one batch, or as many as they fill: bounds that leave a block out for one leave it out for all.
     near_by = F.broadcast(blocks.groupBy("dim", "point").agg(F.ceil(F.sum("asked") / F.lit(batch)).alias("fills")))

@@ -169,7 +169,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     The score is a probability from a model fitted as fit() says; held_out rows (crc32 of
     doc_id as text mod 5 is 0) were not seen by it. Scores depend on the text alone. Null or
     empty text: the model's intercept. A null doc_id is not held out. Repeated rows score
-    alike; an empty table gives no rows; other columns are not looked at.
+    alike; a very long text is scored as a whole; an empty table gives no rows; other columns
+    are not looked at.
     """
     model = fit(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -120,7 +120,8 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     Null or zero vectors, ones with null or non-finite components, and rows with a null label or
     vec_id link with nothing (a null vec_id: null component, kept). Vectors of different
-    lengths are not compared. Repeated rows are equal vectors. No rows give no rows.
+    lengths are not compared. Repeated rows are equal vectors. Other columns are not looked
+    at, whatever their names. No rows give no rows.
     """
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").alias("label")

@@ -291,6 +291,14 @@ def test_embedding_dedup(spark):
     assert vector_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_with_clashing_columns(spark):
+    """Columns beside those named may be called as inner ones are, and hold anything."""
+    _, df = vectors(spark)
+    more = df.select("*", *(F.lit(None if k % 2 else name).alias(name) for k, name in enumerate("e v point list rep near row_no dim block shard batch low n rank score query_id fine".split())))
+    for run in (topk.exact_topk, vector_dedup.embedding_duplicates):
+        assert sorted(map(repr, run(more).collect())) == sorted(map(repr, run(df).collect()))
+
+
 def test_salted_join(spark):
     left = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(3000)] + [(99, -1), (None, -2)], "key long, v long")
     right = spark.createDataFrame([(k, f"name {k}") for k in range(8)], "key long, name string").join(left.groupBy("key").agg(F.count("*").alias("uses")), "key")
