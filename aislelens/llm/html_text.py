@@ -37,6 +37,8 @@ WORD_ODDS = (
     | dict.fromkeys("form header widget".split(), -0.5)
 )
 
+TITLES = ("h1", "h2")
+
 _ATTRS = "(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<(?P<raw>{'|'.join(RAW)})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>{_ATTRS}|[^<>]*)>|<[!?/][^>]*>",
@@ -49,6 +51,8 @@ _WORD = re.compile(r"[a-z]+")
 BIAS, LINKED, PER_LOG_WORD, MOST, SENTENCE, HEADING = -1.0, -4.0, 0.8, 100, 0.6, 1.0
 #: What the name of an outer element counts for beside that of the next one inside it.
 OUTER = 0.3
+#: Log odds of blocks in the text's container, and around it; names below CHROME make chrome of running text.
+INSIDE, OUTSIDE, CHROME, CONTAINED = 1.0, -3.0, -2.0, 0.75
 #: A class or id of an element with more than this share of the page's text ("has-sidebar") doesn't tell what the text is.
 PAGE_SHARE = 0.8
 #: Capacity of the edge between two blocks below one parent: neighbours, and the next block of the same tag there. Each
@@ -137,38 +141,87 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
 
 
 def log_odds(found: list[Block], elements: list[Element]) -> list[float]:
-    """The classifier: log odds that each block is content, from its words, links, tag and the names around it."""
-    held = [0] * len(elements)
-    for b in found:
-        for e in b.path:
-            held[e] += len(b.text)
-    most = PAGE_SHARE * sum(len(b.text) for b in found)
-    named: dict[tuple[int, ...], float] = {(): 0.0}
-
-    def names(path: tuple[int, ...]) -> float:
-        depth = len(path)
-        while path[:depth] not in named:
-            depth -= 1
-        odds = named[path[:depth]]
-        for k in range(depth, len(path)):
-            e = elements[path[k]]
-            label = 0.0 if e.label < 0 and held[path[k]] > most else e.label
-            purpose = 0.0 if e.tag == "header" and odds > 0 else e.purpose  # an article's own header
-            own = min(label, purpose) if min(label, purpose) < 0 else max(label, purpose)
-            odds = own + OUTER * odds if own else odds
-            named[path[: k + 1]] = odds
-        return odds
-
+    """The classifier: log odds that each block is content by its words, links, sentences and tag alone, no names."""
     out = []
     for b in found:
         words = b.text.count(" ") + 1
-        score = BIAS + names(b.path) + PER_LOG_WORD * math.log(min(words, MOST)) + LINKED * min(1.0, b.linked / len(b.text))
+        score = BIAS + PER_LOG_WORD * math.log(min(words, MOST)) + LINKED * min(1.0, b.linked / len(b.text))
         score += SENTENCE * min(3, sum(b.text.count(c) for c in ".!?")) if words > 4 else 0.0
         tag = elements[b.path[-1]].tag if b.path else ""
         out.append(score + (HEADING if tag[:1] == "h" and tag[1:].isdigit() else 0.0))
     return out
 
 
+def tree_of(found: list[Block], elements: list[Element]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Nodes of the document tree for the cut: (log odds of each, edges), numbered from len(found) on.
+
+    A node is an element whose names say something, the text's container (the innermost element
+    with CONTAINED of the running text outside of chrome), or the page around that. Its log odds
+    count once for each block below it. A block is tied to the innermost node around it by that
+    node's odds, and a node to the next one outside it by OUTER of that one's for each block
+    below: who is in company of whom is decided by the cut.
+    """
+    held, below, running = [0] * len(elements), [0] * len(elements), [0] * len(elements)
+    for b in found:
+        for e in b.path:
+            held[e] += len(b.text)
+            below[e] += 1
+    most = PAGE_SHARE * sum(len(b.text) for b in found)
+    names: dict[int, float] = {}  # element -> its odds
+    inside: dict[int, float] = {-1: 0.0}  # element -> odds of the innermost node around and including it
+    for b in found:
+        outer = -1
+        for e in b.path:
+            if e not in inside:
+                x, around = elements[e], inside[outer]
+                label = 0.0 if x.label < 0 and held[e] > most else x.label
+                purpose = 0.0 if x.tag == "header" and around > 0 else x.purpose  # an article's own header
+                names[e] = min(label, purpose) if min(label, purpose) < 0 else max(label, purpose)
+                inside[e] = names[e] or around
+            outer = e
+    total = 0
+    for b in found:
+        if inside[b.path[-1] if b.path else -1] > CHROME:
+            total += len(b.text) - b.linked
+            for e in b.path:
+                running[e] += len(b.text) - b.linked
+    holders = [e for e in inside if e >= 0 and running[e] > CONTAINED * total]
+    container = max(holders, default=-1)  # elements are numbered outside in
+    if container >= 0 and elements[container].tag not in ("html", "body") and below[container] > 1:
+        names[container] = names[container] or INSIDE
+    else:
+        container = -1
+    odds: list[float] = []
+    edges: list[tuple[int, int, float]] = []
+    node: dict[int, int] = {}
+    one: list[float] = []  # a node's odds for one block
+    if container >= 0:
+        node[-1] = 0
+        one.append(OUTSIDE)
+        odds.append(OUTSIDE * len(found))
+    seen: dict[int, int] = {-1: node.get(-1, -1)}
+    for i, b in enumerate(found):
+        outer = -1
+        for e in b.path:
+            if e not in seen:
+                seen[e] = seen[outer]
+                if names[e]:
+                    seen[e] = len(odds)
+                    odds.append(names[e] * below[e])
+                    one.append(names[e])
+                    if seen[outer] >= 0 and seen[outer] != node.get(-1):
+                        edges.append((len(found) + seen[e], len(found) + seen[outer], OUTER * abs(one[seen[outer]]) * below[e]))
+            outer = e
+        if seen[outer] >= 0:
+            edges.append((i, len(found) + seen[outer], abs(one[seen[outer]])))
+    if container >= 0:  # a title beside the container, or beside an element around it, goes with it
+        around = next(b.path[: b.path.index(container)] for b in found if container in b.path)
+        for i, b in enumerate(found):
+            if len(b.path) > 1 and elements[b.path[-1]].tag in TITLES and b.path[-2] in around and seen[b.path[-1]] == node[-1]:
+                edges.append((i, len(found) + seen[container], -OUTSIDE))
+    return odds, edges
+
+
 def edges_of(found: list[Block], elements: list[Element]) -> list[tuple[int, int, float]]:
     """Smoothness edges (i, j, capacity): neighbours on the page, and the next block of the same tag below the same grandparent or parent."""
     out, last = [], {}
@@ -188,64 +241,81 @@ def edges_of(found: list[Block], elements: list[Element]) -> list[tuple[int, int
 def minimum_cut(gain: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay on the source's side of a minimum cut: gain[i] is (from source, to sink), edges work both ways.
 
-    What a node passes straight from source to sink flows at once. The rest goes node by node
-    along shortest paths. Nodes from which a node with flow left can reach no room any more
-    never lead anywhere again: they are the source's side, and later searches leave them out.
+    What a node passes straight from source to sink flows at once. The rest flows in phases: each
+    numbers nodes by their distance from those with flow left, and fills all paths on which this
+    distance grows, so that distances to the sink grow from phase to phase. Nodes that flow left
+    over still reaches at the end are the source's side.
     """
     n = len(gain)
     spare = [a - min(a, b) for a, b in gain]
     room = [b - min(a, b) for a, b in gain]
-    link: list[dict[int, float]] = [{} for _ in range(n)]
+    ends: list[int] = []  # edge k leads to ends[k], edge k ^ 1 back
+    left: list[float] = []
+    links: list[list[int]] = [[] for _ in range(n)]
     for i, j, c in edges:
-        link[i][j] = link[i].get(j, 0.0) + c
-        link[j][i] = link[j].get(i, 0.0) + c
-    side = [False] * n
-    for start in range(n):
-        while spare[start] > 1e-9 and not side[start]:
-            before: dict[int, int] = {start: -1}
-            queue, end = deque(before), None
-            while queue:
-                i = queue.popleft()
+        links[i].append(len(ends))
+        links[j].append(len(ends) + 1)
+        ends += (j, i)
+        left += (c, c)
+    while True:
+        level = [0 if x > 1e-9 else -1 for x in spare]
+        queue = deque(i for i in range(n) if level[i] == 0)
+        starts, reached = list(queue), False
+        while queue:
+            i = queue.popleft()
+            reached = reached or room[i] > 1e-9
+            for k in links[i]:
+                if left[k] > 1e-9 and level[ends[k]] < 0:
+                    level[ends[k]] = level[i] + 1
+                    queue.append(ends[k])
+        if not reached:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for start in starts:
+            i, path = start, []
+            while spare[start] > 1e-9:
                 if room[i] > 1e-9:
-                    end = i
-                    break
-                for j, c in link[i].items():
-                    if c > 1e-9 and j not in before and not side[j]:
-                        before[j] = i
-                        queue.append(j)
-            if end is None:
-                for i in before:
-                    side[i] = True
-                break
-            path = [end]
-            while before[path[-1]] >= 0:
-                path.append(before[path[-1]])
-            flow = min(spare[start], room[end], *(link[a][b] for b, a in zip(path, path[1:], strict=False)))
-            spare[start] -= flow
-            room[end] -= flow
-            for b, a in zip(path, path[1:], strict=False):
-                link[a][b] -= flow
-                link[b][a] += flow
-    return side
+                    flow = min(spare[start], room[i], *(left[k] for k in path))
+                    spare[start] -= flow
+                    room[i] -= flow
+                    for k in path:
+                        left[k] -= flow
+                        left[k ^ 1] += flow
+                    i, path = start, []
+                    continue
+                while tried[i] < len(links[i]):
+                    k = links[i][tried[i]]
+                    if left[k] > 1e-9 and level[ends[k]] == level[i] + 1:
+                        break
+                    tried[i] += 1
+                else:
+                    if not path:
+                        break
+                    i = ends[path.pop() ^ 1]
+                    tried[i] += 1
+                    continue
+                path.append(k)
+                i = ends[k]
 
 
 def main_text(page: str | None) -> str:
     """Text of the blocks that the cut labels content, joined by one space."""
     found, elements = blocks(page or "")
-    gain = [(math.log1p(math.exp(min(30.0, x))), math.log1p(math.exp(min(30.0, -x)))) for x in log_odds(found, elements)]
-    on = minimum_cut(gain, edges_of(found, elements))
-    return " ".join(b.text for b, content in zip(found, on, strict=True) if content)
+    names, ties = tree_of(found, elements)
+    gain = [(math.log1p(math.exp(x)), math.log1p(math.exp(-x))) for x in log_odds(found, elements)] + [(max(0.0, x), max(0.0, -x)) for x in names]
+    on = minimum_cut(gain, edges_of(found, elements) + ties)
+    return " ".join(b.text for b, content in zip(found, on, strict=False) if content)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html): the main text.
 
     A page is cut into blocks at block elements; raw elements, the head and comments go. Each
-    block's classifier odds become its capacities from the source (content) and to the sink:
-    words, sentences, links, and the names of the elements around it, the nearest most. Blocks
-    next to each other or siblings in the document tree are tied by edges, the stronger the
-    nearer they are in the tree, whatever their names. The minimum cut says which blocks are
-    content. White space in a block is one space, character references are decoded, nothing
+    block's classifier odds (words, sentences, links) become its capacities from the source
+    (content) and to the sink; so do those of elements whose names or share of the text say
+    something (tree_of). Blocks are tied to the innermost such element around them, and to blocks
+    next to them or siblings in the document tree, the stronger the nearer they are in the tree,
+    whatever their names. The minimum cut says which blocks are content. White space in a block is one space, character references are decoded, nothing
     else is changed. A quote that is never closed ends with its tag. Null or empty html, or no
     content: text '' and 0. Nulls in other columns are passed on; repeated rows each count; a
     very long page is one page, its cut taken as a whole; extra columns, whatever their names,

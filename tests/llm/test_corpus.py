@@ -355,6 +355,10 @@ def test_the_cut_decides():
     assert odds["Really?"] < 0 < odds[LONG] and "Really?" in html_text.main_text(PAGES["no names at all"][0])
     # A wrapper's class that holds the whole page says nothing; beside the text, it does.
     assert html_text.main_text(f'<div class="has-sidebar"><p>{LONG}</p><p>Ok.</p><div class="sidebar"><p>{LONG[:40]}.</p></div></div>') == f"{LONG} Ok."
+    # Without names, a sentence in a menu's place, outside of the element with the running text, is left out by the tree alone.
+    page = f"<body><div>An advert that is a whole sentence here.</div><div><h1>Head</h1><p>{LONG}</p><p>Ok.</p><p>{LONG}</p></div><div>Copyright of someone.</div></body>"
+    found, elements = html_text.blocks(page)
+    assert html_text.log_odds(found, elements)[0] > 0 and html_text.main_text(page) == f"Head {LONG} Ok. {LONG}"
     # The same block between lone words stays out: its neighbours decide, not its own words.
     assert "Really?" not in html_text.main_text(f"<p>{LONG}</p><div><div><p>One</p><p>Really?</p><p>Two</p></div></div>")
 
@@ -364,6 +368,12 @@ def test_long_page_is_cut_in_time():
     assert len(html_text.main_text(page)) == 10_000 * (len(LONG) + 7) - 1
 
 
+@pytest.mark.parametrize("element, count", [("article", 8_000), ("nav", 1)])
+def test_long_pages_of_one_element_are_cut_in_time(element, count):
+    page = f"<{element}>" + f"<p>Short</p><p>{LONG}</p><p><a href=x>A link</a></p>" * 8_000 + f"</{element}><p>{LONG}</p>"
+    assert html_text.main_text(page).count(LONG) == count
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(30):
