@@ -75,27 +75,33 @@ named as (
     on k.sentence = trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g'))
   where length(p.s) <= {longest}
 ),
+ids(lower_, id) as (values {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.known_ids().items())}),
+words as (
+  select row_no, unnest(w) as word, generate_subscripts(w, 1) as place
+  from (select row_number() over () as row_no, list_transform(string_split_regex(lower(array_to_string(regexp_extract_all(text, {_quoted(licenses.EXPRESSION)}, 1), ' ')), {_quoted(licenses.BETWEEN)}), lambda x: rtrim(x, '.')) as w from documents)
+),
+declared as (select row_no, list(id order by place) as ids from (select row_no, id, min(place) as place from words join ids on word = lower_ group by all) group by row_no),
 seqs as (select row_no, count(*) as n, string_agg(name, ',' order by place) as ids from named group by row_no),
 r0 as (
-  select d.doc_id, coalesce(s.n, 0) as n_sentences, coalesce(s.ids, '') as sentence_ids, '' as got, case when s.ids is null then ',' else ',' || s.ids || ',' end as rest
-  from (select doc_id, row_number() over () as row_no from documents) d left join seqs s using (row_no)
+  select d.doc_id, coalesce(e.ids, []) as declared, coalesce(s.n, 0) as n_sentences, coalesce(s.ids, '') as sentence_ids, '' as got, case when s.ids is null then ',' else ',' || s.ids || ',' end as rest
+  from (select doc_id, row_number() over () as row_no from documents) d left join seqs s using (row_no) left join declared e using (row_no)
 )"""
     for k, (name, sequence) in enumerate(licenses.RULES):
         needle = _quoted("," + ",".join(sequence) + ",")
         new = _quoted("," + name)
         sql += f""",
 r{k + 1} as (
-  select doc_id, n_sentences, sentence_ids,
+  select doc_id, declared, n_sentences, sentence_ids,
          case when contains(rest, {needle}) and not contains(got || ',', {_quoted("," + name + ",")}) then got || {new} else got end as got,
          replace(rest, {needle}, ',') as rest
   from r{k}
 )"""
+    kinds = " ".join(f"when list_has_any(names, [{', '.join(map(_quoted, members))}]) then {_quoted(kind)}" for kind, members in licenses.KINDS.items())
     return sql + f"""
-select doc_id, n_sentences, sentence_ids, substr(got, 2) as licenses,
-       case when got = '' then 'none' when contains(got || ',', ',CC-BY-NC-4.0,') then 'noncommercial'
-            when contains(got || ',', ',GPL-3.0,') or contains(got || ',', ',GPL-3.0-or-later,') or contains(got || ',', ',MPL-2.0,') then 'copyleft'
-            when contains(got || ',', ',Proprietary,') then 'other' else 'permissive' end as category
-from r{len(licenses.RULES)}"""
+select doc_id, n_sentences, sentence_ids, array_to_string(names, ',') as licenses,
+       case when len(names) = 0 then 'none' {kinds} else 'permissive' end as category
+from (select *, list_concat(hits, list_filter(declared, lambda x: not list_contains(hits, x))) as names
+      from (select *, case when got = '' then [] else string_split(substr(got, 2), ',') end as hits from r{len(licenses.RULES)}))"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,13 +4,15 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from aislelens.llm import html_text, licenses, mixing, near_dedup, packing, repeats, store, tokens, topk, toxicity, vector_dedup
+from aislelens.llm import html_text, licenses, mixing, near_dedup, packing, queries, repeats, store, tokens, topk, toxicity, vector_dedup
 from aislelens.llm.common import join_salted, new_folder
 from aislelens.llm.components import connected_components
 
@@ -554,6 +556,22 @@ def test_licenses_over_lines(spark):
         assert got[k]["n_sentences"] == len([x for x in ids.split(",") if x])
 
 
+def test_declared_licences(spark):
+    texts = {
+        "# SPDX-License-Identifier: MIT OR Apache-2.0": ("MIT,Apache-2.0", "permissive"), "/* spdx-license-identifier: (gpl-2.0-only WITH Classpath-exception-2.0) */": ("GPL-2.0-only", "copyleft"),
+        "SPDX-License-Identifier: BSD-3-Clause.\nSPDX-License-Identifier: MIT and\nReleased under the MIT License.": ("MIT,BSD-3-Clause", "permissive"),
+        "SPDX-License-Identifier:": ("", "none"), "SPDX-License-Identifier: NoSuch-1.0": ("", "none"), "Licensed under CC BY-NC-SA 4.0": ("CC-BY-NC-SA-4.0", "noncommercial"),
+        "Licensed under CC BY-ND 4.0": ("CC-BY-ND-4.0", "other"), licenses.SENTENCES["Gpl2Free"][0]: ("GPL-2.0-or-later", "copyleft"),
+        licenses.SENTENCES["ZlibAsIs"][0] + ".\n\n" + licenses.SENTENCES["ZlibGrant"][0]: ("Zlib", "permissive"),
+    }
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["licenses"], r["category"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: texts[t] for k, t in rows} and len(licenses.known_ids()) >= 40
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(k, t) for k, t in rows if ";" not in t], columns=["doc_id", "text"]))
+    assert {r[0]: (r[3], r[4]) for r in con.execute(queries.oracle_sql()["op9_licenses"]).fetchall()} == {k: texts[t] for k, t in rows if ";" not in t}
+
+
 def test_mixing_writes_the_plan(docs, monkeypatch):
     plans = []
     kept = mixing.frozen
