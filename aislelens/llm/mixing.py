@@ -72,18 +72,20 @@ def schedule(rows: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     is the time at which demand reaches the place where the copy starts, the integral inverted.
     Offsets are sums over (source, part) and then within a part, so that no source meets in one
     task; what is known of a source comes with the sums of its parts. Other columns of rows are
-    passed on: they move once, to their part.
+    passed on: they move once, to their part, where they meet its sums and are numbered.
     """
     targets = frozen(source_targets(rows)) if targets is None else targets
-    rows = rows.withColumn("part", F.substring("order_key", 1, 3))
-    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
+    # Plain keys for a null source: a null-safe join would hash other expressions than the window, and each row would move twice.
+    rows = rows.withColumns({"part": F.substring("order_key", 1, 3), "named": F.coalesce("source", F.lit("")), "nameless": F.col("source").isNull()})
+    keys = ["named", "nameless", "part"]
+    parts = rows.groupBy(*keys).agg(F.sum("size").alias("n"))
     before = parts.selectExpr(
-        "source as s", "part", "coalesce(sum(n) over (partition by source order by part rows between unbounded preceding and 1 preceding), 0) as base"
+        *keys, "coalesce(sum(n) over (partition by named, nameless order by part rows between unbounded preceding and 1 preceding), 0) as base"
     )
-    before = before.join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source").withColumnRenamed("part", "p")
-    placed = rows.join(before, rows.source.eqNullSafe(before.s) & (rows.part == before.p)).drop("s", "p")
+    targets = targets.withColumns({"named": F.coalesce("source", F.lit("")), "nameless": F.col("source").isNull()}).drop("source")
+    placed = rows.join(before.join(targets, keys[:2]), keys)
     placed = placed.withColumn(
-        "begin", F.expr("base + coalesce(sum(size) over (partition by source, part order by order_key, row_no rows between unbounded preceding and 1 preceding), 0)")
+        "begin", F.expr("base + coalesce(sum(size) over (partition by named, nameless, part order by order_key, row_no rows between unbounded preceding and 1 preceding), 0)")
     )
     copies = placed.withColumn("copy", F.explode(F.array(*map(F.lit, range(REPEATS)))))
     copies = copies.withColumn("start", F.col("begin") + F.col("copy") * F.col("source_size")).withColumn(
@@ -93,7 +95,7 @@ def schedule(rows: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     a, b = (F.element_at(F.array(*(F.lit(t[k]) for t in TREND)), F.col("trend") + 1) for k in (0, 1))
     half = (b - a) / 2
     time = F.when(half == 0, share / a).otherwise((F.sqrt(a * a + 4 * half * share) - a) / (2 * half))
-    return copies.withColumn("position", F.when(F.col("target") > 0, time).otherwise(1.0)).drop("part", "base", "begin", "start", "trend")
+    return copies.withColumn("position", F.when(F.col("target") > 0, time).otherwise(1.0)).drop(*keys, "base", "begin", "start", "trend")
 
 
 def in_order(copies: DataFrame) -> DataFrame:

@@ -363,10 +363,11 @@ def without_repeats(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """docs with all its columns and rows, repeats taken out of text; n_chars, where there is one, follows the text.
 
     remove_repeats() says what goes. A text that is cut down to nothing stays as an empty one;
-    a null text stays null. The row travels as one struct, so columns may have any names.
+    a null text stays null. The row travels as one struct, so columns may have any names; it
+    is stored once, and a scan reads those of its fields that it needs.
     """
-    rows = frozen(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_no", F.monotonically_increasing_id()))
-    found = remove_repeats(rows.select("row_no", "doc_id", "text"), least)
+    rows = frozen(docs.select(F.struct("*").alias("row")).withColumn("row_no", F.monotonically_increasing_id()))
+    found = remove_repeats(rows.select("row_no", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")), least)
     cut = frozen(found.where("n_removed > 0").select("row_no", "clean"))
     row, hit = F.col("row"), F.col("clean").isNotNull()
     row = row.withField("text", F.when(hit, F.col("clean")).otherwise(F.col("row.text").cast("string")))

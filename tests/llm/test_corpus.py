@@ -592,3 +592,37 @@ def test_mixing_writes_the_plan(docs, monkeypatch):
         by[r["part"]].append(r["position"])
     ranges = sorted((p[0], p[-1]) for p in by.values())
     assert all(p == sorted(p) for p in by.values()) and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_mixing_moves_a_text_once_to_its_part(spark, docs):
+    """No exchange is between the join with the sums of parts and the window in them, even if nothing is broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "-1")
+        rows = mixing.prepared(docs)
+        lines = mixing.schedule(rows, mixing.frozen(mixing.source_targets(rows)))._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set(name, kept)
+    first = next(i for i, x in enumerate(lines) if "Window [" in x)
+    join = next(i for i, x in enumerate(lines) if i > first and "SortMergeJoin" in x)
+    assert not [x for x in lines[first:join] if "Exchange" in x]
+
+
+def test_mixing_of_nameless_sources(spark):
+    """A null source and an empty one are two sources."""
+    rows = [(k, "one two three " * (k % 4 + 1), [None, "", "a"][k % 3]) for k in range(60)]
+    got = mixing.curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source"]] += len(r["text"].split())
+    want = {r["source"]: round(r["target"]) for r in mixing.source_targets(spark.createDataFrame([(s, 3 * (k % 4 + 1)) for k, _, s in rows], "source string, size long")).collect()}
+    assert dict(taken) == want and len(want) == 3
+
+
+def test_repeats_store_a_text_once(spark, docs, monkeypatch):
+    """The row goes to the shared folder as it is, without a copy of its text."""
+    stored, plain = [], repeats.frozen
+    monkeypatch.setattr(repeats, "frozen", lambda df: stored.append(df.columns) or plain(df))
+    assert repeats.without_repeats(docs).count() == len(ROWS)
+    assert sum("row" in c or "text" in c for c in stored) == 1 and ["row", "row_no"] in stored
