@@ -19,12 +19,28 @@ from .tokens import encoder, with_end
 END = 2
 #: Ids that the rolling hash looks at, its cut condition (one in 2**CUT_BITS), and a chunk's limits.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 8, 64, 2048
+#: Ids hashed at once.
+ROLL = 1 << 14
 #: Bytes of text encoded at once; a longer document is a pass of its own.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 16 << 20
 #: Children of a node of the manifest.
 FAN = 1024
 
 
+def _wishes(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the hash of the last WINDOW ids says to cut; in blocks that stay in a CPU's cache."""
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, len(ids), ROLL):
+        back = max(0, lo - WINDOW + 1)
+        with np.errstate(over="ignore"):
+            h = mix(ids[back : lo + ROLL].astype(np.uint64) + np.uint64(1))
+            roll = np.zeros(len(h), np.uint64)
+            for k in range(min(WINDOW, len(h))):
+                roll[k:] += h[: len(h) - k] * np.uint64(2 * k * k + 6 * k + 3)
+        out.append(np.flatnonzero(mix(roll[lo - back :]) >> np.uint64(64 - CUT_BITS) == 0) + lo + 1)
+    return np.concatenate(out)
+
+
 def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     """Ends of the chunks of each document: where the hash of the last WINDOW ids says so, within the limits.
 
@@ -32,12 +48,7 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     them at once: a cut is LEAST > WINDOW ids or more behind its document's start, so what it
     looks at is the document's own.
     """
-    with np.errstate(over="ignore"):
-        h = mix(ids.astype(np.uint64) + np.uint64(1))
-        roll = np.zeros(len(ids), np.uint64)
-        for k in range(min(WINDOW, len(ids))):
-            roll[k:] += h[: len(ids) - k] * np.uint64(2 * k * k + 6 * k + 3)
-    wish = np.flatnonzero(mix(roll) >> np.uint64(64 - CUT_BITS) == 0) + 1
+    wish = _wishes(ids)
     inside = np.searchsorted(wish, ends)
     wish, out, at, w = wish.tolist(), [], 0, 0
     for end, last in zip(ends.tolist(), inside.tolist(), strict=True):

@@ -21,6 +21,10 @@ _MARKS = ".,;:!?&#*$%)]}"
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Byte-level vocabularies name a byte by itself if it prints, else by the next character from 0x100 on.
 _NAMES = {b: 0x100 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+#: A byte's name in UTF-16, by the byte; a line end is itself.
+_SHOWN = np.arange(256).astype("<u2")
+_SHOWN[[b for b in _NAMES if b != 10]] = [c for b, c in _NAMES.items() if b != 10]
+_LETTERS = f"^[^{re.escape(_MARKS)}]+"
 _open: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -82,7 +86,8 @@ class Encoder:
         k = self.known.get(x)
         if k is None:
             letters = x[1:] if self.spaced and x[0] == " " else x
-            if letters.isalpha() and max(letters) < "\u0250":
+            # U+0130 in lower case is a letter and a mark: two pre-tokens.
+            if letters.isalpha() and max(letters) < "\u0250" and (self.spaced or "\u0130" not in letters):
                 if not self.spaced:
                     x_ = unicodedata.normalize("NFC", x).lower()
                 else:
@@ -115,14 +120,14 @@ class Encoder:
         return self._keep(word, [i for k in both for i in self.ids[self.start[k] : self.start[k + 1]]])
 
     def _learn_simple(self, words: list[str]) -> None:
-        """Encodes different words of the form _SIMPLE that are not known: _learn() of each, in one loop."""
-        known, ids, start, tokenize, spaced = self.known, self.ids, self.start, self.tokenizer.model.tokenize, self.spaced
+        """Encodes different words of the form _SIMPLE, spaced, that are not known: _learn() of each, in one loop."""
+        known, ids, start, tokenize = self.known, self.ids, self.start, self.tokenizer.model.tokenize
         space = chr(_NAMES[0x20])
         for word in words:
             stem = word.rstrip(_MARKS)
             k = known.get(stem)
             if k is None:
-                k, x = len(start) - 1, stem if spaced else stem.lower()
+                k, x = len(start) - 1, stem
                 if not x.isascii():
                     x = x.encode().decode("latin-1").translate(_NAMES)
                 elif x[0] == " ":
@@ -148,18 +153,19 @@ class Encoder:
             even = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
             rows = [self.whole(t.as_py()) if o else next(even) for t, o in zip(texts, odd, strict=True)]
             return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
-        lists = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
+        if not self.spaced:
+            return self._unspaced(texts)
+        lists = pc.split_pattern(texts, " ")
         per_row = np.asarray(pc.list_value_length(lists)).astype(np.int64)
         coded = pc.dictionary_encode(pc.list_flatten(lists))
         names, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
         simple = np.asarray(pc.match_substring_regex(coded.dictionary, self.simple)).tolist()
-        if self.spaced:
-            # All but a row's first word have a space before them.
-            first = np.zeros(len(code), bool)
-            first[(np.cumsum(per_row) - per_row)[per_row > 0]] = True
-            code = np.where(first, code + len(names), code)
-            firsts = set(code[first].tolist())
-            names = [" " + w for w in names] + [w if i in firsts else "" for i, w in enumerate(names, len(names))]
+        # All but a row's first word have a space before them.
+        first = np.zeros(len(code), bool)
+        first[(np.cumsum(per_row) - per_row)[per_row > 0]] = True
+        code = np.where(first, code + len(names), code)
+        firsts = set(code[first].tolist())
+        names = [" " + w for w in names] + [w if i in firsts else "" for i, w in enumerate(names, len(names))]
         index = list(map(self.known.get, names))
         if self.size() > self.limit:
             # What these texts use again is worth keeping; most words come once.
@@ -175,13 +181,59 @@ class Encoder:
         for i in new:
             w = names[i]
             index[i] = known[w] if w in known else learn(w)
-        start, store = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.uint32)
-        which = np.array(index, np.int64)[code] if len(code) else code
-        ends = np.cumsum(start[which + 1] - start[which])
-        parts = pa.LargeListArray.from_arrays(pa.array(start), pa.array(store)).take(pa.array(which)).flatten()
-        total = np.concatenate([[0], ends])
-        cut = np.cumsum(per_row)
-        return np.asarray(parts), total[cut] - total[cut - per_row]
+        ids, ends = _gathered(self.ids, self.start, np.array(index, np.int64)[code] if len(code) else code)
+        return ids, _per_row(ends, per_row)
+
+    def _unspaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """column() of texts that are not odd, where white space is dropped.
+
+        A word of the form _SIMPLE is its letters in lower case and the marks behind them.
+        Columns of words are taken apart and put together as a whole; Python sees letters, marks
+        and other words that are new, each different one once, and these are what is remembered.
+        """
+        lists = pc.ascii_split_whitespace(texts)
+        per_row = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        coded = pc.dictionary_encode(pc.list_flatten(lists))
+        simple = pc.match_substring_regex(coded.dictionary, self.simple)
+        both = coded.dictionary.filter(simple)
+        stems = pc.dictionary_encode(pc.utf8_lower(pc.ascii_rtrim(both, characters=_MARKS)))
+        marks = pc.dictionary_encode(pc.replace_substring_regex(both, _LETTERS, ""))
+        names, rest = stems.dictionary.to_pylist(), [*marks.dictionary.to_pylist(), *coded.dictionary.filter(pc.invert(simple)).to_pylist()]
+        if self.size() > self.limit:
+            self.keep([w for w in dict.fromkeys([*names, *rest]) if w in self.known])
+        known, ids, start, tokenize = self.known, self.ids, self.start, self.tokenizer.model.tokenize
+        if "" not in known:
+            self._keep("", [])
+        if new := [w for w in names if w not in known]:
+            raw = "\n".join(new).encode()
+            for word, x in zip(new, _SHOWN[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split("\n"), strict=True):
+                ids.extend([t.id for t in tokenize(x)])
+                known[word] = len(start) - 1
+                start.append(len(ids))
+            self.letters += len(raw)
+        rest = np.array([known[w] if w in known else self._learn(w) for w in rest], np.int64)
+        # Each different word: its letters and its marks, or itself and nothing.
+        parts = np.full((len(coded.dictionary), 2), known[""], np.int64)
+        simple = np.asarray(simple)
+        parts[simple, 0] = np.array([known[w] for w in names], np.int64)[np.asarray(stems.indices)]
+        parts[simple, 1] = rest[np.asarray(marks.indices)]
+        parts[~simple, 0] = rest[len(marks.dictionary) :]
+        held, ends = _gathered(ids, start, parts.ravel())
+        got, ends = _gathered(held, np.concatenate([[0], ends[1::2]]), np.asarray(coded.indices).astype(np.int64))
+        return got, _per_row(ends, per_row)
+
+
+def _gathered(ids: array | np.ndarray, start: array | np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words `which` one after the other, where each one ends there); word k has ids[start[k] : start[k + 1]]."""
+    ids, start = np.frombuffer(ids, np.uint32), np.frombuffer(start, np.int64)
+    got = pa.LargeListArray.from_arrays(pa.array(start), pa.array(ids)).take(pa.array(which)).flatten()
+    return np.asarray(got), np.cumsum(start[which + 1] - start[which])
+
+
+def _per_row(ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Ids of each row, which has so many `words`; ends: where the ids of each word end."""
+    total, cut = np.concatenate([[0], ends]), np.cumsum(words)
+    return total[cut] - total[cut - words]
 
 
 def encoder(path: str, spaced: bool) -> Encoder:

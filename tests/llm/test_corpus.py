@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -626,3 +627,29 @@ def test_repeats_store_a_text_once(spark, docs, monkeypatch):
     monkeypatch.setattr(repeats, "frozen", lambda df: stored.append(df.columns) or plain(df))
     assert repeats.without_repeats(docs).count() == len(ROWS)
     assert sum("row" in c or "text" in c for c in stored) == 1 and ["row", "row_no"] in stored
+
+
+def test_letters_and_marks_are_encoded_once():
+    """Without spaces kept, a word in other cases and with other marks behind it is not encoded again."""
+    enc = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), False)
+    texts = ["Unwordly, unwordly UNWORDLY. (x) a-b", None, "unwordly!\tÉtéunwordly?! unwordly", ""]
+    ids, n = enc.column(pa.array(texts))
+    want = [enc.whole(t or "") for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
+    assert set(enc.known) == {"", "unwordly", "étéunwordly", ",", ".", "!", "?!", "(x)", "(x", ")", "a-b"}
+
+
+def test_every_simple_letter_is_lowered_alike():
+    enc = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), False)
+    texts = [f"a{chr(c)}{chr(c)}b" for c in range(0x41, 0x250)]
+    ids, n = enc.column(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.whole(t).tolist() for t in texts]
+
+
+def test_cuts_do_not_depend_on_blocks(monkeypatch):
+    ids, ends = np.random.default_rng(4).integers(0, 50_000, 20_000).astype(np.uint32), np.array([7, 9_000, 9_001, 20_000])
+    want = store.cut_points(ids, ends)
+    for block in (1, 17, 999):
+        monkeypatch.setattr(store, "ROLL", block)
+        assert store.cut_points(ids, ends) == want
+    assert sum(map(len, want)) > 40
